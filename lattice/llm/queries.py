@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.catalog import table
-from lattice.llm import mixing, preference, secrets, url_filter
+from lattice.llm import langid, mixing, packing, preference, secrets, url_filter
 
 #: Target weights: four curated sources count double, the hot one is held at a tenth, all others share the rest.
 MIX_WEIGHTS = {"src0": 0.10, "src1": 0.10, "src2": 0.10, "src3": 0.10, "src4": 0.10, mixing.OTHER: 0.50}
@@ -28,6 +28,17 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    found = langid.identify(docs, model, keep=(langid.held_out().alias("held_out"),))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
+def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return preference.format_preferences(turns, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0)
@@ -109,7 +120,7 @@ SELECT page_id, host, path, {rule} AS rule, {verdict} WHEN {listed} THEN 'block'
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {fn.__name__: fn for fn in (op1_mix_sources, op2_secret_scan, op9_preference_format, op10_url_filter)}
+    return {fn.__name__: fn for fn in (op1_mix_sources, op2_secret_scan, op3_language_id, op4_pack_sequences, op9_preference_format, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
