@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.catalog import table
-from lattice.llm import langid, mixing, packing, preference, secrets, url_filter
+from lattice.llm import langid, mixing, packing, preference, quality, secrets, url_filter
 
 #: Target weights: four curated sources count double, the hot one is held at a tenth, all others share the rest.
 MIX_WEIGHTS = {"src0": 0.10, "src1": 0.10, "src2": 0.10, "src3": 0.10, "src4": 0.10, mixing.OTHER: 0.50}
@@ -39,6 +39,11 @@ def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality_verdicts(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 6).alias("distance"))
+
+
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return preference.format_preferences(turns, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0)
@@ -120,7 +125,7 @@ SELECT page_id, host, path, {rule} AS rule, {verdict} WHEN {listed} THEN 'block'
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {fn.__name__: fn for fn in (op1_mix_sources, op2_secret_scan, op3_language_id, op4_pack_sequences, op9_preference_format, op10_url_filter)}
+    return {fn.__name__: fn for fn in (op1_mix_sources, op2_secret_scan, op3_language_id, op4_pack_sequences, op5_quality_rules, op9_preference_format, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
