@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.catalog import table
-from lattice.llm import langid, mixing, neardup, packing, preference, quality, secrets, substring, url_filter
+from lattice.llm import langid, media, mixing, neardup, packing, preference, quality, secrets, substring, url_filter
 
 #: Target weights: four curated sources count double, the hot one is held at a tenth, all others share the rest.
 MIX_WEIGHTS = {"src0": 0.10, "src1": 0.10, "src2": 0.10, "src3": 0.10, "src4": 0.10, mixing.OTHER: 0.50}
@@ -44,6 +44,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 6).alias("distance"))
 
 
+def op6_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store(table(spark, sf_dir, "documents"))).drop("text")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -133,7 +137,7 @@ SELECT page_id, host, path, {rule} AS rule, {verdict} WHEN {listed} THEN 'block'
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {fn.__name__: fn for fn in (op1_mix_sources, op2_secret_scan, op3_language_id, op4_pack_sequences, op5_quality_rules, op7_substring_dedup, op8_near_duplicates, op9_preference_format, op10_url_filter)}
+    return {fn.__name__: fn for fn in (op1_mix_sources, op2_secret_scan, op3_language_id, op4_pack_sequences, op5_quality_rules, op6_media_webp, op7_substring_dedup, op8_near_duplicates, op9_preference_format, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
