@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+#: Modules of this folder that register queries when they are imported.
+MODULES = ("relational",)
+
+
 def _load() -> None:
-    return None
+    for name in MODULES:
+        importlib.import_module(f"lattice.plans.{name}")
 
 
 def queries() -> dict[str, Query]:
