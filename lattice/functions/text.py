@@ -171,7 +171,11 @@ def stop_word_language(text: Column) -> Column:
         "fr": ("le", "les", "et", "des", "est", "la", "une", "dans", "pour", "du"),
     }
     tokens = F.split(F.lower(text), "[^a-zà-öø-ÿ]+")
-    counts = {lang: F.size(F.filter(tokens, lambda t, w=list(ws): t.isin(w))) for lang, ws in lists.items()}
+
+    def count(common: tuple[str, ...]) -> Column:
+        return F.size(F.filter(tokens, lambda t: t.isin(list(common))))
+
+    counts = {lang: count(ws) for lang, ws in lists.items()}
     best = F.greatest(*counts.values())
     out = F.when(best == 0, F.lit("und"))
     for lang, n in counts.items():

@@ -1,0 +1,48 @@
+"""Section trees as flat rows: parents, closures, preorder, roll-ups."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def parents_by_level(headings: DataFrame, keys: Sequence[str], order: str, level: str, deepest: int = 6) -> DataFrame:
+    """The parent of a heading is the last one before it of a smaller level. Levels are few (``deepest``), so each level's last position is one running window."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = headings
+    for n in range(1, deepest):
+        out = out.withColumn(f"_l{n}", F.last(F.when(F.col(level) == n, F.col(order)), ignorenulls=True).over(w))
+    above = [F.when(F.col(level) > n, F.col(f"_l{n}")) for n in range(1, deepest)]
+    return out.withColumn("parent", F.greatest(*above)).drop(*(f"_l{n}" for n in range(1, deepest)))
+
+
+def closure(edges: DataFrame, node: str, parent: str, view: str, depth: int = 32) -> DataFrame:
+    """(ancestor, node, distance) of every pair along parent links, itself included; paths longer than ``depth`` or through a repeated node end."""
+    edges.createOrReplaceTempView(view)
+    return edges.sparkSession.sql(f"""
+        WITH RECURSIVE up AS (
+          SELECT {node} AS node, {node} AS ancestor, {parent} AS next, 0 AS distance, array({node}) AS path FROM {view}
+          UNION ALL
+          SELECT up.node, t.{node}, t.{parent}, up.distance + 1, concat(up.path, array(t.{node})) FROM up JOIN {view} t ON up.next = t.{node}
+          WHERE up.distance < {depth} AND NOT array_contains(up.path, t.{node}))
+        SELECT ancestor, node, distance FROM up""")
+
+
+def dotted_parent(codes: DataFrame, code: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The parent of 1.2.3 is 1.2 where that exists, else the row is a root."""
+    up = F.regexp_extract(F.col(code), "^(.*)\\.[^.]*$", 1)
+    have = codes.select(*keys, F.col(code).alias("parent")).distinct().withColumn("_there", F.lit(True))
+    joined = codes.withColumn("parent", F.nullif(up, F.lit(""))).join(have, [*keys, "parent"], "left")
+    return joined.withColumn("parent", F.when(F.col("_there"), F.col("parent"))).drop("_there")
+
+
+def end_pages(headings: DataFrame, keys: Sequence[str], order: str, level: str, page: str, last_page: str, deepest: int = 6) -> DataFrame:
+    """A section ends one page before the next heading of its level or above, else on the last page."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    nexts = []
+    for n in range(1, deepest + 1):
+        first = F.first(F.when(F.col(level) <= n, F.struct(F.col(order), F.col(page))), ignorenulls=True).over(w)
+        nexts.append(F.when(F.col(level) == n, first[page] - 1))
+    return headings.withColumn("end_page", F.greatest(F.col(page), F.coalesce(*nexts, F.col(last_page))))

@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: Modules of this folder that register queries when they are imported.
-MODULES = ("relational",)
+MODULES = ("relational", "search", "texts", "timeline", "vectors", "trees")
 
 
 def _load() -> None:
