@@ -1,0 +1,101 @@
+"""Every operator on odd rows and on an empty table: no crash, a row for each row, defined values."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from lattice.llm import langid, media, mixing, neardup, packing, preference, quality, secrets, substring, url_filter
+
+
+def _langid(docs):
+    return langid.identify(docs, langid.train(docs), keep=(langid.held_out().alias("held_out"),))
+
+
+PER_ROW = {
+    "secrets": lambda d: secrets.scan_secrets(d),
+    "langid": _langid,
+    "quality": lambda d: quality.quality_verdicts(d),
+    "media": lambda d: media.features(media.store(d)),
+    "substring": lambda d: substring.deduplicate_substrings(d),
+    "neardup": lambda d: neardup.near_duplicates(d),
+}
+
+
+@pytest.mark.parametrize("name", PER_ROW)
+def test_one_row_for_each_row(name, odd, odd_rows):
+    rows = PER_ROW[name](odd).collect()
+    key = lambda i: (i is None, i)
+    assert sorted((r.doc_id for r in rows), key=key) == sorted((r[0] for r in odd_rows), key=key)
+
+
+@pytest.mark.parametrize("name", PER_ROW)
+def test_empty_table(name, empty):
+    assert PER_ROW[name](empty).collect() == []
+
+
+def test_values_of_odd_texts(odd):
+    verdicts = {r.doc_id: r for r in quality.quality_verdicts(odd).collect()}
+    assert (verdicts[1].n_words, verdicts[3].n_words, verdicts[12].n_dup_lines) == (0, 0, 8) and not verdicts[1].kept
+    assert verdicts[12].n_repeat_words == 27 and verdicts[12].base_failed
+    near = {}
+    for r in neardup.near_duplicates(odd).collect():
+        near.setdefault(r.doc_id, []).append((r.n_shingles, r.component_id, r.kept))
+    assert near[1] == [(0, 1, True)] and near[3] == [(0, 3, True)] and near[4] == [(1, 4, True)]
+    assert near[6][0][1:] == (5, False) and near[7][0] == near[7][1] and near[8][0][1:] == (7, False)
+    assert {x[1:] for x in near[None]} == {(None, True)}
+    language = {r.doc_id: r for r in _langid(odd).collect()}
+    assert [(language[i].lang_pred, language[i].score) for i in (1, 2, 3, 10)] == [("und", 0.0)] * 4
+    cut = {r.doc_id: r for r in substring.deduplicate_substrings(odd).collect() if r.doc_id is not None}
+    assert cut[6].n_removed == cut[6].n_words == 6000 and cut[5].n_removed == 0
+    assert cut[7].n_removed == 0 and cut[8].n_removed == 60 and cut[8].kept_text == "extra"
+
+
+def test_packing_of_odd_rows(odd, empty):
+    rows = packing.pack_documents(odd).collect()
+    assert sum(r.length for r in rows if r.doc_id == 1) == 1 == next(r.doc_tokens for r in rows if r.doc_id == 2)
+    assert sum(r.length for r in rows if r.doc_id == 7) == 2 * next(r.doc_tokens for r in rows if r.doc_id == 7)
+    assert packing.pack_documents(empty).collect() == []
+
+
+def test_mixing_of_odd_rows(odd, empty):
+    mixed = mixing.mix_sources(odd, {"a": 1.0, mixing.OTHER: 1.0}, total_factor=3.0)
+    assert mixed.columns[:7] == odd.columns and mixed.count() > 0
+    assert mixed.select("doc_id", "mix_copies").where("doc_id = 7").distinct().count() == 1
+    assert mixing.mix_sources(empty, {"a": 1.0}).collect() == []
+    assert mixing.mix_sources(odd, {"a": 1.0}).where("mix_bucket = '*'").count() == 0
+
+
+def test_urls(spark):
+    rows = [(1, None), (2, ""), (3, "no scheme"), (4, "HTTP://WWW.Example.COM/en/7x?q=/a"), (4, "HTTP://WWW.Example.COM/en/7x?q=/a"), (None, "x://bad.org#f"), (5, "a://b://c/d"), (6, "x://sub.bad.org/p\nq")]
+    pages = spark.createDataFrame([(i, u, "z", True) for i, u in rows], "page_id long, url string, host string, listed boolean")
+    out = {}
+    for listing in (["bad.org"], spark.createDataFrame([("bad.org",), (None,)], "entry string")):
+        for most in (1 << 20, 0):
+            got = url_filter.url_filter(pages, listing, (("block", "com/en/"), ("allow", "example.com/en/7")), max_broadcast_bytes=most)
+            out[most, type(listing)] = sorted(map(repr, got.collect()))
+    assert len({tuple(v) for v in out.values()}) == 1
+    by = {r.page_id: r for r in got.collect()}
+    assert (by[4].host, by[4].path, by[4].rule, by[4].verdict) == ("www.example.com", "/en/7x", "example.com/en/7", "allow")
+    assert [(by[i].host, by[i].path, by[i].verdict) for i in (1, 2, 3)] == [("", "", "allow")] * 3
+    assert (by[None].host, by[None].verdict, by[5].host, by[5].path, by[6].verdict, by[6].path) == ("bad.org", "block", "b:", "//c/d", "block", "/p\nq")
+    assert url_filter.url_filter(pages.limit(0), ["a"]).collect() == []
+
+
+def test_digest_collisions():
+    same = lambda raw: 7
+    import numpy as np
+
+    array = url_filter.DigestArray(np.frombuffer(url_filter.DigestArray.pack(["a", "b", "c"], same), np.uint8))
+    assert array.contains(["b", "d", "a", ""], same).tolist() == [True, False, True, False]
+
+
+def test_preferences(spark):
+    rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (1, 2, "user", None), (2, 0, "user", "alone"), (None, None, None, None), (4, 0, "user", "q"), (4, 0, "user", "q"), (5, 0, "user", "q")]
+    turns = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, prompt string")
+    out = {r.pair_id: r for r in preference.format_preferences(turns, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0).collect()}
+    a = out[0]
+    assert (a.prompt_turns, a.prompt, a.chosen, a.rejected) == (1, "<|user|>\nhi<|end|>\n", "<|assistant|>\nyes<|end|>\n", "<|assistant|>\nno<|end|>\n<|user|>\n<|end|>\n")
+    start, end = map(int, a.chosen_mask.split(":"))
+    assert a.chosen[start:end] == "yes<|end|>" and a.rejected[slice(*map(int, a.rejected_mask.split(":")))] == "no<|end|>"
+    assert (out[1].prompt_turns, out[1].rejected, out[1].rejected_mask, out[1].n_rejected) == (0, "", "", 0)
+    assert (out[2].prompt_turns, out[2].n_chosen, out[2].chosen) == (1, 2, "<|user|>\nq<|end|>\n") and None in out
+    assert preference.format_preferences(turns.limit(0), F.col("conv_id"), F.lit(True)).collect() == []
