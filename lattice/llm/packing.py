@@ -24,15 +24,35 @@ GRAIN = 32
 #: Windows with at most this much slack are left as they are.
 TOLERANCE = 16
 #: Chunks of text whose tokens a worker remembers.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 700_000
 
 # --- tokens ----------------------------------------------------------------------------------
 
-#: Chunks that the tokenizer never joins to their neighbours, in texts that _ODD does not match: a line feed, or
-#: other characters with at most one space before them.
-_CHUNK = re.compile(r"\n| ?[^ \n]+")
-#: White space and controls other than single spaces and line feeds between words.
-_ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0 ᠎ -‏ -  -⁤　﻿]|  | \n|\n | $|\n\n")
+#: Chunks that the tokenizer never joins to their neighbours, in texts that `_plain` accepts: a run of Latin letters that no
+#: other letter follows, a line feed, or other characters, the first and last with at most one space before them.
+_CHUNK = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?![^\W\d_])|\n| ?[^ \n]+")
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+#: Bytes of controls, and lead bytes of every white space and format character beyond ASCII.
+_SUSPECT = bytes([*range(10), *range(11, 32), 127, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
+_ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u00ad\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+
+
+def _plain(text: str) -> bool:
+    """Whether all white space is single spaces before words and single line feeds between lines."""
+    if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text.endswith(" "):
+        return False
+    raw = text.encode()
+    return len(raw.translate(None, _SUSPECT)) == len(raw) or not _ODD.search(text)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte: itself where printable, else the next from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, spare = {}, 256
+    for byte in range(256):
+        out[byte] = chr(byte if byte in printable else spare)
+        spare += byte not in printable
+    return out
 
 
 class Tokens:
@@ -43,22 +63,35 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.letters = _byte_letters()
         self.cache: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode new chunks; one run of letters is one word to the model, without the steps before it."""
+        model, letters = self.tokenizer.model, self.letters
+        others = []
+        for c in chunks:
+            if _LETTERS.fullmatch(c):
+                tokens = model.tokenize(c.encode().decode("latin-1").translate(letters))
+                self.cache[c] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+            else:
+                others.append(c)
+        for at in range(0, len(others), 4096):
+            part = others[at : at + 4096]
+            self.cache.update(zip(part, self._encode(part), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [None if _ODD.search(t) else _CHUNK.findall(t) for t in texts]
+        chunks = [_CHUNK.findall(t) if _plain(t) else None for t in texts]
         cache = self.cache
         unknown = list({c for some in chunks if some for c in some if c not in cache})
         if len(cache) + len(unknown) > CACHE_ENTRIES:
             cache.clear()
             unknown = list({c for some in chunks if some for c in some})
-        for at in range(0, len(unknown), 4096):
-            part = unknown[at : at + 4096]
-            cache.update(zip(part, self._encode(part), strict=True))
+        self._learn(unknown)
         whole = iter(self._encode([t for t, some in zip(texts, chunks, strict=True) if some is None]))
         return [next(whole) if some is None else b"".join(map(cache.__getitem__, some)) for some in chunks]
 
