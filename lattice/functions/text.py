@@ -16,8 +16,11 @@ def words(text: Column) -> Column:
 
 
 def _grams_of(run: Column, sizes: tuple[int, ...]) -> Column:
-    parts = [F.when(F.length(run) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(run, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]
-    return F.concat(*parts)
+    def grams(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(run) - (n - 1), F.lit(1)))
+        return F.when(F.length(run) >= n, F.transform(starts, lambda i: F.substring(run, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*map(grams, sizes))
 
 
 def query_terms(text: Column, stop: tuple[str, ...] = ()) -> Column:
