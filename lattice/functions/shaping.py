@@ -54,7 +54,7 @@ def script(text: Column) -> Column:
 
 def question_parts(text: Column) -> Column:
     """Sub-questions at line feeds and sentence marks, first seen kept."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, "[\\n;；。！？!?]+"), F.trim), lambda p: p != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, "[\\n;；。！？!?]+"), lambda p: F.trim(p)), lambda p: p != ""))
 
 
 def output_name(parts: Sequence[Column], extension: str) -> Column:
@@ -128,3 +128,37 @@ def similarity(a: Column, b: Column) -> Column:
         return pd.Series([round(difflib.SequenceMatcher(None, core(p), core(q), autojunk=False).ratio(), 6) for p, q in zip(x, y, strict=True)])
 
     return F.pandas_udf(ratio, T.DoubleType())(a, b)
+
+
+def tolerant_json(text: Column) -> Column:
+    """The JSON object or array inside an answer: fences go, text before and after is left out; null where nothing parses."""
+    bare = F.regexp_replace(text, "```[a-zA-Z]*", "")
+    found = F.coalesce(F.nullif(F.regexp_extract(bare, "(?s)(\\{.*\\})", 1), F.lit("")), F.nullif(F.regexp_extract(bare, "(?s)(\\[.*\\])", 1), F.lit("")))
+    fixed = F.regexp_replace(found, ",\\s*([}\\]])", "$1")
+    return F.when(F.try_parse_json(fixed).isNotNull(), fixed)
+
+
+def table_columns(html: Column) -> Column:
+    """Columns of the widest row of a table: its cells, each by its colspan."""
+    rows = F.regexp_extract_all(html, F.lit("(?is)<tr\\b.*?</tr>"), F.lit(0))
+
+    def width(row: Column) -> Column:
+        cells = F.regexp_extract_all(row, F.lit("(?i)<t[dh]\\b[^>]*>"), F.lit(0))
+        spans = F.transform(cells, lambda c: F.coalesce(F.nullif(F.regexp_extract(c, "(?i)colspan\\s*=\\s*[\"']?(\\d+)", 1), F.lit("")).cast("int"), F.lit(1)))
+        return F.aggregate(spans, F.lit(0), lambda a, n: a + n)
+
+    return F.coalesce(F.array_max(F.transform(rows, width)), F.lit(0))
+
+
+def intent(text: Column, weights: Mapping[str, Sequence[tuple[str, int]]], otherwise: str) -> Column:
+    """The workflow whose patterns weigh most (the first named on ties), or ``otherwise`` where none matches."""
+    scores = {}
+    for name, patterns in weights.items():
+        scores[name] = F.lit(0)
+        for pattern, weight in patterns:
+            scores[name] = scores[name] + F.when(text.rlike(pattern), weight).otherwise(0)
+    best = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
+    out = F.when(best == 0, F.lit(otherwise))
+    for name, score in scores.items():
+        out = out.when(score == best, name)
+    return out

@@ -241,3 +241,23 @@ def xy_cut(boxes: Sequence[tuple[float, float, float, float]]) -> list[int]:
         return order([i for i in indices if boxes[i][axis] < at]) + order([i for i in indices if boxes[i][axis] >= at])
 
     return order(list(range(len(boxes))))
+
+
+def text_lines(spans: Sequence[tuple[float, float]], share: float = 0.6) -> list[int]:
+    """Line of each (top, bottom) span, by top: a span joins the line whose last span it overlaps by more than ``share`` of the lower height."""
+    out, line, last = [0] * len(spans), -1, None
+    for i in sorted(range(len(spans)), key=lambda i: (spans[i][0], i)):
+        top, bottom = spans[i]
+        joins = last is not None and min(bottom, last[1]) - max(top, last[0]) > share * min(bottom - top, last[1] - last[0])
+        line += not joins
+        out[i], last = line, (top, bottom)
+    return out
+
+
+def expand_optional(covered: Sequence[bool], scores: Sequence[float], sizes: Sequence[int], gap: int, least: float) -> list[bool]:
+    """Possible documents that fill what is left: uncovered ones first, then by score; those below ``least`` or beyond the gap are passed over."""
+    out, used = [False] * len(scores), 0
+    for i in sorted(range(len(scores)), key=lambda i: (covered[i], -scores[i], i)):
+        if scores[i] >= least and used < gap and used + sizes[i] <= gap:
+            out[i], used = True, used + sizes[i]
+    return out

@@ -124,3 +124,29 @@ def scarcity(matches: DataFrame, candidate: str, group: str) -> DataFrame:
     """Gain of each candidate: the sum over its groups of 1 / candidates in the group."""
     sizes = matches.groupBy(group).agg(F.count_distinct(candidate).alias("_n"))
     return matches.select(candidate, group).distinct().join(sizes, group).groupBy(candidate).agg(F.round(F.sum(1 / F.greatest("_n", F.lit(1))), 9).alias("gain"), F.count(F.lit(1)).alias("groups"))
+
+
+def predicate_fusion(rows: DataFrame, predicate: str, unit: str, exhaustive: bool = False, visual_threshold: float = 62.0) -> DataFrame:
+    """Fuse lexical, model, vector and visual scores (0 to 100, null where absent) of (predicate, unit, grounding).
+
+    Each channel ranks its own scores; r = mean of 1 / (60 + rank) over the channels present, times 6100. Score = .82 x max(lexical,
+    grounded model, min(vector, 70)) + .18 x min(100, r). A unit passes with lexical of 60, a grounded model of 55 (35 if
+    exhaustive) or a visual score at the threshold, and a score of 60 (35); 12 a predicate unless exhaustive.
+    """
+    low = 35.0 if exhaustive else 55.0
+    cut = 35.0 if exhaustive else 60.0
+    model = F.when(F.col("grounding") >= 0.35, F.col("model"))
+    out = rows.withColumn("_model", model)
+    parts = []
+    for c in ("lexical", "_model", "vector", "visual"):
+        out = out.withColumn(f"_r_{c}", F.when(F.col(c).isNotNull(), F.rank().over(Window.partitionBy(predicate).orderBy(F.desc_nulls_last(c)))))
+        parts.append(F.when(F.col(f"_r_{c}").isNotNull(), 1 / (60 + F.col(f"_r_{c}"))))
+    present = sum((p.isNotNull().cast("int") for p in parts[1:]), parts[0].isNotNull().cast("int"))
+    total = sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0)))
+    r = F.when(present > 0, total / present * 6100).otherwise(0.0)
+    zero = F.lit(0.0)
+    base = F.greatest(F.coalesce("lexical", zero), F.coalesce("_model", zero), F.least(F.coalesce("vector", zero), F.lit(70.0)))
+    scored = out.withColumn("score", F.round(0.82 * base + 0.18 * F.least(F.lit(100.0), r), 6))
+    gate = (F.coalesce("lexical", zero) >= 60) | (F.coalesce("_model", zero) >= low) | (F.coalesce("visual", zero) >= visual_threshold)
+    passed = scored.where(gate & (F.col("score") >= cut)).select(predicate, unit, "score")
+    return top_k(passed, [predicate], [F.desc("score"), F.asc(unit)], 2**31 - 1 if exhaustive else 12)

@@ -191,3 +191,31 @@ def kmeans_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("output_names", "SELECT p_partkey, regexp_replace(p_name || '_' || p_brand || '_v' || p_size, '[^A-Za-z0-9_.-]+', '-', 'g') || '.mp4' AS file_name FROM part")
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", shaping.output_name([F.col("p_name"), F.col("p_brand"), F.concat(F.lit("v"), F.col("p_size").cast("string"))], ".mp4").alias("file_name"))
+
+
+#: Patterns of a question with their weights, by workflow.
+_INTENTS = {"report": ((r"(?i)report|overview", 3), (r"(?i)\bthe\b", 1)), "search": ((r"(?i)token|und ", 2), (r"\?", 1)), "chat": ((r"(?i)^(hi|hello)\b", 5),)}
+
+
+@query("intent_rules", """
+WITH s AS (SELECT conv_id, turn, 3 * regexp_matches(text, '(?i)report|overview')::INT + regexp_matches(text, '(?i)\\bthe\\b')::INT AS r, 2 * regexp_matches(text, '(?i)token|und ')::INT + regexp_matches(text, '\\?')::INT AS s, 5 * regexp_matches(text, '(?i)^(hi|hello)\\b')::INT AS c FROM conversations)
+SELECT conv_id, turn, CASE WHEN greatest(r, s, c) = 0 THEN 'other' WHEN r = greatest(r, s, c) THEN 'report' WHEN s = greatest(r, s, c) THEN 'search' ELSE 'chat' END AS intent FROM s""")
+def intent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", shaping.intent(F.col("text"), _INTENTS, "other").alias("intent"))
+
+
+@query("line_clusters")
+def line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of a page grouped to lines by vertical overlap."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 100).alias("top"), (F.col("l_discount") * 100 + F.col("l_tax") * 50 + 1).alias("bottom"))
+    decide = lambda top, bottom: folds.text_lines(list(zip(top, bottom, strict=True)))
+    return folds.fold_column(li, ["l_orderkey"], ["l_linenumber", "top", "bottom"], ["top", "bottom"], decide, "line", T.LongType()).select("l_orderkey", "l_linenumber", "line")
+
+
+@query("optional_expansion")
+def optional_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' parts that fill the rest of an order's budget, new suppliers first."""
+    w = Window.partitionBy("l_orderkey", "l_suppkey").orderBy("l_linenumber")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.row_number().over(w) > 1).alias("covered"), F.col("l_discount").alias("score"), F.col("l_quantity").cast("long").alias("size"))
+    decide = lambda covered, score, size: folds.expand_optional(covered, score, size, 90, 0.02)
+    return folds.fold_column(li, ["l_orderkey"], ["l_linenumber", "size"], ["covered", "score", "size"], decide, "taken", T.BooleanType()).select("l_orderkey", "l_linenumber", "taken")

@@ -184,3 +184,19 @@ def citation_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     markers = c.select("conv_id", "turn", F.explode(F.regexp_extract_all(answer, F.lit("\\[(\\d+)\\]"), F.lit(1)).cast("array<long>")).alias("n"))
     evidence = c.select("conv_id", (F.col("turn") + 1).alias("n"), F.lit(True).alias("hit"))
     return markers.join(evidence, ["conv_id", "n"], "left").select("conv_id", "turn", "n", F.coalesce("hit", F.lit(False)).alias("valid"))
+
+
+@query("predicate_fusion", """
+WITH b AS (SELECT user_id AS predicate, event_id AS unit, value AS lexical, CASE WHEN event_id % 3 > 0 THEN json_extract(props, '$.k')::DOUBLE END AS model, CASE WHEN event_type = 'view' THEN 80.0 ELSE 40.0 END::DOUBLE AS vector, (event_id % 5) / 5 AS grounding FROM events),
+m AS (SELECT *, CASE WHEN grounding >= 0.35 THEN model END AS gm FROM b),
+k AS (SELECT *, rank() OVER (PARTITION BY predicate ORDER BY lexical DESC) AS rl, CASE WHEN gm IS NOT NULL THEN rank() OVER (PARTITION BY predicate ORDER BY gm DESC NULLS LAST) END AS rm, rank() OVER (PARTITION BY predicate ORDER BY vector DESC) AS rv FROM m),
+s AS (SELECT *, round(0.82 * greatest(lexical, coalesce(gm, 0), least(vector, 70)) + 0.18 * least(100, (1 / (60 + rl) + coalesce(1 / (60 + rm), 0) + 1 / (60 + rv)) / (2 + (rm IS NOT NULL)::INT) * 6100), 6) AS score FROM k)
+SELECT predicate, unit, score, row_number() OVER (PARTITION BY predicate ORDER BY score DESC, unit) AS rank FROM s WHERE (lexical >= 60 OR gm >= 55) AND score >= 60 QUALIFY rank <= 12""")
+def predicate_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    rows = e.select(
+        F.col("user_id").alias("predicate"), F.col("event_id").alias("unit"), F.col("value").alias("lexical"),
+        F.when(F.col("event_id") % 3 > 0, F.get_json_object("props", "$.k").cast("double")).alias("model"),
+        F.when(F.col("event_type") == "view", 80.0).otherwise(40.0).alias("vector"), F.lit(None).cast("double").alias("visual"), ((F.col("event_id") % 5) / 5).alias("grounding"),
+    )
+    return search.predicate_fusion(rows, "predicate", "unit")

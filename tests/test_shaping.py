@@ -27,3 +27,19 @@ def test_splits():
 
 def test_similarity(spark):
     assert one(spark, shaping.similarity(F.col("t"), F.lit("a,b c")), "abc!") == 1.0
+
+
+def test_answers_and_tables(spark):
+    assert one(spark, shaping.tolerant_json(F.col("t")), "Sure:\n```json\n{\"a\": [1, 2,],}\n``` done") == '{"a": [1, 2]}'
+    assert one(spark, shaping.tolerant_json(F.col("t")), "no json {here") is None and one(spark, shaping.tolerant_json(F.col("t")), "x [1] y") == "[1]"
+    assert one(spark, shaping.table_columns(F.col("t")), "<table><tr><td>a</td></tr><TR><th colspan='2'>b</th><td>c</td></TR></table>") == 3
+    assert one(spark, shaping.table_columns(F.col("t")), "none") == 0
+    rules = {"x": [("a+", 1), ("b", 3)], "y": [("a", 2)]}
+    assert [one(spark, shaping.intent(F.col("t"), rules, "z"), t) for t in ("aa", "b", "c")] == ["y", "x", "z"]
+
+
+def test_line_and_expansion_folds():
+    from lattice.operators import folds
+
+    assert folds.text_lines([(0, 10), (20, 30), (1, 9), (24, 34)]) == [0, 1, 0, 2]
+    assert folds.expand_optional([True, False, False], [9, 1, 3], [5, 5, 5], 10, 2) == [True, False, True]
