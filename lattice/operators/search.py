@@ -54,7 +54,7 @@ def term_hits(index: DataFrame, queries: DataFrame, doc_id: str, query_id: str)
 def top_k(scored: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group with their rank; Spark cuts every partition to k before it shuffles."""
     w = Window.partitionBy(*group).orderBy(*order)
-    return scored.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    return scored.withColumn(rank, F.row_number().over(w).cast("long")).where(F.col(rank) <= k)
 
 
 def fuse(lists: Sequence[DataFrame], keys: Sequence[str], k: int = 60) -> DataFrame:
@@ -91,8 +91,8 @@ def positive_or_all(scored: DataFrame, group: Sequence[str], score: str) -> Data
 def round_robin(rows: DataFrame, queue: Sequence[str], order: Sequence[Column], group: Sequence[str] = ()) -> DataFrame:
     """Interleave queues: the first of every queue in key order, then the second, and so on. Adds ``turn`` and ``position``."""
     turn = Window.partitionBy(*group, *queue).orderBy(*order)
-    placed = rows.withColumn("turn", F.row_number().over(turn))
-    return placed.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy("turn", *queue)))
+    placed = rows.withColumn("turn", F.row_number().over(turn).cast("long"))
+    return placed.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy("turn", *queue)).cast("long"))
 
 
 def keyword_prefilter(docs: DataFrame, groups: DataFrame, name: str, description: str, minimum: float = 0.0) -> DataFrame:

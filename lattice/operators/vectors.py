@@ -28,7 +28,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_i
         part = pairs.select(F.col(f"_p.{query_id}").alias(query_id), vec_id, F.round(vx.cosine(F.col(embedding), F.col("_p._q")), 6).alias("score"))
         scored = part if at == 0 else scored.unionByName(part)
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), vec_id)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def mean_pool(rows: DataFrame, keys: Sequence[str], embedding: str, weight: Column | None = None) -> DataFrame:

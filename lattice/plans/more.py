@@ -49,7 +49,7 @@ def frame_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
 f AS (SELECT *, coalesce(NOT (NOT regexp_matches(lag(line) OVER w, '[.!?:;。！？]$') AND NOT regexp_matches(line, '^[0-9A-Z]')), true) AS new FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
 g AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS p FROM f)
-SELECT doc_id, p AS paragraph, count(*) AS n_lines, sum(length(line))::BIGINT AS chars FROM g GROUP BY 1, 2""")
+SELECT doc_id, p::BIGINT AS paragraph, count(*) AS n_lines, sum(length(line))::BIGINT AS chars FROM g GROUP BY 1, 2""")
 def paragraph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("pos")
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))

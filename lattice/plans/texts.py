@@ -46,7 +46,7 @@ t AS (SELECT doc_id, regexp_replace(s, '^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+
 SELECT doc_id, count(*) AS n, max(length(s)) AS longest, sum(length(s))::BIGINT AS total FROM t WHERE s <> '' GROUP BY 1""")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.sentences(F.col("text"))).alias("s"))
-    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("s")).alias("longest"), F.sum(F.length("s")).alias("total"))
+    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("s")).cast("long").alias("longest"), F.sum(F.length("s")).alias("total"))
 
 
 @query("text_quality_flags", """
@@ -56,9 +56,9 @@ WITH c AS (SELECT doc_id, length(text) AS n, length(text) - length(regexp_replac
 SELECT *, n >= 100 AND punct >= 0.25 * n AS odd_punctuation, n >= 300 AND control >= 0.03 * n AS garbled, n < 50 AS sparse FROM c""")
 def text_quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    without = lambda p: F.length(t) - F.length(F.regexp_replace(t, p, ""))
+    without = lambda p: (F.length(t) - F.length(F.regexp_replace(t, p, ""))).cast("long")
     c = table(spark, sf_dir, "documents").select(
-        "doc_id", F.length(t).alias("n"), without("[!-/:-@\\[-`{-~]").alias("punct"), without("[0-9]").alias("digits"), without("[A-Z]").alias("upper"),
+        "doc_id", F.length(t).cast("long").alias("n"), without("[!-/:-@\\[-`{-~]").alias("punct"), without("[0-9]").alias("digits"), without("[A-Z]").alias("upper"),
         without("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]").alias("control"),
     )
     n = F.col("n")
@@ -104,7 +104,7 @@ def top_tokens_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = table(spark, sf_dir, "documents").select("source", F.explode(tx.words(F.col("text"))).alias("term"))
     counts = terms.groupBy("source", "term").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("source").orderBy(F.desc("n"), "term")
-    return counts.withColumn("rank", F.row_number().over(w)).where("rank <= 24")
+    return counts.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 24")
 
 
 @query("material_size", """
@@ -115,7 +115,7 @@ def material_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("token_count_fallback", "SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest(1, length(text) // 4) END AS n_tokens FROM documents")
 def token_count_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("n_tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.token_estimate(F.col("text")).cast("long").alias("n_tokens"))
 
 
 @query("char_windows_overlap", """
@@ -124,7 +124,7 @@ SELECT doc_id, s AS start, length(substr(text, s, 2000)) AS n, md5(substr(text,
 def char_windows_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.greatest(F.length("text") - 200, F.lit(1)), F.lit(1800))).alias("start"))
     part = F.substring("text", F.col("start"), F.lit(2000))
-    return docs.select("doc_id", F.col("start").cast("long").alias("start"), F.length(part).alias("n"), F.md5(part).alias("digest"))
+    return docs.select("doc_id", F.col("start").cast("long").alias("start"), F.length(part).cast("long").alias("n"), F.md5(part).alias("digest"))
 
 
 @query("loose_source_key", "SELECT source, regexp_replace(lower(source || ' (A-B)_.x'), '[\\s._\\-()\\[\\]]+', '', 'g') AS k, count(*) AS n FROM documents GROUP BY 1")

@@ -59,14 +59,14 @@ def scope_overlap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH d AS (SELECT DISTINCT user_id, date_diff('day', TIMESTAMP '2024-01-01', ts) AS day FROM events), g AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day) AS g FROM d)
 SELECT user_id, min(day) AS "start", max(day) AS "end", count(*) AS size FROM g GROUP BY user_id, g""")
 def gap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long")
     return iv.bands(table(spark, sf_dir, "events").select("user_id", day.alias("day")), ["user_id"], "day")
 
 
 @query("n_largest_gaps", f"""
 WITH t AS ({_TURNS}), g AS (SELECT *, round("start" - lag("end") OVER w, 9) AS gap, row_number() OVER w AS pos FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY "start", turn)),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY gap DESC NULLS LAST, pos) AS rk FROM g)
-SELECT conv_id, turn, 1 + sum((gap IS NOT NULL AND rk < 3)::INT) OVER (PARTITION BY conv_id ORDER BY "start", turn ROWS UNBOUNDED PRECEDING) AS part FROM r""")
+SELECT conv_id, turn, (1 + sum((gap IS NOT NULL AND rk < 3)::INT) OVER (PARTITION BY conv_id ORDER BY "start", turn ROWS UNBOUNDED PRECEDING))::BIGINT AS part FROM r""")
 def n_largest_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _turns(spark, sf_dir)
     w = Window.partitionBy("conv_id").orderBy("start", "turn")
@@ -96,7 +96,7 @@ def lead_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("shot_grouping", """
 WITH f AS (SELECT user_id, event_id, ts, event_type, coalesce(event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), true) AS n FROM events),
 g AS (SELECT *, sum(n::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS shot FROM f)
-SELECT user_id, shot, any_value(event_type) AS media, count(*) AS segments, min(event_id) AS first_event FROM g GROUP BY user_id, shot""")
+SELECT user_id, shot::BIGINT AS shot, any_value(event_type) AS media, count(*) AS segments, min(event_id) AS first_event FROM g GROUP BY user_id, shot""")
 def shot_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
