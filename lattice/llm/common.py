@@ -20,13 +20,25 @@ CHUNK_BYTES = 1 << 20
 # --- scratch tables ---------------------------------------------------------------------------
 
 
+_scratch: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; where that is unset (tests), below the local temp folder."""
+    """A fresh folder below spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary one; a cluster has to name a shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lattice-")
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return f"{base.rstrip('/')}/lattice-{uuid.uuid4().hex}"
+    _scratch.append(f"{base.rstrip('/')}/lattice-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of this process. Call it when the results that read them are written."""
+    while _scratch:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

@@ -58,7 +58,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    return preference.format_preferences(turns, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0)
+    return preference.format_preferences(turns, F.shiftright("conv_id", 1), F.col("conv_id") % 2 == 0)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,3 +99,18 @@ def test_preferences(spark):
     assert (out[1].prompt_turns, out[1].rejected, out[1].rejected_mask, out[1].n_rejected) == (0, "", "", 0)
     assert (out[2].prompt_turns, out[2].n_chosen, out[2].chosen) == (1, 2, "<|user|>\nq<|end|>\n") and None in out
     assert preference.format_preferences(turns.limit(0), F.col("conv_id"), F.lit(True)).collect() == []
+
+
+def test_scratch_is_dropped(spark, odd):
+    import os
+
+    from lattice.llm import common
+
+    table = common.written(odd, "odd")
+    path = common._scratch[-1].removeprefix("file://")
+    assert table.count() == 16 and os.path.isdir(path)
+    before = list(common._scratch)
+    common._scratch[:] = before[-1:]
+    common.drop_scratch(spark)
+    assert not os.path.exists(path) and not common._scratch
+    common._scratch[:] = before[:-1]
