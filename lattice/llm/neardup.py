@@ -231,7 +231,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, id_col: str
     signed_docs = written(signatures(texts), "signatures")
     real = signed_docs.where("n_shingles > 0 and doc_id is not null")
     of_set = ["n_shingles", "set_a", "set_b"]
-    classes = real.groupBy(of_set).agg(F.min("doc_id").alias("rep"))
+    # written, so that both sides of the next join are dealt out and a hot class can be split
+    classes = written(real.groupBy(of_set).agg(F.min("doc_id").alias("rep")), "reps")
     members = written(real.select("doc_id", *of_set).join(classes, of_set).select("doc_id", "rep"), "classes")
 
     bands = real.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select("doc_id", F.explode("bands").alias("_key"))
@@ -239,12 +240,13 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, id_col: str
     busy = bands.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     collided = written(bands.join(busy, "_key"), "collided")
     sketches = real.select("doc_id", F.col("sketch").alias("_payload"))
-    meeting = collided.join(sketches, "doc_id")
+    meeting = sketches.join(collided.hint("merge"), "doc_id")
     candidates = _by_unit(_in_blocks(meeting, "_key", "n", SKETCH_BLOCK), sketch_links(sketch_limit(num / den)))
     groups = written(connected_components(candidates.distinct()), "groups")
 
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    chosen = texts.join(groups.join(sizes, "component").withColumnsRenamed({"node": "doc_id", "component": "_key"}), "doc_id")
+    # the merge hints keep one plan at every size: texts and sketches are dealt out by id, never joined to a broadcast list
+    chosen = texts.join(groups.join(sizes, "component").withColumnsRenamed({"node": "doc_id", "component": "_key"}).hint("merge"), "doc_id")
     confirmed = _by_unit(_in_blocks(_sets(chosen), "_key", "n", SET_BLOCK), set_links(num, den))
     # texts that repeat one id link its classes too
     repeated = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
