@@ -19,9 +19,9 @@ SPAN = 13
 #: Sub-runs whose least hash names a window: any two equal windows have the same name.
 ANCHOR = 4
 #: Bytes of text that one task holds at a time; a longer document is a bucket of its own size.
-BUCKET_BYTES = 12 << 20
-#: Words of reference passages that one automaton holds; a bucket with more streams against several.
-SHARD_WORDS = 400_000
+BUCKET_BYTES = 8 << 20
+#: Words of reference passages that one automaton holds; a bucket with more streams against several, one after the other.
+SHARD_WORDS = 150_000
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -104,16 +104,16 @@ class SuffixAutomaton:
                 self.first[state] = doc
 
 
-def covered(automata: Sequence[SuffixAutomaton], words: Sequence[int], doc: int) -> np.ndarray:
-    """Which words lie in a matching window whose least document is smaller than ``doc``."""
-    ends = np.zeros(len(words) + 1, np.int64)
-    for automaton in automata:
-        first = automaton.first
-        for i, state in automaton.matches(words):
-            if first.get(state, _NO_ID) < doc:
-                ends[i] = 1
-    marks = np.zeros(len(words) + 1, np.int64)
-    at = np.flatnonzero(ends)
+def matched_ends(automaton: SuffixAutomaton, words: Sequence[int], doc: int) -> list[int]:
+    """Last positions of the matching windows whose least document is smaller than ``doc``."""
+    first = automaton.first
+    return [i for i, state in automaton.matches(words) if first.get(state, _NO_ID) < doc]
+
+
+def covered(ends: Iterable[int], n_words: int) -> np.ndarray:
+    """Which words lie in a window that ends at one of the positions."""
+    at = np.unique(np.fromiter(ends, np.int64))
+    marks = np.zeros(n_words + 1, np.int64)
     np.add.at(marks, at - SPAN + 1, 1)
     np.add.at(marks, at + 1, -1)
     return np.cumsum(marks[:-1]) > 0
@@ -191,7 +191,7 @@ def _joined(table: pa.Table, column: str, kind) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([*parts, np.zeros(0, kind)]), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
 
 
-def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     Removes every word that lies in a window of SPAN words whose word sequence also starts in a document of a smaller id,
@@ -287,7 +287,7 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
             w_high, w_low = bucket.windows(bucket.valid)
             at = np.minimum(np.searchsorted(high, w_high), len(high) - 1)
             hit = (high[at] == w_high) & (low[at] == w_low)
-            gone = _spans(bucket, bucket.valid[hit], first[at[hit]])
+            gone = _spans(bucket, bucket.valid[hit], first[at[hit]], shard_words)
         n_removed, digests, texts_kept = [], [], []
         raw = bucket.data.tobytes()
         for d in range(table.num_rows):
@@ -309,40 +309,39 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return held.cogroup(firsts.groupBy("bucket")).applyInArrow(removed, out)
 
 
-def _spans(bucket: _Bucket, at: np.ndarray, first: np.ndarray) -> dict[int, np.ndarray]:
+def _spans(bucket: _Bucket, at: np.ndarray, first: np.ndarray, shard_words: int) -> dict[int, np.ndarray]:
     """For each document with a repeated window, which of its words go.
 
-    Reference passages are the maximal runs of repeated windows, each distinct one once. They are put into automata of at
-    most SHARD_WORDS words, and every such document is streamed against each.
+    Reference passages are the maximal runs of repeated windows, each distinct one once. They make automata of at most
+    ``shard_words`` words, one at a time, and every such document is streamed against each.
     """
     if not len(at):
         return {}
     symbols = bucket.words.view(np.int64)
     breaks = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (bucket.doc[at[1:]] != bucket.doc[at[:-1]])]))
-    passages: dict[tuple[int, ...], dict[int, int]] = {}
+    passages: dict[bytes, tuple[int, int]] = {}
     for a, b in zip(breaks.tolist(), [*breaks[1:].tolist(), len(at)], strict=True):
-        start = int(at[a])
-        words = tuple(symbols[start : int(at[b - 1]) + SPAN].tolist())
-        if words not in passages:
-            passages[words] = dict(zip(range(SPAN - 1, len(words)), first[a:b].tolist(), strict=True))
-    automata: list[SuffixAutomaton] = []
-    size = SHARD_WORDS
-    for words, firsts in passages.items():
-        if size + len(words) > SHARD_WORDS:
-            automata.append(SuffixAutomaton())
+        passages.setdefault(symbols[int(at[a]) : int(at[b - 1]) + SPAN].tobytes(), (a, b))
+    shards: list[list[tuple[int, int]]] = []
+    size = shard_words
+    for a, b in passages.values():
+        words = b - a + SPAN - 1
+        if size + words > shard_words:
+            shards.append([])
             size = 0
-        automata[-1].add(words)
-        size += len(words)
-    shard, size = 0, 0
-    for words, firsts in passages.items():
-        if size + len(words) > SHARD_WORDS and size:
-            shard, size = shard + 1, 0
-        automata[shard].note(words, firsts)
-        size += len(words)
-    out = {}
-    for d in np.unique(bucket.doc[at]).tolist():
-        words = symbols[bucket.first[d] : bucket.first[d + 1]].tolist()
-        drop = covered(automata, words, int(bucket.ids[d]))
-        if drop.any():
-            out[d] = drop
-    return out
+        shards[-1].append((a, b))
+        size += words
+    del passages
+    ends: dict[int, list[int]] = {}
+    for shard in shards:
+        automaton = SuffixAutomaton()
+        runs = [(symbols[int(at[a]) : int(at[b - 1]) + SPAN].tolist(), first[a:b].tolist()) for a, b in shard]
+        for words, _ in runs:
+            automaton.add(words)
+        for words, firsts in runs:
+            automaton.note(words, dict(zip(range(SPAN - 1, len(words)), firsts, strict=True)))
+        for d in np.unique(bucket.doc[at]).tolist():
+            found = matched_ends(automaton, symbols[bucket.first[d] : bucket.first[d + 1]].tolist(), int(bucket.ids[d]))
+            if found:
+                ends.setdefault(d, []).extend(found)
+    return {d: covered(e, int(bucket.first[d + 1] - bucket.first[d])) for d, e in ends.items()}

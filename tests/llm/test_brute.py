@@ -191,7 +191,8 @@ def test_substrings(spark, sf_dir, texts, monkeypatch):
         words[i] = w = WORD.findall(t)
         for k in range(len(w) - 12):
             first.setdefault(tuple(w[k : k + 13]), i)
-    for r in run(spark, sf_dir, "op7_substring_dedup"):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for r in [*run(spark, sf_dir, "op7_substring_dedup"), *substring.deduplicate_substrings(docs, shard_words=300).collect()]:
         w = words[r.doc_id]
         gone = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < r.doc_id for j in range(k, k + 13)}
         kept = " ".join(x for j, x in enumerate(w) if j not in gone)
