@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -15,16 +16,35 @@ from lattice.llm.common import U64, flat, gram_hashes, mix, pieces, shuffle_part
 from lattice.llm.components import connected_components
 
 SHINGLE = 5
-#: A pair with a similarity of 0.85 shares no band with probability (1 - 0.85 ** 8) ** 44, under one in a million.
-BANDS, ROWS = 44, 8
+#: A pair at the threshold shares no band with at most this probability.
+MISSED = 1e-6
+#: Most rows of a band, and most minima of a document unless bands of one row need more.
+MOST_ROWS, MOST_MINIMA = 8, 640
 #: Bytes of the signature, one for each of the first hash functions, that a pair is judged by before its sets are read.
 SKETCH = 192
 #: Rows of one side of a comparison: larger groups are compared block against block.
 SKETCH_BLOCK, SET_BLOCK = 512, 128
 
-_rng = np.random.default_rng(20240607)
-_A = (_rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64) << U64(32) | _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64)) | U64(1)
-_B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+def banding(threshold: float) -> tuple[int, int]:
+    """Number of bands and rows of each: the longest bands whose minima fit and of which a pair at the threshold shares one but for MISSED cases.
+
+    44 bands of 8 at 0.85 and 76 bands of 8 at 0.8.
+    """
+    for rows in range(MOST_ROWS, 0, -1):
+        hit = threshold**rows
+        bands = 1 if hit >= 1 else math.ceil(math.log(MISSED) / math.log1p(-hit))
+        if rows == 1 or bands * rows <= MOST_MINIMA:
+            break
+    return bands, rows
+
+
+@functools.cache
+def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and summands of n hash functions."""
+    rng = np.random.default_rng(20240607)
+    a = (rng.integers(1, 1 << 32, n, dtype=np.uint64) << U64(32) | rng.integers(0, 1 << 32, n, dtype=np.uint64)) | U64(1)
+    return a, rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
 def sketch_limit(threshold: float) -> int:
@@ -46,22 +66,24 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> I
             yield np.zeros(0, U64)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The least value of (a x + b) mod 2^64, upper half, for each of the BANDS * ROWS functions."""
-    out = np.full(len(_A), np.iinfo(np.uint32).max, np.uint32)
+def minima(shingles: np.ndarray, n: int) -> np.ndarray:
+    """The least value of (a x + b) mod 2^64, upper half, for each of n functions."""
+    a, b = _functions(n)
+    out = np.full(n, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(shingles), 512):  # blocks that stay in the cache
         part = shingles[at : at + 512]
-        values = (_A[:, None] * part[None, :] + _B[:, None]) >> U64(32)
+        values = (a[:, None] * part[None, :] + b[:, None]) >> U64(32)
         np.minimum(out, values.min(1).astype(np.uint32), out=out)
     return out
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, bands, sketch) of (doc_id, text); set_a and set_b name the set in 128 bits."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+    n_bands, n_rows = banding(threshold)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band = np.arange(BANDS, dtype=U64)
+        band = np.arange(n_bands, dtype=U64)
         for batch in batches:
             data, offsets = flat(batch.column(1))
             sizes, set_a, set_b, bands, sketches = [], [], [], [], []
@@ -70,10 +92,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                     sizes.append(len(s))
                     set_a.append(int(signed(np.add.reduce(mix(s), keepdims=True))[0]))
                     set_b.append(int(signed(np.add.reduce(mix(s ^ U64(0xA5A5A5A5A5A5A5A5)), keepdims=True))[0]))
-                    least = minima(s)
+                    least = minima(s, max(n_bands * n_rows, SKETCH))
                     sketches.append(least[:SKETCH].astype(np.uint8).tobytes())
-                    rows = mix(least.astype(U64)).reshape(BANDS, ROWS)
-                    keys = mix((rows * (np.arange(ROWS, dtype=U64) * U64(2) + U64(1))).sum(1) + mix(band))
+                    rows = mix(least[: n_bands * n_rows].astype(U64)).reshape(n_bands, n_rows)
+                    keys = mix((rows * (np.arange(n_rows, dtype=U64) * U64(2) + U64(1))).sum(1) + mix(band))
                     bands.append(signed(keys) if len(s) else keys[:0].view(np.int64))
             counts = np.array([len(k) for k in bands], np.int32)
             edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -228,7 +250,7 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, id_col: str
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     integer = texts.schema["doc_id"].dataType
     texts = texts.withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed_docs = written(signatures(texts), "signatures")
+    signed_docs = written(signatures(texts, num / den), "signatures")
     real = signed_docs.where("n_shingles > 0 and doc_id is not null")
     of_set = ["n_shingles", "set_a", "set_b"]
     # written, so that both sides of the next join are dealt out and a hot class can be split

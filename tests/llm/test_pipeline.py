@@ -32,3 +32,27 @@ def test_odd_rows_and_empty_tables(spark, odd, empty):
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and {r.sequence_id for r in rows} and all(0 < r.length <= 1024 for r in rows)
+
+
+def test_near_duplicates_from_four_fifths_on(spark):
+    """90 shingles with the last 10 changed have a similarity of 80 / 100, with the last 11 changed 79 / 101; 85 is for op8 alone."""
+    from lattice.llm import neardup
+
+    def copy(group, changed):
+        words = [f"g{group}w{i}" for i in range(94)]
+        return " ".join(words[: 94 - changed] + [f"x{w}" for w in words[94 - changed :]])
+
+    rows = [(10 * g + k, copy(g, changed), "en", "a", 1) for g in range(20) for k, changed in enumerate((0, 10 if g % 2 else 11))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {10 * g for g in range(20)} | {10 * g + 1 for g in range(0, 20, 2)}
+    assert neardup.near_duplicates(docs).where("not kept").count() == 0
+
+
+def test_bands_follow_the_threshold():
+    from lattice.llm import neardup
+
+    assert neardup.banding(0.85) == (44, 8) and neardup.banding(0.8) == (76, 8)
+    for threshold in (0.05, 0.3, 0.5, 0.7, 0.8, 0.85, 0.9, 0.99, 1.0):
+        bands, rows = neardup.banding(threshold)
+        assert (1 - threshold**rows) ** bands <= 1.0001e-6
