@@ -21,12 +21,12 @@ SUPPORT = 0.75
 STEPS = 3
 #: Groups with fewer rows use their language's estimate, and languages with fewer the estimate over all.
 LEAST_ROWS = 60
-#: Squared distance beyond which a document is rejected.
-CUTOFF = 30.0
+#: Squared distance beyond which a document is rejected: the 0.999 quantile of the chi-square distribution with four degrees of freedom.
+CUTOFF = 18.4668
 #: Group tables up to this many rows are broadcast; larger ones meet the rows in a shuffle join.
 MAX_BROADCAST_GROUPS = 50_000
 #: Least standard deviation of each transformed statistic: differences below it never count as odd.
-FLOORS = (0.06, 0.12, 0.12, 0.12)
+FLOORS = (0.05, 0.10, 0.12, 0.12)
 DIMS = len(FLOORS)
 #: Median of the chi-square distribution with four degrees of freedom.
 _MEDIAN_CHI2 = 3.35669
