@@ -17,8 +17,8 @@ from lattice.llm.common import U64, flat, gram_hashes, mix, pieces, word_bounds,
 WINDOW = 8
 #: Share of a group's rows that the covariance is estimated on.
 SUPPORT = 0.75
-#: Concentration steps; each can only lower the determinant.
-STEPS = 3
+#: Concentration steps end when no group's subset changes; a group that takes more than this is an error.
+MOST_STEPS = 100
 #: Groups with fewer rows use their language's estimate, and languages with fewer the estimate over all.
 LEAST_ROWS = 60
 #: Squared distance beyond which a document is rejected: the 0.999 quantile of the chi-square distribution with four degrees of freedom.
@@ -156,11 +156,13 @@ def _inverses(moments: DataFrame) -> DataFrame:
 
 
 def _moments(rows: DataFrame) -> DataFrame:
+    """mu and cov of each group, and in ``chosen`` an exact sum that names its rows in any order."""
     aggregates = [F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(DIMS)]
     aggregates += [F.covar_pop(F.col("x")[i], F.col("x")[j]).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)]
-    sums = rows.groupBy("lang_g", "source_g").agg(*aggregates)
+    chosen = F.sum(F.pmod(F.xxhash64("x"), F.lit(1 << 31))).alias("chosen")
+    sums = rows.groupBy("lang_g", "source_g").agg(*aggregates, chosen)
     cov = [F.col(f"c{max(i, j)}{min(i, j)}") for i in range(DIMS) for j in range(DIMS)]
-    return sums.select("lang_g", "source_g", F.array(*(f"m{i}" for i in range(DIMS))).alias("mu"), F.array(*cov).alias("cov"))
+    return sums.select("lang_g", "source_g", F.array(*(f"m{i}" for i in range(DIMS))).alias("mu"), F.array(*cov).alias("cov"), "chosen")
 
 
 def grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -192,6 +194,7 @@ def fit(statistics: DataFrame, lang_col: str = "lang", source_col: str = "source
     Deterministic start from medians and median deviations; then concentration steps: the SUPPORT share of rows nearest
     to the centre gives the next mean and covariance. All groups advance together and every step is a sum over all
     rows with partial aggregation, so a group that holds a third of the rows is no more work for any task than others.
+    The steps go on until every group's subset is that of the step before.
     """
     usable = statistics.where(~base_failed()).select(
         F.coalesce(lang_col, F.lit("")).alias("lang_k"), F.coalesce(source_col, F.lit("")).alias("source_k"), F.array(*transformed()).alias("x")
@@ -206,11 +209,18 @@ def fit(statistics: DataFrame, lang_col: str = "lang", source_col: str = "source
     zero = F.lit(0.0)
     diagonal = F.array(*((F.pow(1.4826 * F.col("mad")[i], F.lit(2.0)) if i == j else zero) for i in range(DIMS) for j in range(DIMS)))
     estimate = written(_inverses(spread.select(*keys, "mu", diagonal.alias("cov"), F.lit(1.0).alias("scale"))), "start")
-    for step in range(STEPS):
+    before = None
+    for step in range(MOST_STEPS):
         near = _joined(rows, estimate, keys).select(*keys, "x", _distance().alias("d"))
         limits = written(near.groupBy(keys).agg(F.percentile("d", F.lit(SUPPORT)).alias("limit")), "limits")
-        moments = _moments(_joined(near, limits, keys).where("d <= limit"))
-        estimate = written(_inverses(moments.withColumn("scale", F.lit(1.0))), f"step{step}") if step < STEPS - 1 else written(moments, "last")
+        moments = written(_moments(_joined(near, limits, keys).where("d <= limit")), f"step{step}")
+        now = moments.agg(F.sum(F.xxhash64(*keys, "chosen").cast("decimal(20,0)")).cast("string")).first()[0]
+        if now == before:
+            break
+        before, estimate = now, written(_inverses(moments.withColumn("scale", F.lit(1.0))), "estimate")
+    else:
+        raise RuntimeError(f"subsets did not settle in {MOST_STEPS} concentration steps")
+    estimate = moments.drop("chosen")
     # consistency: the median distance of the group's rows becomes that of the chi-square distribution
     plain = written(_inverses(estimate.withColumn("scale", F.lit(1.0))), "plain")
     medians = _joined(rows, plain, keys).select(*keys, _distance().alias("d")).groupBy(keys).agg(F.percentile("d", F.lit(0.5)).alias("d"))

@@ -191,6 +191,29 @@ def test_quality_lets_little_junk_pass(spark):
     assert all(r.kept for r in rows if labels[r.doc_id] == 1)
 
 
+def test_quality_steps_run_until_nothing_changes(spark):
+    """Against a plain estimate of one group whose skewed word lengths take more than three steps."""
+    from lattice.llm import quality
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    counts = [(1000, int(5000 + 30000 * e), 0, 10, 0, 0) for e in rng.exponential(1.0, 400)]
+    fields = ", ".join(f"{c}: long" for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"))
+    rows = spark.createDataFrame([("en", "a", c) for c in counts], f"lang string, source string, _stats struct<{fields}>")
+    x = np.array([r.x for r in rows.select(F.array(*quality.transformed()).alias("x")).collect()])
+    floors = np.diag(np.square(quality.FLOORS))
+    mu = np.median(x, 0)
+    spread, found = np.diag((1.4826 * np.median(np.abs(x - mu), 0)) ** 2), []
+    while len(found) < 2 or found[-1] != found[-2]:
+        d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(spread + floors), x - mu)
+        d = np.round(np.log1p(d) * 1024) / 1024
+        near = x[d <= np.percentile(d, 75)]
+        mu, spread = near.mean(0), np.cov(near.T, bias=True)
+        found.append(tuple(mu))
+    assert len(found) > 4
+    assert np.allclose(quality.fit(rows).first().mu, mu, atol=1e-9) and not np.allclose(found[2], mu, atol=1e-3)
+
+
 def test_substrings(spark, sf_dir, texts, monkeypatch):
     from lattice.llm import substring
 
