@@ -271,7 +271,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, id_col: str
     chosen = texts.join(groups.join(sizes, "component").withColumnsRenamed({"node": "doc_id", "component": "_key"}).hint("merge"), "doc_id")
     confirmed = _by_unit(_in_blocks(_sets(chosen), "_key", "n", SET_BLOCK), set_links(num, den))
     # texts that repeat one id link its classes too
-    repeated = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id", "a")
+    repeated = members.join(several, "doc_id").where("rep > a").select("a", F.col("rep").alias("b"))
     components = written(connected_components(confirmed.unionByName(repeated).distinct()), "components")
 
     classed = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))

@@ -64,6 +64,13 @@ def test_mixing_of_odd_rows(odd, empty):
     assert mixing.mix_sources(odd, {"a": 1.0}).where("mix_bucket = '*'").count() == 0
 
 
+def test_every_text_of_a_repeated_id_links(spark):
+    """Id 50 has three texts that share nothing; each is also the text of another id."""
+    words = [" ".join(f"{k}w{i}" for i in range(30)) for k in "abc"]
+    docs = spark.createDataFrame([(50, w) for w in words] + list(zip((10, 20, 30), words)), "doc_id long, text string")
+    assert {r.component_id for r in neardup.near_duplicates(docs).collect()} == {10}
+
+
 def test_urls(spark):
     rows = [(1, None), (2, ""), (3, "no scheme"), (4, "HTTP://WWW.Example.COM/en/7x?q=/a"), (4, "HTTP://WWW.Example.COM/en/7x?q=/a"), (None, "x://bad.org#f"), (5, "a://b://c/d"), (6, "x://sub.bad.org/p\nq")]
     pages = spark.createDataFrame([(i, u, "z", True) for i, u in rows], "page_id long, url string, host string, listed boolean")
