@@ -9,24 +9,15 @@ from pyspark.sql import functions as F
 
 from lattice.functions import vector as vx
 
-#: The query set is stated and bounded; it travels with the plan in blocks of this many vectors.
-MAX_QUERIES, QUERY_BLOCK = 2_000, 64
-
-
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", query_id: str = "query_id", embedding: str = "embedding") -> DataFrame:
-    """(query, vec, score, rank): exact top k by cosine for each query of a stated, bounded query set.
+    """(query, vec, score, rank): exact top k by cosine for each query, however many there are.
 
-    The queries travel with the plan; vectors stay where they are and every task cuts to k per query before the shuffle.
+    Nothing is collected: a small query set is broadcast by the planner, a large one meets the vectors partition by
+    partition. Every task cuts to k per query before the shuffle.
     """
-    rows = queries.select(query_id, embedding).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors; search in blocks")
-    scored = vectors.select(F.lit(0).cast("long").alias(query_id), vec_id, F.lit(0.0).alias("score")).limit(0)
-    for at in range(0, len(rows), QUERY_BLOCK):
-        block = F.array(*(F.struct(F.lit(r[query_id]).cast("long").alias(query_id), F.array(*(F.lit(float(x)) for x in r[embedding])).alias("_q")) for r in rows[at : at + QUERY_BLOCK]))
-        pairs = vectors.select(vec_id, embedding, F.explode(block).alias("_p"))
-        part = pairs.select(F.col(f"_p.{query_id}").alias(query_id), vec_id, F.round(vx.cosine(F.col(embedding), F.col("_p._q")), 6).alias("score"))
-        scored = part if at == 0 else scored.unionByName(part)
+    wanted = queries.select(F.col(query_id).cast("long").alias(query_id), F.col(embedding).alias("_q"))
+    pairs = vectors.select(vec_id, embedding).crossJoin(wanted)
+    scored = pairs.select(query_id, vec_id, F.round(vx.cosine(F.col(embedding), F.col("_q")), 6).alias("score"))
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), vec_id)
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 

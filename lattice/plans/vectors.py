@@ -32,6 +32,25 @@ def filtered_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vo.nearest(v.where(F.col("label").isin(1, 3, 5)), _queries(v), 10)
 
 
+_KNN_ALL = _KNN.replace("vec_id IN (0, 100, 200, 300, 400)", "vec_id % 100 = 0")
+
+
+def _every_100th(vectors: DataFrame) -> DataFrame:
+    return vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("knn_top10_every_100th", _KNN_ALL.format(where="true"))
+def knn_top10_every_100th(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return vo.nearest(v, _every_100th(v), 10)
+
+
+@query("filtered_knn_every_100th", _KNN_ALL.format(where="label IN (1, 3, 5)"))
+def filtered_knn_every_100th(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return vo.nearest(v.where(F.col("label").isin(1, 3, 5)), _every_100th(v), 10)
+
+
 _UNIT = """
 WITH n AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS l FROM embeddings),
 u AS (SELECT vec_id, label, unnest(list_transform(embedding::DOUBLE[], lambda x: x / l)) AS x, generate_subscripts(embedding, 1) AS pos FROM n),

@@ -80,3 +80,11 @@ def test_folds():
     assert folds.edit_log(["apply", "apply", "undo", "redo", "apply"], list("xyzzz"), [0, 1, 2, 3, 0]) == [(1, "x", True), (2, "y", True), (3, "x", True), (4, "y", True), (4, "y", False)]
     assert folds.xy_cut([(50, 0, 90, 10), (0, 0, 40, 10), (0, 20, 90, 30)]) == [1, 0, 2]
     assert folds.utterances([0, 6, 7], [5.5, 6.9, 9], ["a", "a", "b"], ["x", "y.", "z"]) == [0, 0, 1]
+
+
+def test_nearest_takes_any_number_of_queries(spark):
+    from lattice.operators import vectors as vo
+
+    v = spark.range(2100).select(F.col("id").alias("vec_id"), F.array(F.cos("id"), F.sin("id")).alias("embedding"))
+    rows = vo.nearest(v, v.select(F.col("vec_id").alias("query_id"), "embedding"), 1)
+    assert rows.count() == 2100 and rows.where("score < 1").count() == 0
