@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from lattice.functions import vector as vx
 
+#: Rows of one block of a group whose pairs are all compared.
+PAIR_BLOCK = 512
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", query_id: str = "query_id", embedding: str = "embedding") -> DataFrame:
     """(query, vec, score, rank): exact top k by cosine for each query, however many there are.
 
@@ -22,6 +26,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_i
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def pair_cosines(rows: DataFrame, key: str, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(key, a, b, cosine) of every ordered pair of different ids of one key; a large group is compared block against block by many tasks."""
+    blocks = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("_n"))
+    dealt = rows.select(key, vec_id, embedding).join(blocks, key).withColumn("_own", F.pmod(F.xxhash64(vec_id), F.col("_n")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    a = dealt.select(key, F.col("_own").alias("_i"), F.col("_other").alias("_j"), F.col(vec_id).alias("a"), F.col(embedding).alias("_u"))
+    b = dealt.select(key, F.col("_other").alias("_i"), F.col("_own").alias("_j"), F.col(vec_id).alias("b"), F.col(embedding).alias("_v"))
+    return a.join(b, [key, "_i", "_j"]).where("a != b").select(key, "a", "b", F.round(vx.cosine(F.col("_u"), F.col("_v")), 6).alias("cosine"))
+
+
 def mean_pool(rows: DataFrame, keys: Sequence[str], embedding: str, weight: Column | None = None) -> DataFrame:
     """Mean (or weighted mean) of the vectors of each key, normalised; summed position by position, so no group is collected."""
     w = weight if weight is not None else F.lit(1.0)

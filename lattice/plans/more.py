@@ -104,6 +104,15 @@ def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join(a, b, ["label"], 80.0).where("a != b").select("label", "a", "b", F.round(vx.cosine(F.col("u"), F.col("v")), 6).alias("cosine"))
 
 
+@query("similarity_matrix_all", """
+SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id""")
+def similarity_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosines of each id to all others of its group."""
+    from lattice.operators.vectors import pair_cosines
+
+    return pair_cosines(table(spark, sf_dir, "embeddings"), "label")
+
+
 @query("weighted_importance", """
 SELECT user_id, round(0.35 * least(1, max(value) / 100) + 0.35 * (0.8 * avg(value) / 100 + 0.2 * least(1, (epoch(max(ts)) - epoch(min(ts))) / 2678400)) + 0.30 * count(DISTINCT event_type) / 5, 6) AS importance FROM events GROUP BY 1""")
 def weighted_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,3 +88,13 @@ def test_nearest_takes_any_number_of_queries(spark):
     v = spark.range(2100).select(F.col("id").alias("vec_id"), F.array(F.cos("id"), F.sin("id")).alias("embedding"))
     rows = vo.nearest(v, v.select(F.col("vec_id").alias("query_id"), "embedding"), 1)
     assert rows.count() == 2100 and rows.where("score < 1").count() == 0
+
+
+def test_pair_cosines_of_many_blocks(spark, monkeypatch):
+    from lattice.operators import vectors as vo
+
+    monkeypatch.setattr(vo, "PAIR_BLOCK", 16)
+    v = spark.range(100).select((F.col("id") % 2).alias("label"), F.col("id").alias("vec_id"), F.array(F.cos("id"), F.sin("id")).alias("embedding"))
+    pairs = vo.pair_cosines(v, "label")
+    assert pairs.count() == pairs.select("a", "b").distinct().count() == 2 * 50 * 49
+    assert pairs.where(F.abs(F.col("cosine") - F.cos(F.col("a") - F.col("b"))) > 2e-6).count() == 0
