@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 U64 = np.uint64
 _MUL_1, _MUL_2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
 #: Bytes of text that are worked on at a time inside a batch; a longer document is one piece.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = 8 << 20
 
 
 # --- scratch tables ---------------------------------------------------------------------------
@@ -53,6 +58,45 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# --- Arrow batches -----------------------------------------------------------------------------
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have Spark cut Arrow batches by bytes, not by rows alone, where the session allows larger ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Give freed memory back: workers are reused, and what a task leaves behind counts against the next ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow on batches of bounded bytes; each task gives its memory back when it ends."""
+    bound_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int | str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows whose texts in ``column`` have at most ``most`` bytes together (or one longer row)."""
+    for batch in batches:
+        for a, b in pieces(flat(batch.column(column))[1], most or CHUNK_BYTES):
+            yield batch.slice(a, b - a)
+
+
 # --- words -----------------------------------------------------------------------------------
 
 
@@ -67,16 +111,9 @@ _WORD = np.ones(256, bool)
 _WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_POWERS = np.ones(1, U64)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        steps = np.full(max(n, 256), U64(_BASE))
-        steps[0] = 1
-        _POWERS = np.multiply.accumulate(steps)
-    return _POWERS
+#: Words up to this many bytes are hashed eight bytes at a time in arrays, longer ones one by one.
+_LANES = 8
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], U64)
 
 
 def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,22 +151,31 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial in its bytes, mixed."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word; hashes of two seeds are independent, each read from the bytes.
+
+    Eight bytes enter the state at a time, each time through a finaliser: words that differ in one lane leave it with
+    different states. So words of up to eight bytes never collide, and longer ones only by chance.
+    """
     if not len(starts):
         return np.zeros(0, U64)
+    data = _LOWER[data] if lower else data
     lengths = ends - starts
-    width = int(lengths.max())
-    powers = _powers(width + 1)
-    # positions inside words; the bytes between words are left out
-    index = np.arange(int(lengths.sum()), dtype=np.int64)
-    begin = np.zeros(len(lengths), np.int64)
-    np.cumsum(lengths[:-1], out=begin[1:])
-    within = index - np.repeat(begin, lengths)
-    raw = data[np.repeat(starts, lengths) + within]
-    raw = _LOWER[raw] if lower else raw
-    sums = np.add.reduceat((raw.astype(U64) + U64(1)) * powers[within], begin)
-    return mix(sums + lengths.astype(U64) * _MUL_1)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    every = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, 0, (1,))
+    out = mix(lengths.astype(U64) * _MUL_1 + U64(seed * _BASE & 0xFFFFFFFFFFFFFFFF))
+    at, left, where = starts, lengths, slice(None)
+    for lane in range(_LANES):
+        if lane:
+            where = np.flatnonzero(lengths > 8 * lane)
+            if not len(where):
+                break
+            at, left = starts[where] + 8 * lane, lengths[where] - 8 * lane
+        value = every[at] & _KEEP[np.minimum(left, 8)]
+        out[where] = mix((out[where] ^ value) * _MUL_2 + _MUL_1)
+    for i in np.flatnonzero(lengths > 8 * _LANES).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed)
+    return out
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
