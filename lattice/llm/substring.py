@@ -4,24 +4,25 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattice.llm.common import U64, flat, gram_hashes, mix, pieces, word_bounds, word_hashes
+from lattice.llm.common import U64, bound_batches, flat, gram_hashes, pieces, release, word_bounds, word_hashes, written
 
 #: Words of the shortest span that is removed.
 SPAN = 13
-#: Sub-runs whose least hash names a window: any two equal windows have the same name.
-ANCHOR = 4
+#: Words of the sub-runs whose least hash names a window: any two equal windows have the same name.
+ANCHOR = 6
 #: Bytes of text that one task holds at a time; a longer document is a bucket of its own size.
 BUCKET_BYTES = 8 << 20
-#: Words of reference passages that one automaton holds; a bucket with more streams against several, one after the other.
-SHARD_WORDS = 150_000
+#: Words of reference passages that one automaton holds.
+SHARD_WORDS = 100_000
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -97,17 +98,12 @@ class SuffixAutomaton:
             if size >= span:
                 yield i, state
 
-    def note(self, words: Sequence[int], first: dict[int, int]) -> None:
-        """Keep the least known document of each window that ends at a position of ``first``."""
-        for i, state in self.matches(words):
-            if (doc := first.get(i)) is not None and doc < self.first.get(state, _NO_ID):
-                self.first[state] = doc
-
-
-def matched_ends(automaton: SuffixAutomaton, words: Sequence[int], doc: int) -> list[int]:
-    """Last positions of the matching windows whose least document is smaller than ``doc``."""
-    first = automaton.first
-    return [i for i, state in automaton.matches(words) if first.get(state, _NO_ID) < doc]
+    def note(self, words: Sequence[int], doc: int) -> None:
+        """``doc`` holds these words: keep the least document of each of their windows."""
+        first = self.first
+        for _, state in self.matches(words):
+            if doc < first.get(state, _NO_ID + 1):
+                first[state] = doc
 
 
 def covered(ends: Iterable[int], n_words: int) -> np.ndarray:
@@ -123,225 +119,223 @@ def covered(ends: Iterable[int], n_words: int) -> np.ndarray:
 
 
 class _Bucket:
-    """Words and windows of the documents of one bucket."""
+    """Words and windows of the documents of one bucket, and its passages: runs of windows with one name."""
 
     def __init__(self, table: pa.Table):
-        self.ids = table.column("doc_id").to_numpy(zero_copy_only=False) if not table.column("doc_id").null_count else table.column("doc_id").fill_null(_NO_ID).to_numpy()
-        self.ids = self.ids.astype(np.int64)
+        self.ids = table.column("doc_id").cast(pa.int64()).fill_null(_NO_ID).to_numpy()
         self.data, self.offsets = flat(table.column("text"))
-        words, firsts, base = [np.zeros(0, U64)], [np.zeros(1, np.int64)], 0
+        hashes, starts, ends, firsts, base = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], 0
         for a, b in pieces(self.offsets):
             data, offsets = self.data[self.offsets[a] : self.offsets[b]], self.offsets[a : b + 1] - self.offsets[a]
-            starts, ends, first = word_bounds(data, offsets)
-            words.append(word_hashes(data, starts, ends))
+            s, e, first = word_bounds(data, offsets)
+            hashes.append(gram_hashes(word_hashes(data, s, e), ANCHOR))
+            hashes.append(np.zeros(len(s) - len(hashes[-1]), U64))  # as many as words; no window holds the last ones
+            starts.append(s + self.offsets[a])
+            ends.append(e + self.offsets[a])
             firsts.append(first[1:] + base)
-            base += len(starts)
-        self.words, self.first = np.concatenate(words), np.concatenate(firsts)
+            base += len(s)
+        self.starts, self.ends, self.first = np.concatenate(starts), np.concatenate(ends), np.concatenate(firsts)
         lengths = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(lengths)), lengths)
-        n = max(0, len(self.words) - SPAN + 1)
+        n = max(0, base - SPAN + 1)
         #: windows inside one document, by their first word
         self.valid = np.flatnonzero(self.doc[:n] == self.doc[SPAN - 1 :][:n])
-
-    def names(self) -> np.ndarray:
-        """The least hash of the ANCHOR-word runs of each window."""
-        least = gram_hashes(self.words, ANCHOR)
+        least = np.concatenate(hashes)
         width, want = 1, SPAN - ANCHOR + 1
-        while width < want:
+        while width < want and len(least):
             step = min(width, want - width)
             least = np.minimum(least[:-step], least[step:])
             width += step
-        return least
-
-    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """96 bits of each window that starts at one of the places."""
-        second = mix(self.words ^ U64(0x5851F42D4C957F2D))
-        return gram_hashes(self.words, SPAN)[at], (gram_hashes(second, SPAN)[at] >> U64(32)).astype(np.uint32)
-
-
-def _runs(keys: np.ndarray) -> np.ndarray:
-    """Starts of runs of equal keys in a sorted array."""
-    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-
-
-def _by_shard(shard: np.ndarray, count: int) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(count + 1))
-    return [(s, order[edges[s] : edges[s + 1]]) for s in np.flatnonzero(np.diff(edges)).tolist()]
-
-
-def _table(schema: T.StructType, rows: list[tuple]) -> pa.Table:
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "bigint": pa.int64()}
-    return pa.table([pa.array([r[i] for r in rows], kinds[f.dataType.simpleString()]) for i, f in enumerate(schema)], names=schema.names)
-
-
-def _schema(text: str) -> T.StructType:
-    return T.StructType([T.StructField(n, {"long": T.LongType(), "binary": T.BinaryType()}[k]) for n, k in (p.split() for p in text.split(", "))])
-
-
-_NAMES = _schema("shard long, bucket long, names binary, many binary")
-_SHARED = _schema("bucket long, names binary")
-_WINDOWS = _schema("shard long, bucket long, high binary, low binary, least binary, many binary")
-_FIRSTS = _schema("bucket long, high binary, low binary, first binary")
+        names = least[self.valid] if len(self.valid) else np.zeros(0, U64)
+        new = np.ones(len(names), bool)
+        new[1:] = (names[1:] != names[:-1]) | (np.diff(self.valid) != 1) | (self.doc[self.valid[1:]] != self.doc[self.valid[:-1]])
+        runs = np.flatnonzero(new)
+        #: of each passage: its name, document, first word and number of windows
+        self.names, self.at, self.windows = names[runs], self.valid[runs], np.diff(np.append(runs, len(names)))
+        self.owner = self.doc[self.at] if len(runs) else np.zeros(0, np.int64)
+
+    def words(self) -> tuple[bytes, np.ndarray]:
+        """All words with one space after each, and where each begins."""
+        sizes = self.ends - self.starts
+        begin = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes + 1, out=begin[1:])
+        out = np.full(int(begin[-1]), 32, np.uint8)
+        step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out[np.repeat(begin[:-1], sizes) + step] = self.data[np.repeat(self.starts, sizes) + step]
+        return out.tobytes(), begin
+
+    def passages(self, shared: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(index, words joined by one space) of the passages whose names are in the sorted array."""
+        if not len(shared) or not len(self.names):
+            return
+        found = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, self.names), len(shared) - 1)] == self.names)
+        raw, begin = self.words()
+        last = self.at[found] + self.windows[found] + SPAN - 1
+        for i, a, b in zip(found.tolist(), begin[self.at[found]].tolist(), begin[last].tolist(), strict=True):
+            yield i, raw[a : b - 1]
+
+
+def _key(passage: bytes) -> tuple[int, int]:
+    """128 bits of a passage as two signed integers."""
+    digest = xxhash.xxh3_128_digest(passage)
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def _shards(passages: list[list[bytes]], names: Sequence[int], most: int) -> Iterator[list[tuple[int, int, list[bytes]]]]:
+    """Passages (index, first window, words) in runs for one automaton each; passages of one name stay together.
+
+    A name with more than ``most`` words is cut into single windows, which are dealt by their first two words: equal
+    windows still meet.
+    """
+    held: list[tuple[int, int, list[bytes]]] = []
+    size, at = 0, 0
+    while at < len(passages):
+        end = at
+        while end < len(passages) and names[end] == names[at]:
+            end += 1
+        words = sum(len(p) for p in passages[at:end])
+        if words > most:
+            parts: list[list[tuple[int, int, list[bytes]]]] = [[] for _ in range(math.ceil(words * SPAN / most))]
+            for i in range(at, end):
+                for k in range(len(passages[i]) - SPAN + 1):
+                    window = passages[i][k : k + SPAN]
+                    parts[xxhash.xxh3_64_intdigest(b" ".join(window[:2])) % len(parts)].append((i, k, window))
+            yield from (p for p in parts if p)
+        else:
+            if size + words > most and held:
+                yield held
+                held, size = [], 0
+            held += [(i, 0, passages[i]) for i in range(at, end)]
+            size += words
+        at = end
+    if held:
+        yield held
+
+
+def first_documents(passages: list[list[bytes]], names: Sequence[int], docs: Sequence[int], most: int = SHARD_WORDS) -> list[list[int]]:
+    """For each passage (words; ``docs``: its least document) the least document of each of its windows, over all passages.
+
+    Every run of passages is one suffix automaton. Streaming the passages through it gives the states of their windows;
+    the states collect the least document, and a second stream reads it.
+    """
+    out: list[list[int]] = [[_NO_ID] * (len(p) - SPAN + 1) for p in passages]
+    for shard in _shards(passages, names, most):
+        code: dict[bytes, int] = {}
+        automaton = SuffixAutomaton()
+        coded = [[code.setdefault(w, len(code)) for w in words] for *_, words in shard]
+        for words in coded:
+            automaton.add(words)
+        for (i, _, _), words in zip(shard, coded, strict=True):
+            automaton.note(words, docs[i])
+        for (i, k, _), words in zip(shard, coded, strict=True):
+            for end, state in automaton.matches(words):
+                out[i][k + end - SPAN + 1] = automaton.first[state]
+    return out
 
 
-def _joined(table: pa.Table, column: str, kind) -> tuple[np.ndarray, np.ndarray]:
-    """The arrays of a binary column, end to end, and the row of each entry."""
-    parts = [np.frombuffer(b, kind) for b in table.column(column).to_pylist()]
-    return np.concatenate([*parts, np.zeros(0, kind)]), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+_NAMES = "name long, bucket long, low long, high long"
+_PASSAGES = "name long, bucket long, key long, check long, passage binary, low long, high long"
+_FIRSTS = "key long, check long, firsts binary"
 
 
-def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept_text.
+def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, keep_text: bool = True) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 and, with ``keep_text``, kept_text.
 
     Removes every word that lies in a window of SPAN words whose word sequence also starts in a document of a smaller id,
     judged on the input. Ids are integers. A null id counts as larger than any, and never as the first place; rows that
     repeat an id don't take words from each other; null and empty texts have no words. Other columns are not read; an
     empty table gives no rows.
 
-    Documents are dealt to buckets of bounded size by a hash of the id. Round 1 finds the names (least hash of a
-    window's sub-runs) that more than one document holds: names are a fifth of the windows, and only they are dealt
-    out. Round 2 deals out the windows with such names and finds the least document of each. Both send each bucket's
-    distinct entries once, as arrays, so a passage that stands in a third of all documents is one entry a bucket. Then
-    each bucket has its reference shard: the repeated passages that it shares with the corpus. It builds their suffix
-    automata and streams its documents through them for matching statistics.
+    Documents are dealt to buckets of bounded size. 1. Names (least hash of a window's sub-runs) that more than one
+    document holds are candidates; names are a fifth of the windows. 2. The passages (runs of windows with one such name)
+    of each bucket go, each distinct one once, to the shard of their name. A shard builds suffix automata of its
+    reference passages and streams the passages through them: matching statistics over the words themselves give each
+    window's first document. 3. The answers return to the buckets by the passages' 128-bit keys.
     """
+    bound_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
-    texts = picked.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(buckets)).cast("long"))
+    out = T.StructType([picked.schema["doc_id"], *(T.StructField(n, k) for n, k in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())))])
+    out = out if keep_text else T.StructType(out.fields[:-1])
+    id_type = pa.int64() if picked.schema["doc_id"].dataType == T.LongType() else pa.int32()
+    blank = F.coalesce(F.col("text"), F.lit("")) == ""
+    texts = picked.where(~blank).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("long"))
     held = texts.groupBy("bucket")
 
-    def name_shards(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        bucket = _Bucket(table)
-        names, doc = bucket.names()[bucket.valid] if len(bucket.valid) else np.zeros(0, U64), bucket.ids[bucket.doc[bucket.valid]]
-        changed = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]) | (doc[1:] != doc[:-1])])) if len(names) else np.zeros(0, np.int64)
-        names, doc = names[changed], doc[changed]
-        order = np.argsort(names, kind="stable")
-        names, doc = names[order], doc[order]
-        starts = _runs(names)
-        many = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts) if len(starts) else np.zeros(0, bool)
-        names = names[starts]
-        rows = [(s, keys[0].as_py(), names[at].tobytes(), many[at].astype(np.uint8).tobytes()) for s, at in _by_shard((names >> U64(20)) % U64(buckets), buckets)]
-        return _table(_NAMES, rows)
-
-    def shared_names(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        names, row = _joined(table, "names", U64)
-        many, _ = _joined(table, "many", np.uint8)
-        order = np.argsort(names, kind="stable")
-        starts = _runs(names[order])
-        counts = np.diff(np.append(starts, len(names)))
-        shared = np.zeros(len(names), bool)
-        if len(starts):
-            shared[order] = np.repeat((counts > 1) | (np.maximum.reduceat(many[order], starts) > 0), counts)
-        origin = table.column("bucket").to_pylist()
-        kept = np.flatnonzero(shared)
-        return _table(_SHARED, [(origin[r], names[kept[at]].tobytes()) for r, at in _by_shard(row[kept], len(origin))])
-
-    def window_shards(keys: tuple[pa.Scalar, ...], table: pa.Table, reply: pa.Table) -> pa.Table:
-        if not table.num_rows or not reply.num_rows:
-            return _table(_WINDOWS, [])
+    def bucket_names(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket = _Bucket(table)
-        shared = np.sort(_joined(reply, "names", U64)[0])
-        names = bucket.names()[bucket.valid]
-        found = shared[np.minimum(np.searchsorted(shared, names), len(shared) - 1)] == names
-        at = bucket.valid[found]
-        high, low = bucket.windows(at)
-        doc = bucket.ids[bucket.doc[at]]
-        order = np.lexsort((low, high))
-        high, low, doc = high[order], low[order], doc[order]
-        starts = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])) if len(high) else np.zeros(0, np.int64)
-        least = np.minimum.reduceat(doc, starts) if len(starts) else doc
-        many = np.maximum.reduceat(doc, starts) != least if len(starts) else np.zeros(0, bool)
-        high, low = high[starts], low[starts]
-        rows = [
-            (s, keys[0].as_py(), high[i].tobytes(), low[i].tobytes(), least[i].tobytes(), many[i].astype(np.uint8).tobytes())
-            for s, i in _by_shard((high >> U64(20)) % U64(buckets), buckets)
-        ]
-        return _table(_WINDOWS, rows)
-
-    def first_documents(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        high, row = _joined(table, "high", U64)
-        low, least, many = (_joined(table, c, k)[0] for c, k in (("low", np.uint32), ("least", np.int64), ("many", np.uint8)))
-        order = np.lexsort((low, high))
-        h, w = high[order], low[order]
-        starts = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])) if len(h) else np.zeros(0, np.int64)
-        first = np.zeros(len(high), np.int64)
-        if len(starts):
-            first[order] = np.repeat(np.minimum.reduceat(least[order], starts), np.diff(np.append(starts, len(high))))
-        kept = np.flatnonzero((many > 0) | (least > first))
-        origin = table.column("bucket").to_pylist()
-        return _table(_FIRSTS, [(origin[r], high[kept[i]].tobytes(), low[kept[i]].tobytes(), first[kept[i]].tobytes()) for r, i in _by_shard(row[kept], len(origin))])
-
-    out = T.StructType([picked.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
-    id_type = pa.int64() if picked.schema["doc_id"].dataType == T.LongType() else pa.int32()
+        doc = bucket.ids[bucket.owner]
+        order = np.argsort(bucket.names, kind="stable")
+        names, doc = bucket.names[order], doc[order]
+        starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
+        low, high = (np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)) if len(starts) else (doc, doc)
+        release()
+        return pa.table([pa.array(names[starts].view(np.int64)), pa.array(np.full(len(starts), keys[0].as_py())), pa.array(low), pa.array(high)], names=["name", "bucket", "low", "high"])
+
+    def bucket_passages(keys: tuple[pa.Scalar, ...], table: pa.Table, reply: pa.Table) -> pa.Table:
+        bucket, number = _Bucket(table), keys[0].as_py()
+        ids, names = bucket.ids[bucket.owner].tolist(), bucket.names.view(np.int64).tolist()
+        found: dict[bytes, list[int]] = {}
+        for i, passage in bucket.passages(np.sort(reply.column("name").to_numpy().view(U64))):
+            entry = found.get(passage)
+            if entry is None:
+                found[passage] = [names[i], ids[i], ids[i]]
+            else:
+                entry[1], entry[2] = min(entry[1], ids[i]), max(entry[2], ids[i])
+        both = [_key(p) for p in found]
+        columns = [[e[0] for e in found.values()], [number] * len(found), [k for k, _ in both], [c for _, c in both], list(found), [e[1] for e in found.values()], [e[2] for e in found.values()]]
+        kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 2
+        release()
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["name", "bucket", "key", "check", "passage", "low", "high"])
+
+    def shard_firsts(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by("name")
+        words = [p.split(b" ") for p in table.column("passage").to_pylist()]
+        low, high = table.column("low").to_pylist(), table.column("high").to_pylist()
+        firsts = first_documents(words, table.column("name").to_pylist(), low, shard_words)
+        # a passage that one document holds alone, and all of whose windows start there, has nothing to lose
+        told = [i for i, f in enumerate(firsts) if low[i] != high[i] or min(f) < low[i]]
+        rows = pa.array(told, pa.int64())
+        release()
+        return pa.table([table.column("key").take(rows), table.column("check").take(rows), pa.array([np.array(firsts[i], np.int64).tobytes() for i in told], pa.binary())], names=["key", "check", "firsts"])
 
     def removed(keys: tuple[pa.Scalar, ...], table: pa.Table, reply: pa.Table) -> pa.Table:
         bucket = _Bucket(table)
-        gone: dict[int, np.ndarray] = {}
-        if reply.num_rows and table.num_rows:
-            high, _ = _joined(reply, "high", U64)
-            low, first = _joined(reply, "low", np.uint32)[0], _joined(reply, "first", np.int64)[0]
-            order = np.argsort(high, kind="stable")
-            high, low, first = high[order], low[order], first[order]
-            w_high, w_low = bucket.windows(bucket.valid)
-            at = np.minimum(np.searchsorted(high, w_high), len(high) - 1)
-            hit = (high[at] == w_high) & (low[at] == w_low)
-            gone = _spans(bucket, bucket.valid[hit], first[at[hit]], shard_words)
+        gone: dict[int, list[np.ndarray]] = {}
+        if reply.num_rows:
+            answers = dict(zip(zip(reply.column("key").to_pylist(), reply.column("check").to_pylist(), strict=True), reply.column("firsts").to_pylist(), strict=True))
+            for i, passage in bucket.passages(np.sort(np.unique(reply.column("name").to_numpy()).view(U64))):
+                answer = answers.get(_key(passage))
+                if answer is not None:
+                    d = int(bucket.owner[i])
+                    hit = np.flatnonzero(np.frombuffer(answer, np.int64) < bucket.ids[d])
+                    if len(hit):
+                        gone.setdefault(d, []).append(hit + (bucket.at[i] - bucket.first[d] + SPAN - 1))
         n_removed, digests, texts_kept = [], [], []
-        raw = bucket.data.tobytes()
         for d in range(table.num_rows):
-            words = raw[bucket.offsets[d] : bucket.offsets[d + 1]].split()
-            drop = gone.get(d)
+            words = bucket.data[bucket.offsets[d] : bucket.offsets[d + 1]].tobytes().split()
+            drop = covered(np.concatenate(gone[d]), len(words)) if d in gone else None
             if drop is not None:
                 words = [w for w, g in zip(words, drop.tolist(), strict=True) if not g]
             kept = b" ".join(words)
             n_removed.append(0 if drop is None else int(drop.sum()))
             digests.append(hashlib.sha256(kept).hexdigest())
-            texts_kept.append(kept.decode())
+            if keep_text:
+                texts_kept.append(kept.decode())
         columns = [table.column("doc_id").cast(id_type), pa.array(np.diff(bucket.first), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts_kept, pa.string())]
-        return pa.table(columns, names=out.names)
-
-    names = held.applyInArrow(name_shards, _NAMES)
-    shared = names.groupBy("shard").applyInArrow(shared_names, _SHARED)
-    windows = held.cogroup(shared.groupBy("bucket")).applyInArrow(window_shards, _WINDOWS)
-    firsts = windows.groupBy("shard").applyInArrow(first_documents, _FIRSTS)
-    return held.cogroup(firsts.groupBy("bucket")).applyInArrow(removed, out)
-
-
-def _spans(bucket: _Bucket, at: np.ndarray, first: np.ndarray, shard_words: int) -> dict[int, np.ndarray]:
-    """For each document with a repeated window, which of its words go.
-
-    Reference passages are the maximal runs of repeated windows, each distinct one once. They make automata of at most
-    ``shard_words`` words, one at a time, and every such document is streamed against each.
-    """
-    if not len(at):
-        return {}
-    symbols = bucket.words.view(np.int64)
-    breaks = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (bucket.doc[at[1:]] != bucket.doc[at[:-1]])]))
-    passages: dict[bytes, tuple[int, int]] = {}
-    for a, b in zip(breaks.tolist(), [*breaks[1:].tolist(), len(at)], strict=True):
-        passages.setdefault(symbols[int(at[a]) : int(at[b - 1]) + SPAN].tobytes(), (a, b))
-    shards: list[list[tuple[int, int]]] = []
-    size = shard_words
-    for a, b in passages.values():
-        words = b - a + SPAN - 1
-        if size + words > shard_words:
-            shards.append([])
-            size = 0
-        shards[-1].append((a, b))
-        size += words
-    del passages
-    ends: dict[int, list[int]] = {}
-    for shard in shards:
-        automaton = SuffixAutomaton()
-        runs = [(symbols[int(at[a]) : int(at[b - 1]) + SPAN].tolist(), first[a:b].tolist()) for a, b in shard]
-        for words, _ in runs:
-            automaton.add(words)
-        for words, firsts in runs:
-            automaton.note(words, dict(zip(range(SPAN - 1, len(words)), firsts, strict=True)))
-        for d in np.unique(bucket.doc[at]).tolist():
-            found = matched_ends(automaton, symbols[bucket.first[d] : bucket.first[d + 1]].tolist(), int(bucket.ids[d]))
-            if found:
-                ends.setdefault(d, []).extend(found)
-    return {d: covered(e, int(bucket.first[d + 1] - bucket.first[d])) for d, e in ends.items()}
+        release()
+        return pa.table(columns[: len(out.names)], names=out.names)
+
+    by_name = Window.partitionBy("name")
+    names = held.applyInArrow(bucket_names, _NAMES)
+    shared = names.withColumns({"_low": F.min("low").over(by_name), "_high": F.max("high").over(by_name)}).where("_low < _high").select("bucket", "name")
+    passages = written(held.cogroup(shared.groupBy("bucket")).applyInArrow(bucket_passages, _PASSAGES), "passages")
+    # a name is a hash already: its shard needs no other
+    dealt = passages.select(F.pmod("name", F.lit(buckets)).alias("shard"), "name", "key", "check", "passage", "low", "high").repartition("shard")
+    distinct = dealt.groupBy("shard", "name", "key", "check", "passage").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    firsts = distinct.groupBy("shard").applyInArrow(shard_firsts, _FIRSTS)
+    replies = passages.select("key", "check", "bucket", "name").join(firsts, ["key", "check"]).select("bucket", "name", "key", "check", "firsts")
+    done = held.cogroup(replies.groupBy("bucket")).applyInArrow(removed, out)
+    nothing = [F.col("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("").alias("kept_text")]
+    return done.unionByName(picked.where(blank).select(*nothing[: len(out.names)]))
