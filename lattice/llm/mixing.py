@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattice.llm.common import bound_batches
+
 #: Sources that are not named share one weight under this name.
 OTHER = "*"
 #: The largest number of sources that may be named: it bounds the rate table.
@@ -16,16 +20,42 @@ MAX_NAMED = 10_000
 _DIGITS = 13
 
 
-def poisson_cdf(rate: float) -> list[float]:
-    """P(count <= k) for k = 0, 1, ... until it can't grow any more in double precision."""
-    if not rate > 0:
-        return []
-    total, out, k = 0.0, [], 0
+#: Terms of the distribution that are summed at a time.
+_TERMS = 1024
+
+
+def _poisson_terms(rate: float, k: np.ndarray) -> np.ndarray:
+    """P(count = k) by its deviation from the rate, so that large rates keep their precision."""
+    x = np.maximum(k, 1.0)
+    d = (x - rate) / rate
+    near = np.abs(d) < 1e-3
+    small = np.where(near, d, 0.0)
+    deviance = np.where(near, small * small * (1 / 2 - small * (1 / 6 - small * (1 / 12 - small * (1 / 20 - small / 30)))), (1 + d) * np.log1p(np.where(near, 0.0, d)) - d)
+    # log k! less its leading terms
+    rest = np.where(x < 16, np.array([math.lgamma(i + 1) - (i + 0.5) * math.log(max(i, 1)) + i - 0.5 * math.log(2 * math.pi) for i in range(16)])[np.minimum(x, 15).astype(int)], 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7))
+    return np.where(k == 0, math.exp(-rate), np.exp(-rate * deviance - rest) / np.sqrt(2 * math.pi * x))
+
+
+def poisson_quantiles(rate: float, u: np.ndarray) -> np.ndarray:
+    """The number of k with P(count <= k) <= u, for each u: the distribution inverted by walking up from its lower tail.
+
+    The walk starts 40 deviations below the mean (what lies below has no weight in double precision) and ends beyond the
+    largest u, so it takes a number of steps in the order of the root of the rate, and holds _TERMS of them.
+    """
+    out = np.zeros(len(u), np.int64)
+    if not rate > 0 or not len(u):
+        return out
+    begin = max(0, math.floor(rate - 40 * math.sqrt(rate) - 40))
     last = rate + 12 * math.sqrt(rate) + 40
-    while k <= last and total < 1.0:
-        total = min(1.0, total + math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1)))
-        out.append(total)
-        k += 1
+    order = np.argsort(u, kind="stable")
+    total, at = 0.0, 0
+    k = begin
+    while at < len(order) and k <= last:
+        sums = np.minimum(total + np.cumsum(_poisson_terms(rate, np.arange(k, k + _TERMS, dtype=float))), 1.0)
+        end = at + int(np.searchsorted(u[order[at:]], sums[-1]))
+        out[order[at:end]] = k + np.searchsorted(sums, u[order[at:end]], "right")
+        at, total, k = end, float(sums[-1]), k + _TERMS
+    out[order[at:]] = k
     return out
 
 
@@ -79,22 +109,31 @@ def mix_sources(
     retries; rows that repeat an id get the same count each. A null id is hashed by its text; a null source counts
     as unnamed; a source with weight 0 (or unnamed without ``*``) has no copies. Texts that are null or empty have no
     mass but are copied like others of their source; where a whole source has no mass its rate is 0. An empty table
-    gives an empty result.
+    gives an empty result. Columns of any name pass.
 
-    The rate table has at most MAX_NAMED + 1 rows and becomes part of the plan. One shuffle moves the copies, by a hash of the
-    key, so a hot source is spread like any other.
+    The rate table has at most MAX_NAMED + 1 rows and becomes part of the plan. Only rate and uniform number go to Python. One
+    shuffle moves the copies, by a hash of the key, so a hot source is spread like any other.
     """
     rates = mixing_rates(docs, weights, total_factor, source_col, text_col)
-    ladders = {b: poisson_cdf(r) for b, r in rates.items()}
-    own = [c for c in docs.columns if c not in {f"{prefix}{x}" for x in ("bucket", "rate", "copies", "copy", "key")}]
+    added = [f"{prefix}{x}" for x in ("bucket", "rate", "copies", "copy", "key")]
+    own = [c for c in docs.columns if c not in added]
     spark = docs.sparkSession
-    table = spark.createDataFrame([(b, float(rates[b]), ladders[b]) for b in rates], f"{prefix}bucket string, {prefix}rate double, _ladder array<double>")
-    rows = docs.select(*own, _bucket(weights, source_col).alias(f"{prefix}bucket"), _identity(id_col, text_col).alias("_identity"))
-    rows = rows.withColumn("_u", uniform(seed, "count", F.col("_identity")))
-    rows = rows.join(F.broadcast(table), f"{prefix}bucket", "left")
-    copies = F.coalesce(F.size(F.filter("_ladder", lambda c: c <= F.col("_u"))), F.lit(0))
-    rows = rows.withColumn(f"{prefix}copies", F.when(F.col("_ladder").isNull(), 0).otherwise(copies).cast("long"))
-    rows = rows.where(F.col(f"{prefix}copies") > 0).withColumn(f"{prefix}copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{prefix}copies"))))
-    rows = rows.withColumn(f"{prefix}key", uniform(seed, "place", F.col("_identity"), F.col(f"{prefix}copy").cast("string")))
-    out = rows.repartition(F.col(f"{prefix}key")).sortWithinPartitions(f"{prefix}key")
-    return out.select(*own, *(f"{prefix}{x}" for x in ("bucket", "rate", "copies", "copy", "key")))
+    bound_batches(spark)
+    name = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*name.values()).select(*name.values(), _bucket(weights, name[source_col]).alias("bucket"), _identity(name[id_col], name[text_col]).alias("ident"))
+    rows = rows.join(F.broadcast(spark.createDataFrame([(b, float(r)) for b, r in rates.items()], "bucket string, rate double")), "bucket", "left")
+
+    @F.pandas_udf("long")
+    def counted(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for rate, u in parts:
+            out = np.zeros(len(rate), np.int64)
+            for r in rate.dropna().unique():
+                mine = (rate == r).to_numpy()
+                out[mine] = poisson_quantiles(float(r), u[mine].to_numpy())
+            yield pd.Series(out)
+
+    rows = rows.withColumn("copies", counted("rate", uniform(seed, "count", F.col("ident")))).where("copies > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    rows = rows.withColumn("key", uniform(seed, "place", F.col("ident"), F.col("copy").cast("string")))
+    out = rows.repartition(F.col("key")).sortWithinPartitions("key")
+    return out.select(*(F.col(name[c]).alias(c) for c in own), *(F.col(x).alias(f"{prefix}{x}") for x in ("bucket", "rate", "copies", "copy", "key")))
