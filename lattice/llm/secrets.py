@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattice.llm.common import map_arrow, slices
+
 KINDS = ("assign", "access", "hex", "random")
 #: Strings of each alphabet that are generated as labelled random samples, beside those that the corpus labels.
 GENERATED = 2000
@@ -28,7 +30,7 @@ _NAMES = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "tok
 ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: What the models judge: long runs of these characters that hold both a letter and a digit.
+#: What the models judge: long runs of these characters.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: What the models learn as ordinary: runs of these characters of 6 or more outside every fixed pattern.
 ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
@@ -94,7 +96,7 @@ def train(docs: DataFrame, threshold: float = 1.0, text_col: str = "text") -> Li
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, _SIZE * _SIZE), np.int64)
-        for batch in batches:
+        for batch in slices(batches, 0):
             secrets, ordinary = [], []
             for text in batch.column(0).to_pylist():
                 if not text:
@@ -114,7 +116,7 @@ def train(docs: DataFrame, threshold: float = 1.0, text_col: str = "text") -> Li
         label, cell = np.nonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(cell), pa.array(totals[label, cell])], ["label", "cell", "n"])
 
-    counts = docs.select(text_col).mapInArrow(count, "label long, cell long, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
+    counts = map_arrow(docs.select(text_col), count, "label long, cell long, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
     both = np.zeros((2, _SIZE * _SIZE), np.int64)
     for row in counts.collect():  # at most two matrices of _SIZE x _SIZE cells
         both[row.label, row.cell] = row.n
@@ -127,8 +129,6 @@ def model_spans(text: str, base: list[tuple[int, int, int, str]], model: Likelih
     out = []
     for m in CANDIDATE.finditer(text):
         value = m.group()
-        if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-            continue
         if any(s[0] < m.end() and m.start() < s[1] for s in base):
             continue
         if model.score(value) >= model.threshold:
@@ -160,7 +160,8 @@ def scan_secrets(docs: DataFrame, model: LikelihoodRatio | None = None, id_col:
 
     Without ``model`` one is trained on ``docs`` itself (one more pass). Spans count code points, the end exclusive;
     fixed kinds come first where starts tie. A null text counts as empty: no spans, the digest of nothing. Repeated
-    rows and null ids pass through. ``keep`` names further columns to pass on; ``redact`` adds ``redacted``, the text
+    rows and null ids pass through. ``keep`` names further columns to pass on (as ``keep_<name>`` where the result has that
+    name already); ``redact`` adds ``redacted``, the text
     with the union of all spans replaced (null stays null). Other columns, whatever their names, are not read. An
     empty table gives no rows.
     """
@@ -179,7 +180,7 @@ def scan_secrets(docs: DataFrame, model: LikelihoodRatio | None = None, id_col:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = hashlib.sha256(b"").hexdigest()
-        for batch in batches:
+        for batch in slices(batches, 1):
             counts, digests, spans, found, clean = ([], [], [], []), [], [], [], []
             for text in batch.column(1).to_pylist():
                 base = base_spans(text) if text else []
@@ -197,6 +198,6 @@ def scan_secrets(docs: DataFrame, model: LikelihoodRatio | None = None, id_col:
             arrays += batch.columns[2:]
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    out = docs.select(F.col(id_col), F.col(text_col), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(extra))).mapInArrow(scan, schema)
+    out = map_arrow(docs.select(F.col(id_col), F.col(text_col), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(extra))), scan, schema)
     own = [c for c in schema.names if not c.startswith("_keep")]
-    return out.select(*own, *(F.col(f"_keep{i}").alias(c) for i, c in enumerate(extra) if c not in own))
+    return out.select(*own, *(F.col(f"_keep{i}").alias(f"keep_{c}" if c in own else c) for i, c in enumerate(extra)))
