@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattice.llm.common import flat, pieces
+from lattice.llm.common import flat, map_arrow, pieces, slices, written
 
 UNDETERMINED = "und"
 ORDER = 3
-#: Bounds of the model that is sent to executors: languages, and four-grams over all languages.
-MAX_LANGUAGES = 256
-MAX_GRAMS = 1_600_000
+#: Languages that may be learned.
+MAX_LANGUAGES = 4096
+#: Four-grams of the part of the model that is sent out at a time (or those of one language, if it alone has more).
+SHARD_GRAMS = 1_600_000
 #: Code lengths are whole multiples of 1 / SCALE bit, so that sums don't depend on their order.
 SCALE = 1 << 16
 #: Byte pairs with a row and a column of their own in the table of ready code lengths.
@@ -68,13 +69,13 @@ def count_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
                         keys, where = np.unique(keys, return_inverse=True)
                         counts = np.bincount(where, counts, len(keys)).astype(np.int64)
                     totals[lang] = keys, counts.astype(np.int64)
-            if sum(len(k) for k, _ in totals.values()) > 4_000_000:
+            if sum(len(k) for k, _ in totals.values()) > 1_000_000:
                 yield flush()
         if totals:
             yield flush()
 
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    return labelled.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_arrow(labelled, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -161,37 +162,41 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_grams: int = MAX_GRAMS) -> Model:
-    """Count every labelled row; the commonest grams of each language become its frozen tree.
+@dataclass(frozen=True)
+class Counts:
+    """Every counted four-gram, in the shared folder, and the languages of each part of the model."""
+
+    grams: DataFrame
+    shards: list[list[str]]
+
+    def model(self, languages: list[str]) -> Model:
+        """The trees of some languages, each collected on its own."""
+        trees = []
+        for lang in languages:
+            own = self.grams.where(F.col("lang") == lang).select("gram", "n").toPandas()
+            trees.append(_Tree.of(own.gram.to_numpy().astype(np.uint32), own.n.to_numpy()))
+        return Model(languages, trees)
 
-    The model holds at most ``max_grams`` grams in all: beyond that, each language drops its grams below the least power
-    of two that fits. More than MAX_LANGUAGES labels are an error.
-    """
-    from lattice.llm.common import written
 
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", shard_grams: int = SHARD_GRAMS) -> Counts:
+    """Count every labelled row. All grams stay; languages are put together to parts of at most ``shard_grams`` grams.
+
+    A language has as many grams as its letters make, which levels off with the corpus; more languages make more parts,
+    and each part is sent out and released on its own. More than MAX_LANGUAGES labels are an error.
+    """
     counts = written(count_grams(docs, lang_col, text_col), "grams")
-    sizes = counts.groupBy("lang", F.floor(F.log2("n")).cast("int").alias("k")).count().limit(64 * MAX_LANGUAGES + 1).collect()
-    languages = sorted({r.lang for r in sizes})
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES}")
-    if not languages:
-        return Model([], [])
-    least = {}
-    for lang in languages:
-        kept = 0
-        for k, n in sorted(((r.k, r["count"]) for r in sizes if r.lang == lang), reverse=True):
-            if kept and kept + n > max_grams // len(languages):
-                break
-            kept, least[lang] = kept + n, k
-    rule = F.lit(False)
-    for lang, k in least.items():
-        rule = rule | ((F.col("lang") == lang) & (F.col("n") >= 2**k))
-    table = counts.where(rule).toPandas()  # at most max_grams rows, but for ties of one language's first class
-    trees = []
-    for lang in languages:
-        own = table[table.lang == lang]
-        trees.append(_Tree.of(own.gram.to_numpy().astype(np.uint32), own.n.to_numpy()))
-    return Model(languages, trees)
+    sizes = {r.lang: r.n for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    shards: list[list[str]] = []
+    held = shard_grams
+    for lang in sorted(sizes):
+        if held + sizes[lang] > shard_grams:
+            shards.append([])
+            held = 0
+        shards[-1].append(lang)
+        held += sizes[lang]
+    return Counts(counts, shards)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
@@ -199,35 +204,54 @@ def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, model: Counts, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, the columns of ``keep``, lang_pred, score, bits_per_byte.
 
     The language with the shortest code (the first by name on ties); score is its posterior under equal priors. ``und`` with
     score 0 where the text is null or has no letter, or where nothing was learned. Whole texts of any length count.
     Only the named columns are read; repeated rows and null ids pass through; an empty table gives no rows.
+
+    Every part of the model sees every text: the best language so far, its units and the sum of all posterior weights
+    relative to it go on from part to part, so the result doesn't depend on how languages are put together.
     """
     chosen = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("_text"))
     names = [c for c in chosen.columns if c != "_text"]
-    fields = [f for f in chosen.schema.fields if f.name != "_text"]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    current = chosen.select(*names, "_text", F.lit(None).cast("string").alias("_best"), F.lit(0).cast("long").alias("_units"), F.lit(0.0).alias("_weight"))
+    for i, languages in enumerate(model.shards):
+        current = _against(current, model.model(languages))
+        if i + 1 < len(model.shards):
+            current = written(current, "parts")
+    known = F.coalesce(F.col("_text").rlike(r"\p{L}"), F.lit(False)) & F.col("_best").isNotNull()
+    size = F.greatest(F.octet_length("_text"), F.lit(1))
+    return current.select(
+        *names,
+        F.when(known, F.col("_best")).otherwise(UNDETERMINED).alias("lang_pred"),
+        F.when(known, 1 / F.col("_weight")).otherwise(0.0).alias("score"),
+        F.when(known, F.col("_units") / SCALE / size).otherwise(0.0).alias("bits_per_byte"),
+    )
+
+
+def _against(current: DataFrame, model: Model) -> DataFrame:
+    """The running best over one more part of the model."""
+    shared = current.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            texts = batch.column("_text")
-            units = m.code_lengths(texts)
-            known = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            if m.languages and len(texts):
-                best = units.argmin(1)
-                nats = (units - units.min(1, keepdims=True)) * (np.log(2) / SCALE)
-                score = np.where(known, 1 / np.exp(-nats).sum(1), 0.0)
-                sizes = np.maximum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 1)
-                rate = np.where(known, units.min(1) / SCALE / sizes, 0.0)
-                labels = [m.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
-            else:
-                score = rate = np.zeros(len(texts))
-                labels = [UNDETERMINED] * len(texts)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(labels, pa.string()), pa.array(score), pa.array(rate)], schema.names)
-
-    return chosen.mapInArrow(predict, schema)
+        nats = np.log(2) / SCALE
+        for batch in slices(batches, "_text"):
+            units = m.code_lengths(batch.column("_text"))
+            best = units.argmin(1)
+            least = units[np.arange(len(units)), best]
+            weight = np.exp((least[:, None] - units) * nats).sum(1)
+            before = batch.column("_best").to_pylist()
+            has = np.array([b is not None for b in before])
+            old, old_weight = batch.column("_units").to_numpy(), batch.column("_weight").to_numpy()
+            # parts come in order of language, so the earlier one wins a tie
+            better = ~has | (least < old)
+            new = np.where(better, least, old)
+            total = weight * np.exp((new - least) * nats) + np.where(has, old_weight * np.exp(np.where(has, new - old, 0) * nats), 0.0)
+            label = [m.languages[k] if b else was for k, b, was in zip(best, better, before, strict=True)]
+            kept = [batch.column(c) for c in batch.schema.names[:-3]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(label, pa.string()), pa.array(new, pa.int64()), pa.array(total)], batch.schema.names)
+
+    return map_arrow(current, predict, current.schema)
