@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattice.llm.common import written
+from lattice.llm.common import bound_batches, map_arrow, release, slices, written
 
 #: Pieces that are packed together; one task holds a few of these groups.
 PIECES_PER_BLOCK = 4096
@@ -23,8 +23,9 @@ PIECES_PER_BLOCK = 4096
 GRAIN = 32
 #: Windows with at most this much slack are left as they are.
 TOLERANCE = 16
-#: Chunks of text whose tokens a worker remembers.
-CACHE_ENTRIES = 700_000
+#: Bytes (strings, tokens and what Python adds to them) of the chunks whose tokens a worker remembers.
+CACHE_BYTES = 32 << 20
+_ENTRY_BYTES = 190
 
 # --- tokens ----------------------------------------------------------------------------------
 
@@ -65,6 +66,7 @@ class Tokens:
         self.tokenizer.encode_special_tokens = True
         self.letters = _byte_letters()
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -77,19 +79,25 @@ class Tokens:
         for c in chunks:
             if _LETTERS.fullmatch(c):
                 tokens = model.tokenize(c.encode().decode("latin-1").translate(letters))
-                self.cache[c] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+                self._keep(c, b"".join([t.id.to_bytes(4, "little") for t in tokens]))
             else:
                 others.append(c)
         for at in range(0, len(others), 4096):
             part = others[at : at + 4096]
-            self.cache.update(zip(part, self._encode(part), strict=True))
+            for c, found in zip(part, self._encode(part), strict=True):
+                self._keep(c, found)
+
+    def _keep(self, chunk: str, found: bytes) -> None:
+        self.cache[chunk] = found
+        self.held += len(chunk) + len(found) + _ENTRY_BYTES
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunks = [_CHUNK.findall(t) if _plain(t) else None for t in texts]
         cache = self.cache
         unknown = list({c for some in chunks if some for c in some if c not in cache})
-        if len(cache) + len(unknown) > CACHE_ENTRIES:
+        if self.held > CACHE_BYTES:
             cache.clear()
+            self.held = 0
             unknown = list({c for some in chunks if some for c in some})
         self._learn(unknown)
         whole = iter(self._encode([t for t, some in zip(texts, chunks, strict=True) if some is None]))
@@ -236,8 +244,9 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer_path: str |
     empty table gives no rows.
 
     Texts are read and tokenised once, in place; only pieces (some tens of bytes each) are written and dealt out, by a
-    hash of the document, to blocks of about PIECES_PER_BLOCK. Blocks pack on their own, so memory is bounded and the
-    padding that the last window of each block needs stays below 0.1 %. The ids don't depend on partitioning.
+    hash of document, piece and place in that table (so neither a long document nor a row that repeats gathers in one
+    block), to blocks of about PIECES_PER_BLOCK. Blocks pack on their own, so memory is bounded and the
+    padding that the last window of each block needs stays below 0.1 %.
     """
     path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
     schema = T.StructType([T.StructField(n, k or docs.schema[id_col].dataType) for n, k in _PIECE_FIELDS])
@@ -245,7 +254,7 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer_path: str |
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_of(path)
         end = np.array([end_id], "<u4").tobytes()
-        for whole in batches:
+        for whole in slices(batches, 1):
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 rows, columns = [], ([], [], [], [], [])
@@ -270,7 +279,7 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer_path: str |
                 yield pa.RecordBatch.from_arrays([*arrays, batch.column(2).take(take)], schema.names)
 
     spread = F.xxhash64(F.col(id_col), F.col(text_col))
-    found = written(docs.select(F.col(id_col), F.col(text_col), spread).mapInArrow(cut, schema), "pieces")
+    found = written(map_arrow(docs.select(F.col(id_col), F.col(text_col), spread), cut, schema), "pieces")
     blocks = max(1, math.ceil(found.count() / PIECES_PER_BLOCK))
     out = T.StructType([schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
 
@@ -296,6 +305,9 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer_path: str |
         for window in pack_block(rests, capacity):
             put([(p.doc, p.start, p.length, p.crc, p.total) for p in window])
         ids = table.column("doc_id").take(pa.array(rows[0], pa.int64()))
+        release()
         return pa.table([ids, *(pa.array(c, pa.int64()) for c in rows[1:])], names=out.names)
 
-    return found.withColumn("_block", F.pmod("hash", F.lit(blocks)).cast("long")).groupBy("_block").applyInArrow(pack, out)
+    bound_batches(docs.sparkSession)
+    place = F.xxhash64("hash", "start", F.monotonically_increasing_id())
+    return found.withColumn("_block", F.pmod(place, F.lit(blocks)).cast("long")).groupBy("_block").applyInArrow(pack, out)
