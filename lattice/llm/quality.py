@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattice.llm.common import U64, flat, gram_hashes, mix, pieces, word_bounds, word_hashes, written
+from lattice.llm.common import U64, flat, gram_hashes, map_arrow, mix, pieces, word_bounds, word_hashes, written
 
 WINDOW = 8
 #: Share of a group's rows that the covariance is estimated on.
@@ -23,8 +23,10 @@ MOST_STEPS = 100
 LEAST_ROWS = 60
 #: Squared distance beyond which a document is rejected: the 0.999 quantile of the chi-square distribution with four degrees of freedom.
 CUTOFF = 18.4668
-#: Group tables up to this many rows are broadcast; larger ones meet the rows in a shuffle join.
+#: Group tables up to this many rows are broadcast (some megabytes); larger ones are left to Spark.
 MAX_BROADCAST_GROUPS = 50_000
+#: Starts of the concentration steps of every group; the one that ends at the least determinant counts.
+STARTS = ("medians", "means", "half")
 #: Least standard deviation of each transformed statistic: differences below it never count as odd.
 FLOORS = (0.05, 0.10, 0.12, 0.12)
 DIMS = len(FLOORS)
@@ -100,7 +102,7 @@ def with_statistics(docs: DataFrame, text_col: str, keep: list[str]) -> DataFram
                     parts[c].append(v)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(np.concatenate(parts[c]), pa.int64()) for c in _COUNTS)], schema.names)
 
-    out = source.mapInArrow(count, schema)
+    out = map_arrow(source, count, schema)
     return out.select(*(F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)), F.struct(*_COUNTS).alias("_stats"))
 
 
@@ -136,40 +138,40 @@ def _distance() -> Column:
     return F.round(F.log(1 + F.greatest(total, F.lit(0.0))) * 1024) / 1024
 
 
-def _joined(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    small = groups.count() <= MAX_BROADCAST_GROUPS
-    return rows.join(F.broadcast(groups) if small else groups, on, how)
-
-
-def _inverses(moments: DataFrame) -> DataFrame:
-    """mu and the inverse of the covariance with the floors on its diagonal, for each group."""
+def _inverses(moments: DataFrame, keys: list[str]) -> DataFrame:
+    """mu, the inverse of the covariance with the floors on its diagonal, and the log of its determinant, for each group."""
+    schema = T.StructType([*(moments.schema[k] for k in keys), moments.schema["mu"], T.StructField("inverse", T.ArrayType(T.DoubleType())), T.StructField("log_det", T.DoubleType())])
 
     def invert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            inverse = []
+            inverse, log_det = [], []
             for cov, scale in zip(f["cov"], f["scale"], strict=True):
                 matrix = np.asarray(cov, float).reshape(DIMS, DIMS) * scale + np.diag(np.square(FLOORS))
                 inverse.append(np.linalg.inv(matrix).ravel().tolist())
-            yield f[["lang_g", "source_g", "mu"]].assign(inverse=inverse)
+                log_det.append(float(np.linalg.slogdet(matrix)[1]))
+            yield f[[*keys, "mu"]].assign(inverse=inverse, log_det=log_det)
 
-    return moments.mapInPandas(invert, "lang_g string, source_g string, mu array<double>, inverse array<double>")
+    return moments.mapInPandas(invert, schema)
 
 
-def _moments(rows: DataFrame) -> DataFrame:
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     """mu and cov of each group, and in ``chosen`` an exact sum that names its rows in any order."""
     aggregates = [F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(DIMS)]
     aggregates += [F.covar_pop(F.col("x")[i], F.col("x")[j]).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)]
     chosen = F.sum(F.pmod(F.xxhash64("x"), F.lit(1 << 31))).alias("chosen")
-    sums = rows.groupBy("lang_g", "source_g").agg(*aggregates, chosen)
+    sums = rows.groupBy(keys).agg(*aggregates, chosen)
     cov = [F.col(f"c{max(i, j)}{min(i, j)}") for i in range(DIMS) for j in range(DIMS)]
-    return sums.select("lang_g", "source_g", F.array(*(f"m{i}" for i in range(DIMS))).alias("mu"), F.array(*cov).alias("cov"), "chosen")
+    return sums.select(*keys, F.array(*(f"m{i}" for i in range(DIMS))).alias("mu"), F.array(*cov).alias("cov"), "chosen")
 
 
-def grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Which estimate each (lang, source) uses: its own, its language's or that of all. Returns the map, and the rows once for each estimate they belong to."""
-    sizes = written(rows.groupBy("lang_k", "source_k").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    by_lang = sizes.groupBy("lang_k").agg(F.sum("n").alias("n_lang"))
-    both = sizes.join(by_lang, "lang_k")
+def grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Which estimate each (lang, source) uses: its own, its language's or that of all.
+
+    Returns the map, the rows once for each estimate they belong to, and whether the groups are few.
+    """
+    cells = written(rows.groupBy("lang_k", "source_k").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    by_lang = cells.groupBy("lang_k").agg(F.sum("n").alias("n_lang"))
+    both = cells.join(by_lang, "lang_k")
     own, lang = F.col("n") >= LEAST_ROWS, F.col("n_lang") >= LEAST_ROWS
     used = both.select(
         "lang_k",
@@ -178,60 +180,72 @@ def grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(own, F.concat(F.lit("="), "source_k")).otherwise("*").alias("source_g"),
     )
     used = written(used, "groups")
+    few = used.count() <= MAX_BROADCAST_GROUPS
     # a pooled estimate rests on every row of its language, not only on the rows that use it
     needed = used.select("lang_g", "source_g").where("source_g = '*'").distinct()
-    pooled = _joined(
-        rows.select("x", F.explode(F.array(F.concat(F.lit("="), "lang_k"), F.lit("*"))).alias("lang_g"), F.lit("*").alias("source_g")),
-        needed, ["lang_g", "source_g"], "left_semi",
-    )
-    single = _joined(rows, used.where("source_g != '*'"), ["lang_k", "source_k"], "inner").select("x", "lang_g", "source_g")
-    return used, single.unionByName(pooled)
+    pooled = rows.select("x", F.explode(F.array(F.concat(F.lit("="), "lang_k"), F.lit("*"))).alias("lang_g"), F.lit("*").alias("source_g")).join(_small(needed, few), ["lang_g", "source_g"], "left_semi")
+    single = rows.join(_small(used.where("source_g != '*'"), few), ["lang_k", "source_k"]).select("x", "lang_g", "source_g")
+    return used, single.unionByName(pooled), few
+
+
+def _small(groups: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(groups) if few else groups
 
 
 def fit(statistics: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Estimates for every (lang_k, source_k): mu and inverse. ``statistics`` has the two columns and ``_stats``.
 
-    Deterministic start from medians and median deviations; then concentration steps: the SUPPORT share of rows nearest
-    to the centre gives the next mean and covariance. All groups advance together and every step is a sum over all
+    STARTS of every group: medians with median deviations, means with the covariance of all rows, and the moments of the half
+    of the rows that lie nearest to the medians. From each, concentration steps: the SUPPORT share of rows nearest
+    to the centre gives the next mean and covariance. All groups and starts advance together and every step is a sum over all
     rows with partial aggregation, so a group that holds a third of the rows is no more work for any task than others.
-    The steps go on until every group's subset is that of the step before.
+    A group's start ends when its subset is that of the step before; then the start with the least determinant counts (the first on ties).
     """
     usable = statistics.where(~base_failed()).select(
         F.coalesce(lang_col, F.lit("")).alias("lang_k"), F.coalesce(source_col, F.lit("")).alias("source_k"), F.array(*transformed()).alias("x")
     )
-    used, rows = grouped(usable)
-    keys = ["lang_g", "source_g"]
-    medians = rows.groupBy(keys).agg(F.array(*(F.percentile(F.col("x")[i], F.lit(0.5)) for i in range(DIMS))).alias("mu"))
+    used, rows, few = grouped(usable)
+    group, keys = ["lang_g", "source_g"], ["lang_g", "source_g", "start"]
+    rows = written(rows, "points")
+    medians = rows.groupBy(group).agg(F.array(*(F.percentile(F.col("x")[i], F.lit(0.5)) for i in range(DIMS))).alias("mu"))
     medians = written(medians, "medians")
-    spread = _joined(rows, medians, keys).groupBy(keys).agg(
-        F.first("mu").alias("mu"), F.array(*(F.percentile(F.abs(F.col("x")[i] - F.col("mu")[i]), F.lit(0.5)) for i in range(DIMS))).alias("mad")
-    )
-    zero = F.lit(0.0)
+    away = rows.join(_small(medians, few), group)
+    spread = away.groupBy(group).agg(F.first("mu").alias("mu"), F.array(*(F.percentile(F.abs(F.col("x")[i] - F.col("mu")[i]), F.lit(0.5)) for i in range(DIMS))).alias("mad"))
+    zero, one = F.lit(0.0), F.lit(1.0)
     diagonal = F.array(*((F.pow(1.4826 * F.col("mad")[i], F.lit(2.0)) if i == j else zero) for i in range(DIMS) for j in range(DIMS)))
-    estimate = written(_inverses(spread.select(*keys, "mu", diagonal.alias("cov"), F.lit(1.0).alias("scale"))), "start")
+    first = spread.select(*group, F.lit(STARTS[0]).alias("start"), "mu", diagonal.alias("cov"))
+    second = _moments(rows, group).select(*group, F.lit(STARTS[1]).alias("start"), "mu", "cov")
+    started = written(_inverses(first.unionByName(second).withColumn("scale", one), keys), "start")
+    near = rows.join(_small(started.where(F.col("start") == STARTS[0]), few), group).select(*group, "x", _distance().alias("d"))
+    half = near.join(_small(written(near.groupBy(group).agg(F.percentile("d", F.lit(0.5)).alias("limit")), "halves"), few), group).where("d <= limit")
+    third = _inverses(_moments(half, group).select(*group, F.lit(STARTS[2]).alias("start"), "mu", "cov").withColumn("scale", one), keys)
+    estimate = written(started.unionByName(third), "start")
     before = None
     for step in range(MOST_STEPS):
-        near = _joined(rows, estimate, keys).select(*keys, "x", _distance().alias("d"))
+        near = rows.join(_small(estimate, few), group).select(*keys, "x", _distance().alias("d"))
         limits = written(near.groupBy(keys).agg(F.percentile("d", F.lit(SUPPORT)).alias("limit")), "limits")
-        moments = written(_moments(_joined(near, limits, keys).where("d <= limit")), f"step{step}")
+        moments = written(_moments(near.join(_small(limits, few), keys).where("d <= limit"), keys), f"step{step}")
         now = moments.agg(F.sum(F.xxhash64(*keys, "chosen").cast("decimal(20,0)")).cast("string")).first()[0]
+        estimate = written(_inverses(moments.withColumn("scale", one), keys), "estimate")
         if now == before:
             break
-        before, estimate = now, written(_inverses(moments.withColumn("scale", F.lit(1.0))), "estimate")
+        before = now
     else:
         raise RuntimeError(f"subsets did not settle in {MOST_STEPS} concentration steps")
-    estimate = moments.drop("chosen")
+    order = F.struct(F.round("log_det", 9), F.array_position(F.array(*map(F.lit, STARTS)), F.col("start")))
+    best = written(estimate.groupBy(group).agg(F.min_by("start", order).alias("start")), "best")
     # consistency: the median distance of the group's rows becomes that of the chi-square distribution
-    plain = written(_inverses(estimate.withColumn("scale", F.lit(1.0))), "plain")
-    medians = _joined(rows, plain, keys).select(*keys, _distance().alias("d")).groupBy(keys).agg(F.percentile("d", F.lit(0.5)).alias("d"))
-    scaled = estimate.join(medians, keys).withColumn("scale", F.greatest(F.lit(1.0), F.expm1("d") / _MEDIAN_CHI2))
-    return written(used.join(_inverses(scaled.select(*keys, "mu", "cov", "scale")), keys).select("lang_k", "source_k", "mu", "inverse"), "estimates")
+    plain = written(estimate.join(best, keys), "plain")
+    medians = rows.join(_small(plain, few), group).select(*group, _distance().alias("d")).groupBy(group).agg(F.percentile("d", F.lit(0.5)).alias("d"))
+    scaled = moments.join(best, keys).join(medians, group).withColumn("scale", F.greatest(one, F.expm1("d") / _MEDIAN_CHI2))
+    return written(used.join(_inverses(scaled.select(*group, "mu", "cov", "scale"), group), group).select("lang_k", "source_k", "mu", "inverse"), "estimates")
 
 
 def judged(statistics: DataFrame, estimates: DataFrame, lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
     """Add base_failed, distance (squared; null without an estimate) and kept."""
     rows = statistics.withColumns({"lang_k": F.coalesce(lang_col, F.lit("")), "source_k": F.coalesce(source_col, F.lit("")), "x": F.array(*transformed())})
-    out = _joined(rows, estimates, ["lang_k", "source_k"]).withColumns({"base_failed": base_failed(), "distance": F.expm1(_distance())})
+    few = estimates.count() <= MAX_BROADCAST_GROUPS
+    out = rows.join(_small(estimates, few), ["lang_k", "source_k"], "left").withColumns({"base_failed": base_failed(), "distance": F.expm1(_distance())})
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return out.withColumn("kept", kept).drop("lang_k", "source_k", "x", "mu", "inverse")
 
