@@ -46,13 +46,14 @@ def format_preferences(turns: DataFrame, pair_id: Column, is_chosen: Column, tra
     ``turns`` has turn, role and text; ``pair_id`` and ``is_chosen`` say which conversation of which pair a turn
     belongs to. Null role or text counts as empty, a null turn number sorts first, and turns that tie or repeat
     stand in order of role and text and are all kept. A side without turns is an empty conversation: the prompt is
-    then empty and the other side is one completion. Rows with a null pair id form one pair with a null id; a null
-    ``is_chosen`` counts as rejected. An empty table gives no rows; other columns are not read.
+    then empty and the other side is one completion. A turn with a null pair id belongs to no other turn: it is a pair of
+    its own with a null id. A null ``is_chosen`` counts as rejected. An empty table gives no rows; other columns are not read.
 
     A row holds one pair of conversations, as its output must; the turns of a pair meet in one shuffle.
     """
     rows = turns.select(
         pair_id.alias("pair_id"),
+        F.when(pair_id.isNull(), F.monotonically_increasing_id()).alias("_alone"),
         F.coalesce(is_chosen, F.lit(False)).alias("side"),
         F.struct(
             F.col("turn").alias("turn"),
@@ -60,7 +61,7 @@ def format_preferences(turns: DataFrame, pair_id: Column, is_chosen: Column, tra
             F.coalesce("text", F.lit("")).alias("text"),
         ).alias("t"),
     )
-    sides = rows.groupBy("pair_id").agg(
+    sides = rows.groupBy("pair_id", "_alone").agg(
         F.sort_array(F.collect_list(F.when(F.col("side"), F.col("t")))).alias("a"),
         F.sort_array(F.collect_list(F.when(~F.col("side"), F.col("t")))).alias("b"),
     )
