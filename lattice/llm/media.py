@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattice.llm import webp
-from lattice.llm.common import flat, pieces
+from lattice.llm.common import flat, map_arrow, pieces, slices
 
 #: Samples of a row, and rows of an image: longer payloads are several images, end to end.
 WIDTH = 576
@@ -53,7 +53,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 media = [files[i] if j == i + 1 else b"".join(files[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(offsets[a : b + 1])), pa.array(media, pa.binary())], schema.names)
 
-    return picked.mapInArrow(write, schema)
+    return map_arrow(picked, write, schema)
 
 
 def features(stored: DataFrame) -> DataFrame:

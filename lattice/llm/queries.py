@@ -14,8 +14,10 @@ from lattice.llm import langid, media, mixing, neardup, packing, preference, qua
 MIX_WEIGHTS = {"src0": 0.10, "src1": 0.10, "src2": 0.10, "src3": 0.10, "src4": 0.10, mixing.OTHER: 0.50}
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Hosts and pages that the list blocks where no rule decides.
-URL_BLOCKED = ("free-bets.example.com", "free-bets.example.net", "free-bets.example.org", "m.free-bets.example.net/de/20")
+#: Kinds of unwanted hosts and the domains they stand under; with one page they are the list that blocks where no rule decides.
+URL_UNWANTED = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+URL_DOMAINS = tuple(f"{name}.{end}" for name in ("example", "test", "invalid") for end in ("com", "net", "org", "info", "biz", "de", "en", "es", "fr", "it"))
+URL_BLOCKED = (*(f"{kind}.{domain}" for kind in URL_UNWANTED for domain in URL_DOMAINS), "m.free-bets.example.net/de/20")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def op6_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.deduplicate_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring.deduplicate_substrings(table(spark, sf_dir, "documents"), keep_text=False)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +64,8 @@ def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = url_filter.url_filter(table(spark, sf_dir, "pages"), URL_BLOCKED, URL_RULES)
+    blocked = spark.createDataFrame([(b,) for b in URL_BLOCKED], "entry string")
+    judged = url_filter.url_filter(table(spark, sf_dir, "pages"), blocked, URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -80,7 +83,7 @@ s AS (SELECT m.mix_bucket, m.mass, w.weight, sum(m.mass) OVER () AS corpus, sum(
 r AS (SELECT mix_bucket, weight / share * 1.0 * corpus / mass AS rate FROM s),
 p AS (
   SELECT mix_bucket, rate, k, least(1.0, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY mix_bucket ORDER BY k)) AS cdf
-  FROM r, generate_series(0, 400) AS g(k)),
+  FROM r, LATERAL (SELECT unnest(generate_series(0, ceil(rate + 12 * sqrt(rate) + 40)::BIGINT)) AS k)),
 c AS (
   SELECT d.*, r.rate, ('0x' || substr(md5('17|count|' || ident), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
   FROM d JOIN r USING (mix_bucket)),
@@ -126,9 +129,11 @@ def _url_sql() -> str:
 
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in longest_first) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{v}'" for v, r in longest_first)
-    listed = " OR ".join(f"host = '{b}' OR ends_with(host, '.{b}') OR host || path = '{b}'" for b in URL_BLOCKED)
+    values = ", ".join(f"('{b}')" for b in URL_BLOCKED)
+    listed = "EXISTS (SELECT 1 FROM l WHERE host = entry OR ends_with(host, '.' || entry) OR host || path = entry)"
     return f"""
-WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH l(entry) AS (VALUES {values}),
+a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a)

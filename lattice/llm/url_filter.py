@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
-import tempfile
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattice.llm.common import written
+from lattice.llm.common import map_arrow, scratch_dir, slices, written
 
-#: A digest array up to this size goes to every executor; a larger list is joined by key instead.
+#: A digest array up to this size goes to every executor; a larger list is dealt to shards of the array by key.
 MAX_BROADCAST_BYTES = 64 << 20
+#: Seed of the keys, that of Spark's own xxhash64.
+SEED = 42
+#: Probes that one group of a shard gets.
+PROBES = 1_000_000
+
+
+def _digest(raw: bytes) -> int:
+    return xxhash.xxh64_intdigest(raw, SEED)
 
 
 class DigestArray:
@@ -34,7 +41,7 @@ class DigestArray:
         self.strings = buffer[16 + 16 * n :]
 
     @staticmethod
-    def pack(entries: Sequence[str], key=xxhash.xxh64_intdigest) -> bytes:
+    def pack(entries: Sequence[str], key=_digest) -> bytes:
         raw = sorted((key(e), e) for e in {x.encode() for x in entries})
         offsets = np.zeros(len(raw) + 1, np.uint64)
         offsets[1:] = np.cumsum([len(e) for _, e in raw], dtype=np.uint64)
@@ -42,29 +49,27 @@ class DigestArray:
         return np.array([len(raw)], np.uint64).tobytes() + keys.tobytes() + offsets.tobytes() + b"".join(e for _, e in raw)
 
     @classmethod
-    def mapped(cls, content: bytes) -> DigestArray:
-        """Memory-map the content; the workers of an executor share one file named by its digest."""
-        path = os.path.join(tempfile.gettempdir(), f"digests-{hashlib.sha256(content).hexdigest()[:32]}.bin")
-        if not os.path.exists(path):
-            part = f"{path}.{os.getpid()}"
-            with open(part, "wb") as out:
-                out.write(content)
-            os.replace(part, path)
-        return cls(np.memmap(path, np.uint8, "r"))
-
-    def contains(self, values: Sequence[str], key=xxhash.xxh64_intdigest) -> np.ndarray:
-        """One boolean per value: binary search over all keys at once, then the strings of equal keys."""
+    def mapped(cls, name: str) -> DigestArray:
+        """Memory-map the file that Spark has sent to this executor; its workers share the pages."""
+        return cls(np.memmap(SparkFiles.get(name), np.uint8, "r"))
+
+    def contains(self, values: Sequence[str], key=_digest) -> np.ndarray:
+        """One boolean per value: binary search over all keys at once, then the strings of equal keys alone."""
         raw = [v.encode() for v in values]
         wanted = np.fromiter((key(v) for v in raw), np.uint64, len(raw))
-        at = np.searchsorted(self.keys, wanted)
         out = np.zeros(len(raw), bool)
-        for i in np.flatnonzero(at < len(self.keys)):
-            k = int(at[i])
-            while k < len(self.keys) and self.keys[k] == wanted[i]:
-                if self.strings[int(self.offsets[k]) : int(self.offsets[k + 1])].tobytes() == raw[i]:
-                    out[i] = True
-                    break
-                k += 1
+        if not len(self.keys):
+            return out
+        at = np.searchsorted(self.keys, wanted)
+        live = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == wanted)
+        while len(live):  # one turn, and one more for each further string of an equal key
+            k = at[live].tolist()
+            same = np.fromiter((self.strings[int(self.offsets[j]) : int(self.offsets[j + 1])].tobytes() == raw[i] for i, j in zip(live.tolist(), k, strict=True)), bool, len(live))
+            out[live[same]] = True
+            live = live[~same]
+            at[live] += 1
+            live = live[(at[live] < len(self.keys))]
+            live = live[self.keys[at[live]] == wanted[live]]
         return out
 
 
@@ -103,13 +108,19 @@ def candidates(host: str, path: str) -> list[str]:
 
 
 def listed_mapped(df: DataFrame, content: bytes) -> DataFrame:
-    """Add ``listed`` by the digest array, which travels with the task (its size is bounded by the caller)."""
+    """Add ``listed`` by the digest array: a file that Spark sends to every executor once (its size is bounded by the caller)."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(content)
+    folder = scratch_dir(spark)
+    name = f"digests-{folder.rsplit('-', 1)[-1]}.bin"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    file = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    file.write(bytearray(content))
+    file.close()
+    spark.sparkContext.addFile(f"{folder}/{name}")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests = DigestArray.mapped(shared.value)
-        for batch in batches:
+        digests = DigestArray.mapped(name)
+        for batch in slices(batches, "path"):
             hosts = batch.column("host").to_pylist()
             paths = batch.column("path").to_pylist()
             many = [candidates(h, p) for h, p in zip(hosts, paths, strict=True)]
@@ -120,22 +131,31 @@ def listed_mapped(df: DataFrame, content: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts > 0, pa.bool_())], [*batch.schema.names, "listed"])
 
     schema = T.StructType([*df.schema.fields, T.StructField("listed", T.BooleanType())])
-    return df.mapInArrow(probe, schema)
+    return map_arrow(df, probe, schema)
 
 
-def listed_joined(df: DataFrame, entries: DataFrame) -> DataFrame:
-    """Add ``listed`` where the list is too large to send around: keys and strings meet in a shuffle join."""
+def listed_sharded(df: DataFrame, entries: DataFrame, size: int, most: int) -> DataFrame:
+    """Add ``listed`` where the array is too large to send around: it is dealt to shards by key, and every shard is a sorted array of
+    its own that is probed in the same way. Probes are distinct, and those of a shard are spread over as many groups as they need.
+    """
     hosts = F.split(F.col("host"), r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(hosts)), lambda i: F.array_join(F.slice(hosts, i, F.size(hosts)), ".")
-    )
-    wanted = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(
-        F.concat(suffixes, F.array(F.concat("host", "path")))
-    )
-    urls = df.select("host", "path").distinct()
-    probes = urls.select("host", "path", F.explode(F.array_distinct(wanted)).alias("entry")).withColumn("key", F.xxhash64("entry"))
-    keyed = entries.select("entry").where(F.col("entry").isNotNull()).distinct().withColumn("key", F.xxhash64("entry"))
-    hits = probes.join(keyed, ["key", "entry"], "left_semi").select("host", "path").distinct().withColumn("listed", F.lit(True))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(hosts)), lambda i: F.array_join(F.slice(hosts, i, F.size(hosts)), "."))
+    wanted = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.concat(suffixes, F.array(F.concat("host", "path"))))
+    urls = written(df.select("host", "path").distinct().select("host", "path", F.explode(F.array_distinct(wanted)).alias("entry")), "probes")
+    shards = max(1, math.ceil(size / max(most, 1 << 20)))
+    shard = F.pmod(F.xxhash64("entry"), F.lit(shards)).cast("long")
+    probes = urls.select("entry").distinct()
+    spread = max(1, math.ceil(urls.count() / (shards * PROBES)))
+    keys = entries.select("entry").where(F.col("entry").isNotNull()).distinct().select("entry", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("part"))
+    asked = probes.select("entry", shard.alias("shard"), F.pmod(F.hash("entry"), F.lit(spread)).alias("part"))
+
+    def probe(stored: pa.Table, sought: pa.Table) -> pa.Table:
+        digests = DigestArray(np.frombuffer(DigestArray.pack(stored.column("entry").to_pylist()), np.uint8))
+        values = sought.column("entry")
+        return pa.table([values.filter(pa.array(digests.contains(values.to_pylist())))], names=["entry"])
+
+    found = keys.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(probe, "entry string")
+    hits = urls.join(found, "entry", "left_semi").select("host", "path").distinct().withColumn("listed", F.lit(True))
     return df.join(hits, ["host", "path"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
 
 
@@ -157,19 +177,13 @@ def url_filter(
     """
     spark: SparkSession = pages.sparkSession
     base = split_url(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), "url").select("page_id", "host", "path")
-    if isinstance(blocked, DataFrame):
-        size = blocked.agg(F.sum(F.octet_length("entry") + 16)).first()[0] or 0
-        if size > max_broadcast_bytes:
-            listed = listed_joined(base, written(blocked.select("entry"), "blocked"))
-        else:
-            entries = [r.entry for r in blocked.select("entry").where("entry is not null").distinct().toLocalIterator()]
-            listed = listed_mapped(base, DigestArray.pack(entries))
+    if not isinstance(blocked, DataFrame):
+        blocked = spark.createDataFrame([(b,) for b in blocked], "entry string")
+    size = blocked.agg(F.sum(F.octet_length("entry") + 16)).first()[0] or 0
+    if size > max_broadcast_bytes:
+        listed = listed_sharded(base, written(blocked.select("entry"), "blocked"), size, max_broadcast_bytes)
     else:
-        content = DigestArray.pack(blocked)
-        if len(content) > max_broadcast_bytes:
-            listed = listed_joined(base, spark.createDataFrame([(b,) for b in blocked], "entry string"))
-        else:
-            listed = listed_mapped(base, content)
+        listed = listed_mapped(base, DigestArray.pack([r.entry for r in blocked.select("entry").where("entry is not null").distinct().collect()]))
     judged = listed.withColumn("_rule", rule_column(rules))
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
     return judged.select(F.col("page_id").alias(id_col), "host", "path", F.col("_rule.rule").alias("rule"), "listed", verdict.alias("verdict"))
