@@ -5,6 +5,8 @@ A key is one request, video or task, bounded by its nature; keys run in parallel
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -34,16 +36,24 @@ def fold_column(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs
     dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []  # the key that may go on
+        last = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            starts = _starts(held, keys)
-            if len(starts) > 1:  # the last key may go on in the next batch
-                yield from decided(held.slice(0, starts[-1]), starts[:-1]).to_batches()
-                held = held.slice(starts[-1])
-        if held is not None and held.num_rows:
-            yield from decided(held, _starts(held, keys)).to_batches()
+            if not batch.num_rows:
+                continue
+            starts, final = _starts(batch, keys)
+            if held and last != _key(batch, keys, 0):
+                yield from decided(pa.Table.from_batches(held), [0]).to_batches()
+                held = []
+            if held and len(starts) > 1:
+                yield from decided(pa.Table.from_batches([*held, batch.slice(0, starts[1])]), [0]).to_batches()
+                held, batch, starts = [], batch.slice(starts[1]), [s - starts[1] for s in starts[1:]]
+            if len(starts) > 1:
+                yield from decided(pa.Table.from_batches([batch.slice(0, starts[-1])]), starts[:-1]).to_batches()
+            held.append(batch.slice(starts[-1]) if not held else batch)
+            last = final
+        if held:
+            yield from decided(pa.Table.from_batches(held), [0]).to_batches()
 
     def decided(table: pa.Table, starts: list[int]) -> pa.Table:
         lists = [table.column(c).to_pylist() for c in inputs]
@@ -55,9 +65,14 @@ def fold_column(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs
     return dealt.mapInArrow(walk, schema)
 
 
-def _starts(table: pa.Table, keys: Sequence[str]) -> list[int]:
-    columns = list(zip(*(table.column(k).to_pylist() for k in keys), strict=True))
-    return [i for i, k in enumerate(columns) if i == 0 or k != columns[i - 1]]
+def _key(batch: pa.RecordBatch, keys: Sequence[str], row: int) -> tuple:
+    return tuple(batch.column(k)[row].as_py() for k in keys)
+
+
+def _starts(batch: pa.RecordBatch, keys: Sequence[str]) -> tuple[list[int], tuple]:
+    """Where runs of equal keys begin, and the last key."""
+    columns = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+    return [i for i, k in enumerate(columns) if i == 0 or k != columns[i - 1]], columns[-1]
 
 
 def token_bucket(times: Sequence[float], per_minute: float, burst: float) -> list[bool]:
@@ -91,10 +106,13 @@ def legal(before: str | None, after: str) -> bool:
     return after == "queued" if before is None else after in TRANSITIONS.get(before, set()) or (after == "failed" and before not in FINAL)
 
 
-def circuit(times: Sequence[float], ok: Sequence[bool], threshold: int = 3, recovery: float = 30.0) -> list[str]:
-    """State in which each call is answered: closed, open (refused) or half_open (the probe). A failed probe opens again."""
+def circuit(times: Sequence[float], ok: Sequence[bool], threshold: int = 3, recovery: float = 30.0, counted: Sequence[bool] | None = None) -> list[str]:
+    """State in which each call is answered: closed, open (refused) or half_open (the probe). A failed probe opens again.
+
+    A failure that is not ``counted`` leaves the count as it is (as a probe it still opens again).
+    """
     out, failures, opened = [], 0, None
-    for t, good in zip(times, ok, strict=True):
+    for i, (t, good) in enumerate(zip(times, ok, strict=True)):
         if opened is not None and t - opened < recovery:
             out.append("open")
             continue
@@ -102,30 +120,63 @@ def circuit(times: Sequence[float], ok: Sequence[bool], threshold: int = 3, reco
         if good:
             failures, opened = 0, None
         else:
-            failures += 1
+            failures += counted is None or counted[i]
             if opened is not None or failures >= threshold:
                 opened = t
     return out
 
 
+def cooldown_circuit(times: Sequence[float], ok: Sequence[bool], threshold: int = 5, cooldown: float = 60.0) -> list[str]:
+    """The form without a probe: after the cooldown everything is as new."""
+    out, failures, opened = [], 0, None
+    for t, good in zip(times, ok, strict=True):
+        if opened is not None and t - opened >= cooldown:
+            failures, opened = 0, None
+        out.append("closed" if opened is None else "open")
+        if opened is None:
+            failures = 0 if good else failures + 1
+            opened = t if failures >= threshold else None
+    return out
+
+
 def lpt(costs: Sequence[int], capacity: int, load: float = 0.65) -> list[int]:
-    """Bin of each cost: longest first into the least loaded bin where it fits below capacity x load, else a new bin. A cost above the target is an error."""
-    target = int(capacity * load)
-    if not 0.1 <= load <= 1:
-        raise ValueError("the load ratio lies between 0.1 and 1")
-    if any(c > target for c in costs):
+    """Bin of each cost, longest first into the least loaded bin (the first of equals) that still holds it.
+
+    As many bins as the target load (capacity x load, .1 to 1) asks for stand open from the start, so loads level out; a
+    cost that fits none of them opens another. A cost above the capacity is an error.
+    """
+    if any(c > capacity for c in costs):
         raise ValueError("an item does not fit any bin")
-    bins, out = [], [0] * len(costs)
+    target = max(1, int(capacity * min(1.0, max(0.1, load))))
+    bins, out = [0] * min(len(costs), max(1, -(-sum(costs) // target))), [0] * len(costs)
     for i in sorted(range(len(costs)), key=lambda i: (-costs[i], i)):
-        fits = [(b, k) for k, b in enumerate(bins) if b + costs[i] <= target]
-        k = min(fits)[1] if fits else len(bins)
-        if not fits:
+        k = min((k for k, b in enumerate(bins) if b + costs[i] <= capacity), key=lambda k: (bins[k], k), default=len(bins))
+        if k == len(bins):
             bins.append(0)
         bins[k] += costs[i]
         out[i] = k
     return out
 
 
+def consume_plans(plans: Sequence[str], costs: Sequence[int], limit: int) -> list[int | None]:
+    """Place at which each item is taken, else None. Every round tries the head of each plan in turn; a round that takes nothing is the last."""
+    waiting: dict[str, list[int]] = {}
+    for i, p in enumerate(plans):
+        waiting.setdefault(p, []).insert(0, i)
+    out: list[int | None] = [None] * len(plans)
+    used = taken = 0
+    before = -1
+    while taken > before and waiting:
+        before = taken
+        for p, items in list(waiting.items()):
+            if used + costs[items[-1]] <= limit:
+                i = items.pop()
+                used, taken, out[i] = used + costs[i], taken + 1, taken
+            if not items:
+                del waiting[p]
+    return out
+
+
 def budget_merge(groups: Sequence[str], tokens: Sequence[int], gains: Sequence[float], budget: int, most: int) -> list[bool]:
     """Which candidates stay: the best of each group first, then by gain; what exceeds the budget is skipped, not the end."""
     order = sorted(range(len(tokens)), key=lambda i: (-gains[i], i))
@@ -170,35 +221,77 @@ def merge_short(sizes: Sequence[float], least: float) -> list[int]:
     return out
 
 
+def sentence_groups(seconds: Sequence[float], chars: Sequence[int], least: float, most: float, most_chars: int) -> list[int]:
+    """Group of each sentence: one goes on while it is shorter than ``least`` and the next keeps it below both upper limits.
+
+    A last group that is still too short joins the one before, if both together stay below the limits.
+    """
+    groups: list[list] = []  # sentences, seconds, characters, open
+    for i, (d, c) in enumerate(zip(seconds, chars, strict=True)):
+        last = groups[-1] if groups else None
+        if last and last[3] and last[1] < least and last[2] < most_chars and last[1] + d < most and last[2] + c < most_chars:
+            last[:3] = [*last[0], i], last[1] + d, last[2] + c
+        else:
+            groups.append([[i], d, c, d < most and c < most_chars])
+    if len(groups) > 1 and groups[-1][3] and groups[-1][1] < least and groups[-1][2] < most_chars and groups[-2][1] + groups[-1][1] < most and groups[-2][2] + groups[-1][2] < most_chars:
+        groups[-2][0] += groups.pop()[0]
+    return [g for g, (members, *_) in enumerate(groups) for _ in members]
+
+
+def merge_scenes(starts: Sequence[int], ends: Sequence[int], confidence: Sequence[float], summary: Sequence[str | None], least: int) -> list[tuple[int, int, float, str | None]]:
+    """Scenes of at least ``least`` frames: (start, end, least confidence, summaries joined by `` / ``). A short tail joins the scene before."""
+
+    def join(a: tuple, b: tuple) -> tuple:
+        texts = [t for t in (a[3], b[3]) if t]
+        return a[0], b[1], min(a[2], b[2]), " / ".join(dict.fromkeys(texts)) if texts else None
+
+    out: list[tuple] = []
+    for scene in zip(starts, ends, confidence, summary, strict=True):
+        if out and out[-1][1] - out[-1][0] < least:
+            out[-1] = join(out[-1], scene)
+        else:
+            out.append(scene)
+    if len(out) > 1 and out[-1][1] - out[-1][0] < least:
+        tail = out.pop()
+        out[-1] = join(out[-1], tail)
+    return out
+
+
 def page_groups(tokens: Sequence[int], target: int, overlap: int = 1) -> list[tuple[int, int]]:
-    """Token-balanced runs of pages (first, last), each starting ``overlap`` pages before the last one's end."""
+    """Token-balanced runs of pages (first, last). A run is cut before the page that takes it above the mean of target and
+    equal share; the next begins ``overlap`` pages earlier. A first page that alone is above it leaves a run without pages, (0, -1)."""
     total = sum(tokens)
     if total <= target:
         return [(0, len(tokens) - 1)] if tokens else []
-    parts = -(-total // target)
-    average = -(-(total // parts + target) // 2)
+    parts = math.ceil(total / target)
+    average = math.ceil((total / parts + target) / 2)
     out, start, size = [], 0, 0
     for i, n in enumerate(tokens):
-        if size + n > average and i > start:
+        if size + n > average:
             out.append((start, i - 1))
-            start = max(i - overlap, start + 1)
+            start = max(i - overlap, 0)
             size = sum(tokens[start:i])
         size += n
-    out.append((start, len(tokens) - 1))
-    return out
+    return [*out, (start, len(tokens) - 1)]
+
+
+_SENTENCE_END = re.compile(r"[。！？!?；;.]\s*$")
 
 
-def utterances(starts: Sequence[float], ends: Sequence[float], speakers: Sequence[str], texts: Sequence[str], longest: float = 30, least: float = 5, gap: float = 0.8) -> list[int]:
-    """Unit of each sentence: a unit ends beyond ``longest`` seconds, or from ``least`` on at a gap, another speaker or a sentence end."""
-    out, unit, begin = [], 0, None
-    for i in range(len(starts)):
-        if begin is not None:
-            span = ends[i - 1] - begin
-            broken = starts[i] - ends[i - 1] >= gap or speakers[i] != speakers[i - 1] or texts[i - 1].rstrip().endswith((".", "!", "?", "。", "！", "？"))
+def utterances(starts: Sequence[float], ends: Sequence[float], speakers: Sequence[str | None], texts: Sequence[str | None], longest: float = 30, least: float = 5, gap: float = 0.8) -> list[int | None]:
+    """Unit of each sentence in order of start and end (None for blank or empty ones, which take no part): a unit ends where the
+    next would make it longer than ``longest`` seconds, or from ``least`` on at a gap, between two known speakers or at a sentence end."""
+    out: list[int | None] = [None] * len(starts)
+    unit, begin, before = 0, None, None
+    for i in sorted((i for i in range(len(starts)) if ends[i] > starts[i] and (texts[i] or "").strip()), key=lambda i: (starts[i], ends[i], i)):
+        if before is not None:
+            span = ends[before] - begin
+            change = bool(speakers[before] and speakers[i] and speakers[before] != speakers[i])
+            broken = starts[i] - ends[before] >= gap or change or bool(_SENTENCE_END.search(texts[before]))
             if ends[i] - begin > longest or (span >= least and broken):
                 unit, begin = unit + 1, None
         begin = starts[i] if begin is None else begin
-        out.append(unit)
+        out[i], before = unit, i
     return out
 
 

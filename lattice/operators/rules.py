@@ -60,10 +60,9 @@ def scope(duration: Column, kind: Column, start: Column, end: Column, text_start
 
 # --- headings ---------------------------------------------------------------------------------
 
-# Fixed patterns: weak headings with their level, in order of trial.
+# Fixed patterns: numbered headings with their level, in order of trial.
 _NUMERALS = "一二三四五六七八九十百千万零〇两"
 HEADINGS = (
-    ("^#\\s+\\S.{0,79}$", 1), ("^##\\s+\\S.{0,79}$", 2), ("^###\\s+\\S.{0,79}$", 3), ("^####\\s+\\S.{0,79}$", 4), ("^#####\\s+\\S.{0,79}$", 5), ("^######\\s+\\S.{0,79}$", 6),
     (f"^第[{_NUMERALS}0-9]+[章节篇部]\\s*[:：、.．-]?\\s*(\\S.{{0,59}})?$", 1),
     (f"^[{_NUMERALS}]+[、.．]\\s*\\S.{{0,59}}$", 1),
     (f"^[（(]\\s*[{_NUMERALS}]+\\s*[）)]\\s*\\S.{{0,59}}$", 2),
@@ -81,13 +80,17 @@ FIGURE = "(?i)^\\s*((图表|图|表)\\s*\\d|(figure|fig\\.?|table)\\s*\\d+)"
 
 
 def weak_heading_level(line: Column) -> Column:
-    """Level of a line that looks like a heading, else null."""
+    """Level of a line that looks like a heading, else null: the number of its hashes, or that of a numbering.
+
+    No heading: lines of more than 100 characters, table rows, addresses, lines that end like a sentence, dates and numbers.
+    """
     t = F.trim(line)
-    plain = (F.length(t).between(1, 100)) & ~F.contains(t, F.lit("|")) & ~F.contains(t, F.lit("://")) & ~t.rlike("^(http:|https:|www\\.)") & ~t.rlike("[。！？；，,;]$") & ~t.rlike("^[\\d\\s./年月日:-]+$")
-    out = F.when(~plain, F.lit(None).cast("int"))
-    for pattern, level in HEADINGS:
-        out = out.when(t.rlike(pattern), level)
-    return out
+    hashes = F.regexp_extract(t, "^(#{1,6})\\s+\\S.{0,79}$", 1)
+    level = F.when(hashes != "", F.length(hashes))
+    for pattern, depth in HEADINGS:
+        level = level.when(t.rlike(pattern), depth)
+    unfit = t.rlike("[|]|://|^(http:|https:|www\\.)|[。！？；，,;]$|^[\\d\\s./年月日:-]+$") | ~F.length(t).between(1, 100)
+    return F.when(~unfit, level)
 
 
 def toc_entry(line: Column) -> Column:
@@ -177,13 +180,23 @@ def distinct_hits(hits: DataFrame, query: str, key: Column, order: Sequence[Colu
 
 def thin(levels: Sequence[int], tokens: Sequence[int], least: int) -> list[int | None]:
     """For each node (preorder): itself if it stays, else the node that absorbs it. A node whose subtree holds fewer than ``least`` tokens absorbs its descendants."""
-    n, owner = len(levels), [None] * len(levels)
-    for i in range(n):
-        end = next((j for j in range(i + 1, n) if levels[j] <= levels[i]), n)
-        if owner[i] is None:
-            owner[i] = i
-            if sum(tokens[i:end]) < least:
-                owner[i + 1 : end] = [i] * (end - i - 1)
+    n = len(levels)
+    ends, open_nodes = [n] * n, []
+    sums = [0]
+    for i, level in enumerate(levels):
+        while open_nodes and levels[open_nodes[-1]] >= level:
+            ends[open_nodes.pop()] = i
+        open_nodes.append(i)
+        sums.append(sums[-1] + tokens[i])
+    owner: list[int | None] = [None] * n
+    i = 0
+    while i < n:
+        owner[i] = i
+        if sums[ends[i]] - sums[i] < least:
+            owner[i : ends[i]] = [i] * (ends[i] - i)
+            i = ends[i]
+        else:
+            i += 1
     return owner
 
 
@@ -200,34 +213,54 @@ def capped_parents(parents: Sequence[int | None], most: int) -> list[int | None]
     return out
 
 
-def untangled(starts: Sequence[float], ends: Sequence[float], least: float, gap: float = 0.0) -> list[tuple[float, float, list[int]]]:
-    """Cues without flashes or overlaps: a cue shorter than ``least`` joins the one before where they touch, else the next; then starts keep the gap."""
-    cues = [[s, e, [i]] for i, (s, e) in enumerate(zip(starts, ends, strict=True))]
-    changed = True
-    while changed and len(cues) > 1:
-        changed = False
-        for i, (s, e, members) in enumerate(cues):
-            if e - s < least:
-                j = i - 1 if i and abs(cues[i - 1][1] - s) < 1e-6 else i + 1 if i + 1 < len(cues) else i - 1
-                a, b = min(i, j), max(i, j)
-                cues[a : b + 1] = [[min(cues[a][0], cues[b][0]), max(cues[a][1], cues[b][1]), cues[a][2] + cues[b][2]]]
-                changed = True
-                break
+def untangled(starts: Sequence[float], ends: Sequence[float], least: float, gap: float = 0.0, touch: float = 0.12, stretch: float | None = None) -> list[tuple[float, float, list[int]]]:
+    """Cues without flashes or overlaps: a cue shorter than ``least`` joins the one before if they touch, else the next if they
+    touch, else it stays; passes are repeated until none joins. Then starts keep the gap, and a cue left empty is stretched."""
+    cues = [(s, e, [i]) for i, (s, e) in enumerate(zip(starts, ends, strict=True))]
+    joined = True
+    while joined:
+        joined, waiting, done = False, cues[::-1], []
+        while waiting:
+            s, e, members = waiting.pop()
+            if e - s >= least:
+                done.append((s, e, members))
+            elif done and abs(done[-1][1] - s) <= touch:
+                done[-1] = (done[-1][0], e, done[-1][2] + members)
+                joined = True
+            elif waiting and abs(e - waiting[-1][0]) <= touch:
+                waiting[-1] = (s, waiting[-1][1], members + waiting[-1][2])
+                joined = True
+            else:
+                done.append((s, e, members))
+        cues = done
     out: list[tuple[float, float, list[int]]] = []
     for s, e, members in cues:
-        s = max(s, out[-1][1] + gap) if out else s
-        out.append((s, e if e > s else s + least, members))
+        if out and s < out[-1][1] + gap - 1e-9:
+            s = out[-1][1] + gap
+        out.append((s, e if e > s else s + (least if stretch is None else stretch), members))
     return out
 
 
-def paced(texts: Sequence[str], starts: Sequence[float], ends: Sequence[float], cap: float, last_extra: float = 3.0) -> list[tuple[float, float]]:
-    """End times stretched towards the next cue where a cue reads faster than ``cap`` characters a second."""
-    out = []
-    for i, (t, s, e) in enumerate(zip(texts, starts, ends, strict=True)):
-        if len(t) / max(e - s, 1e-6) > cap + 0.05:
-            limit = starts[i + 1] if i + 1 < len(starts) else e + last_extra
-            e = max(e, min(limit, s + len(t) / cap))
-        out.append((s, e))
+def paced(texts: Sequence[str], starts: Sequence[float], ends: Sequence[float], cap: float, shortest: float = 0.0, gap: float = 0.001, last_extra: float = 3.0) -> list[tuple[float, float, list[int]]]:
+    """(start, end, members) of cues where none reads faster than ``cap`` characters a second, if that can be had.
+
+    A cue above the cap by more than .05 joins the next one if it does not end in 、 and both together take at least ``shortest``
+    seconds and stay within .15 of the cap; else its end moves on, up to the gap before the next start (the last cue: by ``last_extra``).
+    """
+    out: list[tuple[float, float, list[int]]] = []
+    i, n = 0, len(texts)
+    while i < n:
+        size, s, e = len(texts[i].replace("\n", "")), starts[i], ends[i]
+        if size / max(e - s, 1e-6) <= cap + 0.05:
+            out.append((s, e, [i]))
+        elif i + 1 < n and not texts[i].rstrip().endswith("、") and ends[i + 1] - s >= shortest and (size + len(texts[i + 1].replace("\n", ""))) / max(ends[i + 1] - s, 1e-6) <= cap + 0.15:
+            out.append((s, ends[i + 1], [i, i + 1]))
+            i += 1
+        else:
+            limit = starts[i + 1] - gap if i + 1 < n else e + last_extra
+            longer = min(max(e, s + max(shortest, size / cap)), limit)
+            out.append((s, longer if longer > e + 0.01 else e, [i]))
+        i += 1
     return out
 
 

@@ -37,6 +37,12 @@ def circuit_breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fold_column(_log(spark, sf_dir), ["user_id"], ["t", "event_id"], ["t", "event_type"], decide, "state", T.StringType()).select("user_id", "event_id", "state")
 
 
+@query("circuit_breaker_cooldown")
+def circuit_breaker_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decide = lambda t, kind: folds.cooldown_circuit(t, [k != "error" for k in kind], 2, 86400)
+    return folds.fold_column(_log(spark, sf_dir), ["user_id"], ["t", "event_id"], ["t", "event_type"], decide, "state", T.StringType()).select("user_id", "event_id", "state")
+
+
 @query("state_machine_violations", """
 WITH s AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'parsing' WHEN 'click' THEN 'extracting' WHEN 'purchase' THEN 'structuring' ELSE 'failed' END AS status, ts FROM events),
 l AS (SELECT *, lag(status) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM s)
@@ -103,6 +109,35 @@ def short_segment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.fold_column(rows, ["conv_id"], ["turn"], ["n"], lambda n: folds.merge_short(n, 400), "segment", T.LongType()).select("conv_id", "turn", "segment")
 
 
+@query("sentence_merge")
+def sentence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as sentences read at 15 characters a second: groups of 20 to 40 seconds and fewer than 500 characters."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("c"), (F.length("text") / 15).alias("d"))
+    decide = lambda d, c: folds.sentence_groups(d, c, 20, 40, 500)
+    return folds.fold_column(rows, ["conv_id"], ["turn"], ["d", "c"], decide, "grp", T.LongType()).select("conv_id", "turn", "grp")
+
+
+@query("scene_merge")
+def scene_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as scenes of as many frames as characters, until each has 400: start, end, least confidence, joined summaries."""
+    after = F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", (after - F.length("text")).alias("s"), after.alias("e"), (1 / (1 + F.col("turn"))).alias("c"), "role")
+
+    def step(p: pd.DataFrame) -> pd.DataFrame:
+        scenes = folds.merge_scenes(p.s.tolist(), p.e.tolist(), p.c.tolist(), p.role.tolist(), 400)
+        return pd.DataFrame([(p.conv_id.iloc[0], *scene) for scene in scenes], columns=["conv_id", "first_frame", "end_frame", "confidence", "summary"])
+
+    return folds.fold(rows, ["conv_id"], ["turn"], step, "conv_id long, first_frame long, end_frame long, confidence double, summary string")
+
+
+@query("plan_consumption")
+def plan_consumption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as one plan for each return flag; heads of plans in turn while the quantities stay within 90."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("plan"), F.col("l_quantity").cast("long").alias("cost"))
+    decide = lambda plan, cost: folds.consume_plans(plan, cost, 90)
+    return folds.fold_column(li, ["l_orderkey"], ["l_linenumber", "plan", "cost"], ["plan", "cost"], decide, "place", T.LongType()).select("l_orderkey", "l_linenumber", "place")
+
+
 @query("page_groups")
 def page_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))

@@ -224,7 +224,7 @@ def line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("optional_expansion")
 def optional_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' parts that fill the rest of an order's budget, new suppliers first."""
-    w = Window.partitionBy("l_orderkey", "l_suppkey").orderBy("l_linenumber")
+    w = Window.partitionBy("l_orderkey", "l_suppkey").orderBy("l_linenumber", F.col("l_quantity").cast("long"), "l_discount")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.row_number().over(w) > 1).alias("covered"), F.col("l_discount").alias("score"), F.col("l_quantity").cast("long").alias("size"))
     decide = lambda covered, score, size: folds.expand_optional(covered, score, size, 90, 0.02)
-    return folds.fold_column(li, ["l_orderkey"], ["l_linenumber", "size"], ["covered", "score", "size"], decide, "taken", T.BooleanType()).select("l_orderkey", "l_linenumber", "taken")
+    return folds.fold_column(li, ["l_orderkey"], ["l_linenumber", "size", "score"], ["covered", "score", "size"], decide, "taken", T.BooleanType()).select("l_orderkey", "l_linenumber", "taken")

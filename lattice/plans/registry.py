@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lattice.plans.twins import TWINS
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -14,7 +16,8 @@ _ORACLE: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query; ``sql`` is its twin in DuckDB's dialect."""
+    """Register a query; ``sql`` is its twin in DuckDB's dialect (those of folds stand in ``twins``)."""
+    sql = sql or TWINS.get(name)
 
     def register(fn: Query) -> Query:
         if name in _QUERIES:
