@@ -56,6 +56,19 @@ def substring_score(content: Column, metadata: Column, query: Column, terms: Col
     return whole + F.aggregate(terms, F.lit(0), term_score)
 
 
+# Terms of a profile that a question for a person asks for.
+PROFILE_TERMS = ("负责人", "研究员", "博士", "工作经历", "教育背景", "研究方向", "任职")
+
+
+def chunk_relevance(content: Column, metadata: Column, path: Column, query: Column, terms: Column) -> Column:
+    """The substring score; 1 more for a node, 4 for each profile term where the question asks who, .5 less for more than 3000 characters."""
+    profile = F.lit(0)
+    for term in PROFILE_TERMS:
+        profile = profile + F.when(F.contains(content, F.lit(term)), 4).otherwise(0)
+    extra = F.when(path.startswith("node:"), 1.0).otherwise(0.0) + F.when(F.contains(query, F.lit("谁")), profile).otherwise(0)
+    return substring_score(content, metadata, query, terms) + extra - F.when(F.length(content) > 3000, 0.5).otherwise(0.0)
+
+
 def coverage_relevance(text: Column, query: Column) -> Column:
     """98 if the compact text holds the compact query, else up to 92 by the share of its bigrams that it holds."""
     compact = lambda c: F.regexp_replace(F.lower(c), "\\s+", "")

@@ -28,13 +28,12 @@ def subtract_inclusive(ranges: DataFrame, masks: DataFrame, keys: Sequence[str])
     """Inclusive integer ranges less inclusive integer masks: what lies between the merged masks of each range."""
     merged = merge_touching(masks.select(*keys, "start", "end"), keys, gap=1).select(*keys, F.col("start").alias("ms"), F.col("end").alias("me"))
     r = ranges.select(*keys, F.col("start").alias("rs"), F.col("end").alias("re"))
-    hit = r.join(merged, list(keys), "left").where(F.col("ms").isNull() | ((F.col("ms") <= F.col("re")) & (F.col("me") >= F.col("rs"))))
-    clear = r.join(hit.select(*keys, "rs", "re").distinct(), [*keys, "rs", "re"], "left_anti").select(*keys, "rs", "re", F.lit(None).cast("long").alias("ms"), F.lit(None).cast("long").alias("me"))
-    every = hit.unionByName(clear)
+    hit = r.join(merged, list(keys)).where((F.col("ms") <= F.col("re")) & (F.col("me") >= F.col("rs")))
+    # a mask just behind each range: what is left always ends before some mask
+    every = hit.unionByName(r.withColumns({"ms": F.col("re") + 1, "me": F.col("re") + 1}))
     w = Window.partitionBy(*keys, "rs", "re").orderBy("ms")
-    left = every.select(*keys, (F.coalesce(F.lag("me").over(w) + 1, F.col("rs"))).alias("start"), F.coalesce(F.col("ms") - 1, F.col("re")).alias("end"), "rs", "re", "me")
-    tail = every.groupBy(*keys, "rs", "re").agg((F.max("me") + 1).alias("start")).where("start is not null").select(*keys, "start", F.col("re").alias("end"))
-    return left.select(*keys, "start", "end").unionByName(tail).where("start <= end")
+    left = every.select(*keys, F.coalesce(F.lag("me").over(w) + 1, F.col("rs")).alias("start"), (F.col("ms") - 1).alias("end"))
+    return left.where("start <= end")
 
 
 def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width: float, l_start: str = "l_start", l_end: str = "l_end", r_start: str = "r_start", r_end: str = "r_end") -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattice.session import cut
+
 
 def parents_by_level(headings: DataFrame, keys: Sequence[str], order: str, level: str, deepest: int = 6) -> DataFrame:
     """The parent of a heading is the last one before it of a smaller level. Levels are few (``deepest``), so each level's last position is one running window."""
@@ -18,16 +20,44 @@ def parents_by_level(headings: DataFrame, keys: Sequence[str], order: str, level
     return out.withColumn("parent", F.greatest(*above)).drop(*(f"_l{n}" for n in range(1, deepest)))
 
 
-def closure(edges: DataFrame, node: str, parent: str, view: str, depth: int = 32) -> DataFrame:
-    """(ancestor, node, distance) of every pair along parent links, itself included; paths longer than ``depth`` or through a repeated node end."""
-    edges.createOrReplaceTempView(view)
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE up AS (
-          SELECT {node} AS node, {node} AS ancestor, {parent} AS next, 0 AS distance, array({node}) AS path FROM {view}
-          UNION ALL
-          SELECT up.node, t.{node}, t.{parent}, up.distance + 1, concat(up.path, array(t.{node})) FROM up JOIN {view} t ON up.next = t.{node}
-          WHERE up.distance < {depth} AND NOT array_contains(up.path, t.{node}))
-        SELECT ancestor, node, distance FROM up""")
+def closure(edges: DataFrame, node: str, parent: str) -> DataFrame:
+    """(ancestor, node, distance) of every pair along parent links, itself included, at any depth; each pair once, at its least distance.
+
+    Distances double: pairs below 2^k joined with the jump of 2^k give those below 2^(k+1), so a tree of depth d takes log2(d)
+    rounds, each written. Nodes on a cycle have jumps for ever; rounds end when the jump is longer than there are nodes.
+    """
+    base = cut(edges.select(F.col(node).alias("node"), F.col(parent).alias("up")))
+    n = base.count()
+    there = base.select(F.col("node").alias("up"))
+    jump = base.where("up is not null").join(there, "up", "left_semi").select("node", "up")
+    pairs = base.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
+    step = 1
+    while step <= n and not jump.isEmpty():
+        further = jump.join(pairs.withColumnRenamed("node", "up"), "up").select("node", "ancestor", (F.col("distance") + step).alias("distance"))
+        pairs = cut(pairs.unionByName(further).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")))
+        jump = cut(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("_next")), "up").select("node", F.col("_next").alias("up")))
+        step *= 2
+    return pairs.select("ancestor", "node", "distance")
+
+
+def levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
+    """(node, level): the longest path of ``needs`` (node, needs) to a node without any; null for nodes on or behind a cycle.
+
+    A round settles the nodes whose needs are all settled. What is left when a round settles none hangs on a cycle.
+    """
+    left = cut(nodes.select("node").distinct())
+    edges = cut(needs.select("node", "needs").distinct())
+    settled, level = None, 0
+    while True:
+        waiting = edges.join(left.select(F.col("node").alias("needs")), "needs", "left_semi")
+        free = left.join(waiting.select("node").distinct(), "node", "left_anti")
+        free = cut(free.withColumn("level", F.lit(level)))
+        if free.isEmpty():
+            break
+        settled = free if settled is None else settled.unionByName(free)
+        left, level = cut(left.join(free, "node", "left_anti")), level + 1
+    rest = left.withColumn("level", F.lit(None).cast("int"))
+    return rest if settled is None else settled.unionByName(rest)
 
 
 def dotted_parent(codes: DataFrame, code: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from lattice.catalog import table
 from lattice.functions import shaping
 from lattice.functions import vector as vx
-from lattice.operators import folds
+from lattice.operators import folds, trees
 from lattice.plans.registry import query
 
 
@@ -91,22 +91,13 @@ def adjacent_page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where((F.col("b") == F.col("turn") - 1) & (F.abs(F.col("m") - F.col("n")) < 0.5 * F.greatest("m", "n"))).select("conv_id", (F.col("turn") - 1).alias("first_page"), F.col("turn").alias("second_page"))
 
 
-@query("similarity_matrix", """
-SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND abs(a.vec_id - b.vec_id) <= 40""")
-def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosines of the frames of one group that lie near each other in order; the window bounds the pairs of a long group."""
-    from lattice.operators.intervals import range_join
-
-    e = table(spark, sf_dir, "embeddings")
-    at = F.col("vec_id").cast("double")
-    a = e.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("u"), (at - 0.25).alias("l_start"), (at + 0.25).alias("l_end"))
-    b = e.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("v"), (at - 40).alias("r_start"), (at + 40).alias("r_end"))
-    return range_join(a, b, ["label"], 80.0).where("a != b").select("label", "a", "b", F.round(vx.cosine(F.col("u"), F.col("v")), 6).alias("cosine"))
+_MATRIX = """
+SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id"""
 
 
-@query("similarity_matrix_all", """
-SELECT a.label, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id""")
-def similarity_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("similarity_matrix", _MATRIX)
+@query("similarity_matrix_all", _MATRIX)
+def similarity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosines of each id to all others of its group."""
     from lattice.operators.vectors import pair_cosines
 
@@ -135,13 +126,10 @@ WITH RECURSIVE e AS (SELECT n_nationkey AS node, n_nationkey // 2 AS needs FROM
 w AS (SELECT n_nationkey AS node, 0 AS depth FROM nation WHERE n_nationkey NOT IN (SELECT node FROM e) UNION SELECT e.node, depth + 1 FROM w JOIN e ON e.needs = w.node)
 SELECT node, max(depth) AS level FROM w GROUP BY 1""")
 def dag_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest path from a step without needs; a cycle would leave its steps without a level."""
+    """Longest path from a step without needs."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("node"))
     e = n.where("node > 0").select("node", F.floor(F.col("node") / 2).cast("int").alias("needs")).union(n.where("node > 2").select("node", F.floor(F.col("node") / 3).cast("int"))).distinct()
-    e.createOrReplaceTempView("lattice_dag_edges")
-    n.join(e, "node", "left_anti").createOrReplaceTempView("lattice_dag_roots")
-    return spark.sql("""WITH RECURSIVE w AS (SELECT node, 0 AS depth FROM lattice_dag_roots UNION ALL SELECT e.node, w.depth + 1 FROM w JOIN lattice_dag_edges e ON e.needs = w.node WHERE w.depth < 64)
-        SELECT node, max(depth) AS level FROM w GROUP BY node""")
+    return trees.levels(n, e)
 
 
 @query("response_accumulation", """

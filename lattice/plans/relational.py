@@ -86,13 +86,13 @@ def lateral_top1_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("three_way_fanout_join", """
 SELECT o_orderkey, l_linenumber, c_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey
-WHERE c_nationkey = 3 ORDER BY c_name, o_orderkey, l_linenumber LIMIT 500""")
+WHERE c_nationkey = 3""")
 def three_way_fanout_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").where("c_nationkey = 3").select("c_custkey", "c_name")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    return joined.select("o_orderkey", "l_linenumber", "c_name").orderBy("c_name", "o_orderkey", "l_linenumber").limit(500)
+    return joined.select("o_orderkey", "l_linenumber", "c_name")
 
 
 @query("distinct_pairs_join", """

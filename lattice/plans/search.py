@@ -24,11 +24,13 @@ th AS (SELECT item_id, doc_id, sum(10 + least(tf, 5))::BIGINT AS score FROM ix J
 """
 
 
-def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.words(F.col("text")).alias("terms"))
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     queries = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(tx.words(F.col("text")))).alias("term"))
-    lengths = docs.select("doc_id", F.size("terms").alias("len"))
-    return search.postings(docs, "doc_id", F.col("terms"), queries), queries, lengths
+    return search.postings(table(spark, sf_dir, "documents"), "doc_id", tx.words(F.col("text")), queries), queries
+
+
+def _totals(spark: SparkSession, sf_dir: str) -> tuple[int, float]:
+    return search.totals(table(spark, sf_dir, "documents"), F.size(tx.words(F.col("text"))))
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -42,8 +44,8 @@ f AS (SELECT item_id, doc_id, round(sum(1 / (60 + rank)), 9) AS fused, min(CASE
       FROM (SELECT item_id, doc_id, rank, 1 AS l FROM a UNION ALL SELECT item_id, doc_id, rank, 2 FROM b) GROUP BY 1, 2)
 SELECT item_id, doc_id, fused, rank_1, rank_2, row_number() OVER (PARTITION BY item_id ORDER BY fused DESC, doc_id) AS rank FROM f QUALIFY rank <= 5""")
 def hybrid_search_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, queries, lengths = _inputs(spark, sf_dir)
-    sparse = _ranked(search.unit_recall(index, queries, lengths, "doc_id", "item_id"), 50)
+    index, queries = _inputs(spark, sf_dir)
+    sparse = _ranked(search.unit_recall(index, queries, *_totals(spark, sf_dir), "doc_id", "item_id"), 50)
     phrase = _ranked(search.term_hits(index, queries, "doc_id", "item_id"), 50)
     fused = search.fuse([sparse, phrase], ["item_id", "doc_id"])
     return search.top_k(fused, ["item_id"], [F.desc("fused"), F.asc("doc_id")], 5)
@@ -51,8 +53,8 @@ def hybrid_search_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("unit_recall_top10", _INDEX + "SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ur QUALIFY rank <= 10")
 def unit_recall_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, queries, lengths = _inputs(spark, sf_dir)
-    return _ranked(search.unit_recall(index, queries, lengths, "doc_id", "item_id"), 10).select("item_id", "doc_id", "score", "rank")
+    index, queries = _inputs(spark, sf_dir)
+    return _ranked(search.unit_recall(index, queries, *_totals(spark, sf_dir), "doc_id", "item_id"), 10).select("item_id", "doc_id", "score", "rank")
 
 
 @query("bm25_top10", _INDEX + """
@@ -60,16 +62,48 @@ def unit_recall_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
    FROM ix JOIN qt USING (term) JOIN df USING (term) JOIN ln USING (doc_id), st GROUP BY 1, 2)
 SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ok QUALIFY rank <= 10""")
 def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, queries, lengths = _inputs(spark, sf_dir)
-    return _ranked(search.okapi(index, queries, lengths, "doc_id", "item_id"), 10).select("item_id", "doc_id", "score", "rank")
+    index, queries = _inputs(spark, sf_dir)
+    return _ranked(search.okapi(index, queries, *_totals(spark, sf_dir), "doc_id", "item_id"), 10).select("item_id", "doc_id", "score", "rank")
 
 
-@query("substring_score_top10", _INDEX + "SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM th QUALIFY rank <= 10")
-def substring_score_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, queries, _ = _inputs(spark, sf_dir)
+@query("term_hits_top10", _INDEX + "SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM th QUALIFY rank <= 10")
+def term_hits_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, queries = _inputs(spark, sf_dir)
     return _ranked(search.term_hits(index, queries, "doc_id", "item_id"), 10).select("item_id", "doc_id", "score", "rank")
 
 
+#: Every passage whose id is divisible by 100 against all documents; sources are the metadata.
+_SCAN = """
+WITH q AS (SELECT item_id, lower(trim(text)) AS q, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS terms FROM benchmark WHERE item_id % 100 = 0),
+d AS (SELECT doc_id, text, lower(text) AS c, lower(source) AS m FROM documents),
+s AS (
+  SELECT item_id, doc_id, text, (CASE WHEN q <> '' AND contains(c, q) THEN 40 ELSE 0 END + CASE WHEN q <> '' AND contains(m, q) THEN 20 ELSE 0 END
+    + coalesce(list_sum(list_transform(list_filter(terms, lambda t: t <> ''), lambda t: CASE WHEN contains(c, t) THEN 10 + least((length(c) - length(replace(c, t, ''))) // length(t), 5) ELSE 0 END
+      + CASE WHEN contains(m, t) THEN 5 + least((length(m) - length(replace(m, t, ''))) // length(t), 3) ELSE 0 END)), 0))::BIGINT AS score FROM q, d)
+"""
+
+
+def _scan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    q = table(spark, sf_dir, "benchmark").where("item_id % 100 = 0").select("item_id", F.col("text").alias("query"), F.array_distinct(tx.words(F.col("text"))).alias("terms"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "source"), q
+
+
+@query("substring_score_top10", _SCAN + "SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 10")
+def substring_score_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = tx.substring_score(F.col("text"), F.col("source"), F.col("query"), F.col("terms")).cast("long")
+    return search.scan_top_k(*_scan(spark, sf_dir), "item_id", "doc_id", score, 10)
+
+
+@query("chunk_relevance_top10", _SCAN + """
+, r AS (SELECT item_id, doc_id, score + CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.0 END - CASE WHEN length(text) > 3000 THEN 0.5 ELSE 0 END AS score FROM s)
+SELECT item_id, doc_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0 QUALIFY rank <= 10""")
+def chunk_relevance_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an even id stand as nodes."""
+    path = F.concat(F.when(F.col("doc_id") % 2 == 0, "node:").otherwise("page:"), "doc_id")
+    score = tx.chunk_relevance(F.col("text"), F.col("source"), path, F.col("query"), F.col("terms"))
+    return search.scan_top_k(*_scan(spark, sf_dir), "item_id", "doc_id", score, 10)
+
+
 @query("rrf_two_lists", """
 WITH a AS (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY sum(value) DESC, user_id) AS rank FROM events GROUP BY 1, 2 QUALIFY rank <= 30),
 b AS (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) AS rank FROM events GROUP BY 1, 2 QUALIFY rank <= 30)

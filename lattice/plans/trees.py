@@ -25,14 +25,14 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 , up AS (SELECT id AS node, id AS ancestor, parent, 0 AS distance FROM nodes UNION ALL SELECT up.node, nodes.id, nodes.parent, distance + 1 FROM up JOIN nodes ON up.parent = nodes.id)
 SELECT ancestor, node, distance FROM up""")
 def recursive_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.closure(_nodes(spark, sf_dir), "id", "parent", "lattice_tree_nodes")
+    return trees.closure(_nodes(spark, sf_dir), "id", "parent")
 
 
 @query("ancestor_chain", _NODES + """
 , up AS (SELECT id AS node, id AS ancestor, parent, 0 AS distance FROM nodes UNION ALL SELECT up.node, nodes.id, nodes.parent, distance + 1 FROM up JOIN nodes ON up.parent = nodes.id)
 SELECT node, string_agg(ancestor, '/' ORDER BY distance DESC) AS path FROM up GROUP BY node""")
 def ancestor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = trees.closure(_nodes(spark, sf_dir), "id", "parent", "lattice_chain_nodes")
+    c = trees.closure(_nodes(spark, sf_dir), "id", "parent")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor"))), lambda s: s["ancestor"])
     return c.groupBy("node").agg(F.array_join(ordered, "/").alias("path"))
 
@@ -42,7 +42,7 @@ def ancestor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT ancestor, count(*) AS n, sum(length(title))::BIGINT AS chars FROM up JOIN nodes ON up.node = nodes.id GROUP BY ancestor""")
 def subtree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _nodes(spark, sf_dir)
-    c = trees.closure(nodes, "id", "parent", "lattice_size_nodes")
+    c = trees.closure(nodes, "id", "parent")
     return c.join(nodes.select(F.col("id").alias("node"), "title"), "node").groupBy("ancestor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("title")).alias("chars"))
 
 
@@ -105,3 +105,13 @@ FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey
 def scope_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), 1, 3), lambda s: s["n_name"])
     return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("total"), (F.count(F.lit(1)) > 3).alias("truncated"), F.array_join(names, ",").alias("first_names"))
+
+
+@query("deep_chain_pairs", """
+SELECT a.user_id AS ancestor, b.user_id AS node, b.k - a.k AS distance FROM (SELECT user_id, row_number() OVER (ORDER BY user_id) AS k FROM (SELECT DISTINCT user_id FROM events) QUALIFY k <= 200) a
+JOIN (SELECT user_id, row_number() OVER (ORDER BY user_id) AS k FROM (SELECT DISTINCT user_id FROM events) QUALIFY k <= 200) b ON a.k <= b.k""")
+def deep_chain_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a chain: each of the 200 least users is the child of the one before (a top-k, so the chain has a known depth)."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct().orderBy("user_id").limit(200)
+    chain = users.select("user_id", F.lag("user_id").over(Window.orderBy("user_id")).alias("parent"))
+    return trees.closure(chain, "user_id", "parent").withColumn("distance", F.col("distance").cast("long"))

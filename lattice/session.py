@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "lattice", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -29,3 +30,14 @@ def build_session(app: str = "lattice", cpus: int | str = "*", **conf: str) -> S
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a checkpoint in the shared folder: lineage ends there. Only a local session without spark.checkpoint.dir gets a temporary folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="lattice-"))
+    return df.checkpoint()
