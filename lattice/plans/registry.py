@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: Modules of this folder that register queries when they are imported.
-MODULES = ("relational", "search", "texts", "timeline", "vectors", "trees", "control", "rules", "more")
+MODULES = ("relational", "search", "texts", "timeline", "vectors", "trees", "control", "rules", "more", "service", "tables")
 
 
 def _load() -> None:

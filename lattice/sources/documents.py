@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lattice.functions import text as tx
 
@@ -20,7 +22,7 @@ SCHEMAS = {
     "images": "image_id STRING, path STRING, width INT, height INT, subject STRING, color STRING, action STRING, style STRING, embedding ARRAY<FLOAT>",
 }
 FORMATS = ("pdf", "docx", "pptx", "xlsx", "md", "txt", "html", "csv")
-KEYS = {"documents": ["doc_id"], "document_bindings": ["doc_id", "user_id", "kb_id"], "doc_nodes": ["doc_id", "node_id"], "doc_pages": ["doc_id", "page_number"], "article_artifacts": ["session_id", "revision"]}
+KEYS = {"documents": ["doc_id"], "document_bindings": ["doc_id", "user_id", "kb_id"], "doc_nodes": ["doc_id", "node_id"], "doc_pages": ["doc_id", "page_number"], "ingestion_tasks": ["task_id", "status"], "ingestion_task_events": ["id", "task_id"], "search_documents": ["video_id"], "videos": ["video_id"], "images": ["image_id"], "article_artifacts": ["session_id", "revision"]}
 
 
 def checked(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -30,22 +32,55 @@ def checked(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         good = good & F.col(k).isNotNull()
     if name == "documents":
         good = good & F.coalesce(F.col("doc_type").isin(*FORMATS), F.lit(False))
+    if name == "ingestion_tasks":
+        good = good & F.coalesce(F.col("progress").between(0, 100), F.lit(False))
     if name == "article_artifacts":
         good = good & F.coalesce(F.col("revision") > 0, F.lit(False))
     return df.where(good), df.where(~good)
 
 
+def stored(df: DataFrame, name: str, path: str) -> DataFrame:
+    """Write the rows of a table that keep its rules and read them back with the table's schema; the others go beside it, to ``<path>.rejected``.
+
+    Columns of the schema that ``df`` lacks are null; others of ``df`` are left out.
+    """
+    fields = StructType.fromDDL(SCHEMAS[name])
+    whole = df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+    good, bad = checked(whole, name)
+    good.write.mode("overwrite").parquet(path)
+    bad.write.mode("overwrite").parquet(f"{path}.rejected")
+    return df.sparkSession.read.schema(fields).parquet(path)
+
+
 def files(spark: SparkSession, root: str, pattern: str = "*.{pdf,docx,md,markdown}") -> DataFrame:
-    """Files directly in ``root``, by lower-case name; contents are read only if the column is used."""
+    """Files directly in ``root`` with their lower-case name as ``sort_name``; contents are read only if the column is used.
+
+    Sort by ``sort_name`` and ``name`` after dropping the contents: a sort here would move them.
+    """
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(root)
     name = F.element_at(F.split("path", "/"), -1)
-    return df.select(name.alias("name"), "path", "length", "modificationTime", "content").orderBy(F.lower(name), "name")
+    return df.select(name.alias("name"), F.lower(name).alias("sort_name"), "path", "length", "modificationTime", "content")
 
 
 def decoded(content: Column) -> Column:
-    """UTF-8 text of bytes (a byte-order mark left out); what is no UTF-8 is read as Latin-1. Line ends become line feeds."""
-    utf8 = F.when(F.is_valid_utf8(content.cast("string")), F.regexp_replace(content.cast("string"), "^﻿", "")).otherwise(F.decode(content, "ISO-8859-1"))
-    return tx.newlines(utf8)
+    """Text of bytes: UTF-8 (a byte-order mark left out), else GB18030 where the bytes are valid in it, else Latin-1. Line ends become line feeds."""
+    as_text = content.cast("string")
+    bare = F.regexp_replace(as_text, "^\ufeff", "")
+
+    def other(raw: pd.Series) -> pd.Series:
+        def read(b: bytes | None) -> str | None:
+            if b is None:
+                return None
+            try:
+                return b.decode("gb18030")
+            except UnicodeDecodeError:
+                return b.decode("latin-1")
+
+        return raw.map(read)
+
+    # only bytes that are no UTF-8 reach Python
+    wrong = ~F.is_valid_utf8(as_text)
+    return tx.newlines(F.when(wrong, F.pandas_udf(other, "string")(F.when(wrong, content))).otherwise(bare))
 
 
 def byte_range(content: Column, offset: int, length: int) -> Column:
@@ -76,20 +111,40 @@ def marked_pages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", li
 
 
 def subtitles(spark: SparkSession, path: str) -> DataFrame:
-    """(start, end, text) of SRT files."""
-    blocks = spark.read.text(path, lineSep="\n\n").select(tx.newlines(F.col("value")).alias("b"))
+    """(start, end, text) of SRT files, whatever their line ends; a file is split as a whole."""
+    blocks = spark.read.text(path, wholetext=True).select(F.explode(F.split(tx.newlines(F.col("value")), "\n[ \t]*\n")).alias("b"))
     stamp = "(\\d+):(\\d+):(\\d+)[,.](\\d+)"
     pattern = f"(?s)^\\s*(?:\\d+\\s*\\n)?\\s*{stamp}\\s*-->\\s*{stamp}[^\\n]*\\n(.*)$"
     part = lambda i: F.regexp_extract("b", pattern, i)
     at = lambda i: part(i).cast("double") * 3600 + part(i + 1).cast("double") * 60 + part(i + 2).cast("double") + F.rpad(part(i + 3), 3, "0").cast("double") / 1000
-    return blocks.where(F.col("b").rlike(pattern)).select(at(1).alias("start"), at(5).alias("end"), F.trim(part(9)).alias("text"))
+    return blocks.where(F.col("b").rlike(pattern)).select(at(1).alias("start"), at(5).alias("end"), F.regexp_replace(part(9), "^\\s+|\\s+$", "").alias("text"))
+
+
+def ass_subtitles(spark: SparkSession, path: str) -> DataFrame:
+    """(start, end, style, text) of the dialogue lines of ASS files; override tags go, ``\\\\N`` is a line feed."""
+    lines = spark.read.text(path).select(F.rtrim("value").alias("b"))
+    pattern = "^Dialogue:\\s*[^,]*,(\\d+):(\\d+):(\\d+)\\.(\\d+),(\\d+):(\\d+):(\\d+)\\.(\\d+),([^,]*)(?:,[^,]*){5},(.*)$"
+    part = lambda i: F.regexp_extract("b", pattern, i)
+    at = lambda i: part(i).cast("double") * 3600 + part(i + 1).cast("double") * 60 + part(i + 2).cast("double") + part(i + 3).cast("double") / 100
+    text = F.regexp_replace(F.regexp_replace(part(10), "\\{[^}]*\\}", ""), "\\\\[Nn]", "\n")
+    return lines.where(F.col("b").rlike(pattern)).select(at(1).alias("start"), at(5).alias("end"), F.trim(part(9)).alias("style"), text.alias("text"))
+
+
+def write_ass(cues: DataFrame, path: str, style: str = "Default") -> None:
+    """An ASS file of (start, end, text) in order of start; like any player file, one partition."""
+    clock = lambda c: F.format_string("%d:%02d:%02d.%02d", F.floor(c / 3600), F.floor(c / 60) % 60, F.floor(c) % 60, F.floor(F.round(c * 100)) % 100)
+    head = "[Script Info]\nScriptType: v4.00+\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"
+    line = F.concat(F.lit("Dialogue: 0,"), clock(F.col("start")), F.lit(","), clock(F.col("end")), F.lit(f",{style},,0,0,0,,"), F.replace("text", F.lit("\n"), F.lit("\\N")))
+    rows = cues.select(F.lit(1).alias("k"), "start", "end", line.alias("value"))
+    first = cues.sparkSession.createDataFrame([(0, 0.0, 0.0, head)], "k int, start double, end double, value string")
+    first.unionByName(rows).repartition(1).sortWithinPartitions("k", "start", "end", "value").select("value").write.mode("overwrite").text(path)
 
 
 def write_subtitles(cues: DataFrame, path: str) -> None:
-    """SRT blocks of (start, end, text) in order of start; one file, as players expect."""
-    numbered = cues.withColumn("n", F.row_number().over(Window.orderBy("start", "end", "text")))
+    """SRT blocks of (start, end, text) in order of start; one file, as players expect, so one film is one task."""
+    numbered = cues.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("start", "end", "text")))
     block = F.concat(F.col("n").cast("string"), F.lit("\n"), tx.subtitle_time(F.col("start")), F.lit(" --> "), tx.subtitle_time(F.col("end")), F.lit("\n"), F.col("text"), F.lit("\n"))
-    numbered.orderBy("n").select(block.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    numbered.repartition(1).sortWithinPartitions("n").select(block.alias("value")).write.mode("overwrite").text(path)
 
 
 def write_content_list(blocks: DataFrame, path: str) -> None:

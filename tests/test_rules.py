@@ -35,7 +35,8 @@ def test_trees_and_cues():
     assert rules.thin([1, 2, 3, 2, 1], [50, 60, 5, 5, 80], 70) == [0, 1, 1, 3, 4]
     assert rules.capped_parents([None, 0, 1, 2, 3], 3) == [None, 0, 1, 1, 1]
     assert rules.untangled([0, 2, 2.2, 5], [2, 2.2, 4, 6], 1.0) == [(0, 2.2, [0, 1]), (2.2, 4, [2]), (5, 6, [3])]
-    assert rules.paced(["x" * 20, "y"], [0, 3], [1, 4], 10) == [(0, 2.0), (3, 4)]
+    assert rules.paced(["x" * 20, "y"], [0, 3], [1, 4], 10) == [(0, 4, [0, 1])]
+    assert rules.paced(["x" * 20, "y" * 30], [0, 3], [1, 4], 10) == [(0, 2.0, [0]), (3, 6.0, [1])]
 
 
 def test_regions(spark):
