@@ -47,7 +47,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.store(table(spark, sf_dir, "documents"))).drop("text")
+    return media.features(media.store(table(spark, sf_dir, "documents")), texts=False)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

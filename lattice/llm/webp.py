@@ -7,6 +7,8 @@ advances all images of a group by one symbol a step, as array operations.
 
 from __future__ import annotations
 
+import functools
+import math
 import struct
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -17,6 +19,8 @@ import numpy as np
 SIGNATURE = 0x2F
 LENGTH_CODES, DISTANCE_CODES, LITERALS = 24, 40, 256
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
+#: Mode of the predictor: the pixel to the left.
+LEFT = 1
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 CACHE_FACTOR = 0x1E35A7BD
 # (x to the left, y above) of the first distance codes.
@@ -367,22 +371,55 @@ def decode_stream(data: bytes) -> np.ndarray:
 
 
 def chunks(data: bytes) -> list[bytes]:
-    """The VP8L streams of one or more WebP files, end to end."""
+    """The VP8L streams of one or more WebP files, end to end; the frames of an animation stand for their images."""
     out, at = [], 0
     while at < len(data):
-        if data[at : at + 4] != b"RIFF" or data[at + 8 : at + 16] != b"WEBPVP8L":
-            raise WebPError("no lossless WebP file")
-        whole, size = struct.unpack_from("<I", data, at + 4)[0], struct.unpack_from("<I", data, at + 16)[0]
-        if at + 8 + whole > len(data) or size + 12 > whole:
+        if data[at : at + 4] != b"RIFF" or data[at + 8 : at + 12] != b"WEBP" or len(data) < at + 20:
+            raise WebPError("no WebP file")
+        end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
+        if end > len(data):
             raise WebPError("a file ends too early")
-        out.append(data[at + 20 : at + 20 + size])
-        at += 8 + whole
+        found = _streams(data, at + 12, end)
+        if not found:
+            raise WebPError("no lossless WebP file")
+        out += found
+        at = end
+    return out
+
+
+def _streams(data: bytes, at: int, end: int) -> list[bytes]:
+    out = []
+    while at + 8 <= end:
+        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if at + 8 + size > end:
+            raise WebPError("a chunk ends too late")
+        if name == b"VP8L":
+            out.append(data[at + 8 : at + 8 + size])
+        elif name == b"ANMF":
+            out += _streams(data, at + 24, at + 8 + size)
+        at += 8 + size + (size & 1)
     return out
 
 
+def _chunk(name: bytes, content: bytes) -> bytes:
+    return name + struct.pack("<I", len(content)) + content + bytes(len(content) & 1)
+
+
 def file_of(stream: bytes) -> bytes:
-    odd = len(stream) & 1
-    return b"RIFF" + struct.pack("<I", 12 + len(stream) + odd) + b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + bytes(odd)
+    body = b"WEBP" + _chunk(b"VP8L", stream)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def stacked(streams: Sequence[bytes], width: int, rows: Sequence[int]) -> bytes:
+    """One file of several images, each below the one before (which has an even number of rows): the frames of an animation that shows the whole at its end."""
+    three = lambda n: n.to_bytes(3, "little")
+    body = b"WEBP" + _chunk(b"VP8X", b"\x02\0\0\0" + three(width - 1) + three(sum(rows) - 1)) + _chunk(b"ANIM", b"\xff\xff\xff\xff\1\0")
+    frames, top = [], 0
+    for stream, n in zip(streams, rows, strict=True):
+        frames.append(_chunk(b"ANMF", three(0) + three(top // 2) + three(width - 1) + three(n - 1) + three(0) + b"\2" + _chunk(b"VP8L", stream)))
+        top += n
+    body += b"".join(frames)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
 def decode(data: bytes) -> list[np.ndarray]:
@@ -494,33 +531,105 @@ def _length_symbol(length: int) -> tuple[int, int, int]:
     return 2 * high + (d >> (high - 1) & 1), d & ((1 << (high - 1)) - 1), high - 1
 
 
+def _entropy(counts: np.ndarray) -> float:
+    """Bits of a string with these counts of symbols."""
+    used = counts[counts > 0]
+    total = int(used.sum())
+    return total * math.log2(total) - float((used * np.log2(used)).sum()) if total else 0.0
+
+
+#: Bits that a transform may cost and still be worth trying: a palette's colour, the two headers.
+_COLOUR_BITS, _PALETTE_BITS, _PREDICTOR_BITS = 12, 120, 60
+
+
+def _put_palette(out: _Writer, colours: np.ndarray) -> None:
+    """The palette transform of grey colours in ascending order."""
+    for value, n in ((1, 1), (PALETTE, 2), (len(colours) - 1, 8), (0, 1)):
+        out.put(value, n)
+    deltas = np.diff(colours.astype(np.int64), prepend=0)
+    lengths = code_lengths(np.bincount(deltas, minlength=LITERALS + LENGTH_CODES))
+    code = codes(lengths)
+    _put_lengths(out, lengths)
+    for _ in range(2):  # red and blue like green
+        _put_lengths(out, lengths[:LITERALS])
+    if len(colours) > 1:  # opaque, then no change
+        alpha = np.zeros(LITERALS, np.int64)
+        alpha[[0, 255]] = 1
+        _put_lengths(out, alpha)
+    else:
+        _put_only(out, 255)
+    _put_only(out, 0)
+    for i, d in enumerate(deltas.tolist()):
+        for _ in range(3):
+            out.put(int(code[d]), int(lengths[d]))
+        if len(colours) > 1:
+            out.put(int(i == 0), 1)
+
+
+def _put_predictor(out: _Writer) -> None:
+    """Every pixel is predicted by the one to its left (the first of a row by the one above)."""
+    for value, n in ((1, 1), (PREDICTOR, 2), (7, 3), (0, 1)):
+        out.put(value, n)
+    for symbol in (LEFT, 0, 0, 255, 0):
+        _put_only(out, symbol)
+
+
 def write_grey(samples: np.ndarray, offsets: np.ndarray, width: int) -> list[bytes]:
-    """Files of many grey images: ``samples`` end to end, ``offsets`` in samples, each a multiple of ``width``.
+    """VP8L streams of many grey images: ``samples`` end to end, ``offsets`` in samples, each a multiple of ``width``.
 
-    Subtract-green leaves red and blue zero, so a pixel costs only its green code. A run of equal samples at an
-    image's end is one literal and a back-reference to the pixel before.
+    The form that is shortest by its entropy is written: subtract-green alone, with the left predictor before it, or,
+    for images of at most 16 greys, a palette with two, four or eight pixels in one. In each, only green varies, so a pixel
+    costs only its green code. A run of equal values at an image's end is one literal and a back-reference to the pixel before.
     """
     if not len(offsets) - 1:
         return []
-    image_counts = []
+    left = samples.copy()
+    left[1:] -= samples[:-1]
+    left[width::width] = samples[width::width] - samples[:-width:width]
+    left[offsets[:-1]] = samples[offsets[:-1]]
     values, sizes, starts = [], [], []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         image = samples[a:b]
-        tail = image[-577:] != image[-1]
+        rows = (b - a) // width
+        counts = np.bincount(image, minlength=LITERALS + LENGTH_CODES)
+        form, bits = "green", _entropy(counts)
+        predicted = np.bincount(left[a:b], minlength=LITERALS + LENGTH_CODES)
+        if (other := _entropy(predicted) + _PREDICTOR_BITS) < bits:
+            form, bits = "left", other
+        colours = np.flatnonzero(counts)
+        if len(colours) <= 16:
+            packing = palette_packing(len(colours))
+            index = np.searchsorted(colours, image).reshape(rows, width)
+            index = np.pad(index, ((0, 0), (0, -width % (1 << packing)))).reshape(rows, -1, 1 << packing)
+            packed = (index << (8 >> packing) * np.arange(1 << packing)).sum(-1).astype(np.uint8).ravel()
+            bundled = np.bincount(packed, minlength=LITERALS + LENGTH_CODES)
+            if _entropy(bundled) + _COLOUR_BITS * len(colours) + _PALETTE_BITS < bits:
+                form = "palette"
+        plane, counts = {"green": (image, counts), "left": (left[a:b], predicted), "palette": (packed, bundled) if len(colours) <= 16 else (image, counts)}[form]
+        tail = plane[-577:] != plane[-1]
         run = int(np.argmax(tail[::-1])) if tail.any() else len(tail)
         copy = run - 1 if run >= 4 else 0
-        literal = image[: len(image) - copy]
+        literal = plane[: len(plane) - copy]
         extra = _length_symbol(copy) if copy else None
-        counts = np.bincount(literal, minlength=LITERALS + LENGTH_CODES)
         if extra:
+            counts = np.bincount(literal, minlength=LITERALS + LENGTH_CODES)
             counts[LITERALS + extra[0]] += 1
         lengths = code_lengths(counts)
         code = codes(lengths)
         head = _Writer()
-        for value, n in ((SIGNATURE, 8), (width - 1, 14), ((b - a) // width - 1, 14), (0, 4), (1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1)):
+        for value, n in ((SIGNATURE, 8), (width - 1, 14), (rows - 1, 14), (0, 4)):
             head.put(value, n)
+        if form == "palette":
+            _put_palette(head, colours)
+        else:
+            head.put(1, 1)
+            head.put(SUBTRACT_GREEN, 2)
+            if form == "left":
+                _put_predictor(head)
+        for _ in range(3):  # no further transform, no colour cache, one group of codes
+            head.put(0, 1)
         _put_lengths(head, lengths)
-        for symbol in (0, 0, 255, 1):
+        for symbol in (0, 0, 0 if form == "left" else 255, 1):
             _put_only(head, symbol)
         words = np.frombuffer(head.value.to_bytes(-(-head.size // 16) * 2, "little"), "<u2").astype(np.uint64)
         word_sizes = np.full(len(words), 16)
@@ -548,7 +657,7 @@ def write_grey(samples: np.ndarray, offsets: np.ndarray, width: int) -> list[byt
     packed[word[runs]] += np.add.reduceat(shifted & np.uint64(0xFFFFFFFF), runs)
     packed[word[runs] + 1] += np.add.reduceat(shifted >> np.uint64(32), runs)
     raw = packed.astype("<u4").tobytes()
-    return [file_of(raw[4 * int(w) : 4 * int(w) + (int(n) + 7) // 8]) for w, n in zip(base[:-1], bits, strict=True)]
+    return [raw[4 * int(w) : 4 * int(w) + (int(n) + 7) // 8] for w, n in zip(base[:-1], bits, strict=True)]
 
 
 # --- reading grey images ------------------------------------------------------------------------
@@ -557,11 +666,18 @@ def write_grey(samples: np.ndarray, offsets: np.ndarray, width: int) -> list[byt
 TOGETHER = 1024
 
 
+def _undo_left(residual: np.ndarray, width: int) -> np.ndarray:
+    """Green samples from their differences to the left (in the first column: to the sample above)."""
+    rows = residual.reshape(-1, width).copy()
+    rows[:, 0] = np.cumsum(rows[:, 0], dtype=np.uint8)
+    return np.cumsum(rows, 1, dtype=np.uint8).ravel()
+
+
 def read_grey(files: Sequence[bytes]) -> list[np.ndarray]:
-    """Samples of each entry of ``files`` (one or more grey images end to end).
+    """Samples of each entry of ``files`` (one or more grey images end to end, or one file of stacked images).
 
-    Images in which only green varies, without cache and entropy image, are read together; any other goes
-    through ``decode_stream`` and must have equal red, green and blue.
+    Images in which only green is coded, without cache and entropy image, are read together: with subtract-green, then perhaps
+    the left predictor, or with a palette of greys; any other goes through ``decode_stream`` and must have equal red, green and blue.
     """
     streams = [(i, s) for i, f in enumerate(files) for s in chunks(f)]
     planes: list[np.ndarray | None] = [None] * len(streams)
@@ -569,12 +685,18 @@ def read_grey(files: Sequence[bytes]) -> list[np.ndarray]:
     for k, (_, data) in enumerate(streams):
         stream = Bits(data)
         width, height, transforms, coded = _start(stream)
-        if [t[0] for t in transforms] == [SUBTRACT_GREEN]:
+        kinds = [t[0] for t in transforms]
+        undo = None
+        if kinds == [SUBTRACT_GREEN, PREDICTOR] and ((transforms[1][1] >> 8 & 0xFF) == LEFT).all():
+            undo = functools.partial(_undo_left, width=width)
+        elif kinds == [PALETTE] and ((c := _channels(transforms[0][1])) == c[:, 1:2])[:, :3].all():
+            undo = functools.partial(_undo_greys, colours=transforms[0][1], width=width, coded=coded)
+        if undo is not None or kinds == [SUBTRACT_GREEN]:
             head = _read_head(stream, coded, height, True)
             group = head.groups[0]
             fixed = [p.only for p in group[1:]]
-            if head.entropy is None and not head.cache_bits and fixed[:2] == [0, 0] and fixed[2] == 255 and fixed[3] is not None and fixed[3] < 4 and group[0].bits <= LONGEST:
-                simple.append((width * height, k, stream.at, group[0], _distance(fixed[3] + 1, coded)))
+            if head.entropy is None and not head.cache_bits and fixed[:2] == [0, 0] and fixed[2] == (0 if PREDICTOR in kinds else 255) and fixed[3] is not None and fixed[3] < 4 and group[0].bits <= LONGEST:
+                simple.append((coded * height, k, stream.at, group[0], _distance(fixed[3] + 1, coded), undo))
                 continue
         pixels = decode_stream(data)
         if not ((pixels[..., 0] == pixels[..., 1]) & (pixels[..., 2] == pixels[..., 1])).all():
@@ -583,14 +705,18 @@ def read_grey(files: Sequence[bytes]) -> list[np.ndarray]:
     simple.sort(key=lambda s: (s[0], s[1]))
     for at in range(0, len(simple), TOGETHER):
         group = simple[at : at + TOGETHER]
-        for (_, k, *_), plane in zip(group, _read_together([streams[s[1]][1] for s in group], group), strict=True):
-            planes[k] = plane
+        for (_, k, *_, undo), plane in zip(group, _read_together([streams[s[1]][1] for s in group], group), strict=True):
+            planes[k] = plane if undo is None else undo(plane)
     out: list[list[np.ndarray]] = [[] for _ in files]
     for (i, _), plane in zip(streams, planes, strict=True):
         out[i].append(plane)
     return [np.concatenate(p) if len(p) > 1 else p[0] if p else np.zeros(0, np.uint8) for p in out]
 
 
+def _undo_greys(plane: np.ndarray, colours: np.ndarray, width: int, coded: int) -> np.ndarray:
+    return (undo_palette(plane.astype(np.uint32).reshape(-1, coded) << 8, colours, width) >> 8 & 0xFF).astype(np.uint8).ravel()
+
+
 def _read_together(streams: list[bytes], images: list[tuple]) -> list[np.ndarray]:
     sizes = np.array([s[0] for s in images], np.int64)
     base = np.concatenate([[0], np.cumsum([len(s) + 8 for s in streams])])

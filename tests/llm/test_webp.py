@@ -188,13 +188,23 @@ def test_cross_colour_and_subtract_green(image):
 def test_grey_round_trip():
     rng = np.random.default_rng(5)
     images = [np.full(576, 255), np.zeros(1152), rng.integers(0, 256, 576 * 3), rng.integers(97, 122, 576 * 64), np.r_[rng.integers(0, 4, 570), [9] * 6], (rng.geometric(0.3, 5760) % 256)]
+    images += [np.arange(576 * 9) // 3 % 251, rng.integers(0, 2, 576 * 7) * 77, rng.integers(0, 4, 576 * 5) + 250, rng.integers(30, 45, 576 * 4), np.cumsum(rng.integers(-1, 2, 576 * 64)) % 256]
     samples = np.concatenate(images).astype(np.uint8)
     edges = np.cumsum([0, *map(len, images)])
-    files = webp.write_grey(samples, edges, 576)
-    for f, read, a, b in zip(files, webp.read_grey(files), edges, edges[1:]):
+    streams = webp.write_grey(samples, edges, 576)
+    files = [webp.file_of(s) for s in streams]
+    kinds = set()
+    for s, f, read, a, b in zip(streams, files, webp.read_grey(files), edges, edges[1:]):
         assert (read == samples[a:b]).all()
         (pixels,) = webp.decode(f)
         assert (pixels[..., 0].ravel() == samples[a:b]).all() and (pixels[..., 3] == 255).all()
+        kinds.add(tuple(t[0] for t in webp._start(webp.Bits(s))[2]))
+    assert kinds == {(webp.SUBTRACT_GREEN,), (webp.SUBTRACT_GREEN, webp.PREDICTOR), (webp.PALETTE,)}
+    heights = (np.diff(edges) // 576).tolist()
+    whole = webp.stacked(streams[3:5], 576, heights[3:5])
+    assert (webp.read_grey([whole])[0] == samples[edges[3] : edges[5]]).all() and len(webp.decode(whole)) == 2
+    # canvas of the stack: width, then height, each less one
+    assert whole[12:16] == b"VP8X" and int.from_bytes(whole[24:27], "little") == 575 and int.from_bytes(whole[27:30], "little") == sum(heights[3:5]) - 1
     assert (webp.read_grey([files[0] + files[2]])[0] == np.r_[images[0], images[2]]).all()
 
 
