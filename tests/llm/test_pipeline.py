@@ -25,6 +25,8 @@ def test_odd_rows_and_empty_tables(spark, odd, empty):
             out = stage(spark, docs, "")
             assert out.columns == docs.columns
             out.collect()
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+        assert bool(packed) == (docs is wide) and all(0 < r.length <= 1024 for r in packed)
     kept = corpus_pipeline.near_duplicates(spark, wide, "")
     assert kept.where("doc_id is null").count() == 2 and kept.where("doc_id in (6, 8)").count() == 0
 
