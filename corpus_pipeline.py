@@ -28,7 +28,11 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a base rule or the outlier test rejects go."""
+    """Documents that a base rule or the outlier test rejects go.
+
+    Null, empty and blank texts fail the base rule. Null languages and sources are groups of their own; repeated rows get equal
+    verdicts; null ids don't matter. An empty table stays empty.
+    """
     return quality.quality_filter(docs)
 
 
@@ -39,7 +43,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Found secrets are replaced in the text, and n_chars follows; no document goes."""
+    """Found secrets are replaced in the text, and n_chars follows; no document goes.
+
+    A null text stays null, a text without secrets stays as it is with its n_chars; overlapping finds are replaced as one. Ids
+    don't matter. An empty table stays empty.
+    """
     again, name = _numbered(docs)
     text = name["text"]
     found = secrets.scan_secrets(again, id_col=name["doc_id"], text_col=text, keep=tuple(c for c in again.columns if c != text), redact=True)
@@ -49,14 +57,22 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated towards the target weights and shuffled; copies keep their id."""
+    """Documents are repeated towards the target weights and shuffled; copies keep their id.
+
+    Rows that repeat an id get the same number of copies each; a null id is hashed by its text; null and unnamed sources share one
+    weight; null and empty texts have no mass but are copied. An empty table stays empty.
+    """
     again, name = _numbered(docs)
     mixed = mixing.mix_sources(again, MIX_WEIGHTS, id_col=name["doc_id"], source_col=name["source"], text_col=name["text"])
     return mixed.select(again.columns).toDF(*docs.columns)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens, a row for each piece of a document."""
+    """Sequences of at most 1024 tokens, a row for each piece of a document.
+
+    Null and empty texts are the end token alone; rows that repeat an id (copies of the stage before) are documents of their own.
+    An empty table gives no rows.
+    """
     return packing.pack_documents(docs)
 
 
