@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattice.llm.common import U64, bound_batches, flat, gram_hashes, pieces, release, word_bounds, word_hashes, written
+from lattice.llm.common import U64, bound_batches, flat, gram_hashes, pieces, release, word_bounds, word_hashes
 
 #: Words of the shortest span that is removed.
 SPAN = 13
@@ -235,7 +235,7 @@ def first_documents(passages: list[list[bytes]], names: Sequence[int], docs: Seq
 
 _NAMES = "name long, bucket long, low long, high long"
 _PASSAGES = "name long, bucket long, key long, check long, passage binary, low long, high long"
-_FIRSTS = "key long, check long, firsts binary"
+_FIRSTS = "name long, key long, check long, firsts binary, buckets array<long>"
 
 
 def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, keep_text: bool = True) -> DataFrame:
@@ -250,7 +250,8 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
     document holds are candidates; names are a fifth of the windows. 2. The passages (runs of windows with one such name)
     of each bucket go, each distinct one once, to the shard of their name. A shard builds suffix automata of its
     reference passages and streams the passages through them: matching statistics over the words themselves give each
-    window's first document. 3. The answers return to the buckets by the passages' 128-bit keys.
+    window's first document. 3. The answers return to the buckets by the passages' 128-bit keys. A passage that stands
+    everywhere has one entry for each bucket, eight bytes for BUCKET_BYTES of text.
     """
     bound_batches(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -298,7 +299,8 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
         told = [i for i, f in enumerate(firsts) if low[i] != high[i] or min(f) < low[i]]
         rows = pa.array(told, pa.int64())
         release()
-        return pa.table([table.column("key").take(rows), table.column("check").take(rows), pa.array([np.array(firsts[i], np.int64).tobytes() for i in told], pa.binary())], names=["key", "check", "firsts"])
+        told_firsts = pa.array([np.array(firsts[i], np.int64).tobytes() for i in told], pa.binary())
+        return pa.table([*(table.column(c).take(rows) for c in ("name", "key", "check")), told_firsts, table.column("buckets").take(rows).cast(pa.list_(pa.int64()))], names=["name", "key", "check", "firsts", "buckets"])
 
     def removed(keys: tuple[pa.Scalar, ...], table: pa.Table, reply: pa.Table) -> pa.Table:
         bucket = _Bucket(table)
@@ -330,12 +332,12 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
     by_name = Window.partitionBy("name")
     names = held.applyInArrow(bucket_names, _NAMES)
     shared = names.withColumns({"_low": F.min("low").over(by_name), "_high": F.max("high").over(by_name)}).where("_low < _high").select("bucket", "name")
-    passages = written(held.cogroup(shared.groupBy("bucket")).applyInArrow(bucket_passages, _PASSAGES), "passages")
+    passages = held.cogroup(shared.groupBy("bucket")).applyInArrow(bucket_passages, _PASSAGES)
     # a name is a hash already: its shard needs no other
-    dealt = passages.select(F.pmod("name", F.lit(buckets)).alias("shard"), "name", "key", "check", "passage", "low", "high").repartition("shard")
-    distinct = dealt.groupBy("shard", "name", "key", "check", "passage").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    dealt = passages.withColumn("shard", F.pmod("name", F.lit(buckets))).repartition("shard")
+    distinct = dealt.groupBy("shard", "name", "key", "check", "passage").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("bucket").alias("buckets"))
     firsts = distinct.groupBy("shard").applyInArrow(shard_firsts, _FIRSTS)
-    replies = passages.select("key", "check", "bucket", "name").join(firsts, ["key", "check"]).select("bucket", "name", "key", "check", "firsts")
+    replies = firsts.select("name", "key", "check", "firsts", F.explode("buckets").alias("bucket"))
     done = held.cogroup(replies.groupBy("bucket")).applyInArrow(removed, out)
     nothing = [F.col("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("").alias("kept_text")]
     return done.unionByName(picked.where(blank).select(*nothing[: len(out.names)]))
