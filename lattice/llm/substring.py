@@ -98,12 +98,14 @@ class SuffixAutomaton:
             if size >= span:
                 yield i, state
 
-    def note(self, words: Sequence[int], doc: int) -> None:
-        """``doc`` holds these words: keep the least document of each of their windows."""
+    def note(self, words: Sequence[int], doc: int) -> list[int]:
+        """``doc`` holds these words: keep the least document of each of their windows, and return the windows' states."""
         first = self.first
-        for _, state in self.matches(words):
+        states = [state for _, state in self.matches(words)]
+        for state in states:
             if doc < first.get(state, _NO_ID + 1):
                 first[state] = doc
+        return states
 
 
 def covered(ends: Iterable[int], n_words: int) -> np.ndarray:
@@ -175,12 +177,6 @@ class _Bucket:
             yield i, raw[a : b - 1]
 
 
-def _key(passage: bytes) -> tuple[int, int]:
-    """128 bits of a passage as two signed integers."""
-    digest = xxhash.xxh3_128_digest(passage)
-    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
-
-
 def _shards(passages: list[list[bytes]], names: Sequence[int], most: int) -> Iterator[list[tuple[int, int, list[bytes]]]]:
     """Passages (index, first window, words) in runs for one automaton each; passages of one name stay together.
 
@@ -215,8 +211,8 @@ def _shards(passages: list[list[bytes]], names: Sequence[int], most: int) -> Ite
 def first_documents(passages: list[list[bytes]], names: Sequence[int], docs: Sequence[int], most: int = SHARD_WORDS) -> list[list[int]]:
     """For each passage (words; ``docs``: its least document) the least document of each of its windows, over all passages.
 
-    Every run of passages is one suffix automaton. Streaming the passages through it gives the states of their windows;
-    the states collect the least document, and a second stream reads it.
+    Every run of passages is one suffix automaton. Streaming the passages through it gives the states of their windows, which
+    collect the least document.
     """
     out: list[list[int]] = [[_NO_ID] * (len(p) - SPAN + 1) for p in passages]
     for shard in _shards(passages, names, most):
@@ -225,17 +221,17 @@ def first_documents(passages: list[list[bytes]], names: Sequence[int], docs: Seq
         coded = [[code.setdefault(w, len(code)) for w in words] for *_, words in shard]
         for words in coded:
             automaton.add(words)
-        for (i, _, _), words in zip(shard, coded, strict=True):
-            automaton.note(words, docs[i])
-        for (i, k, _), words in zip(shard, coded, strict=True):
-            for end, state in automaton.matches(words):
-                out[i][k + end - SPAN + 1] = automaton.first[state]
+        found = [automaton.note(words, docs[i]) for (i, _, _), words in zip(shard, coded, strict=True)]
+        first = automaton.first
+        for (i, k, _), states in zip(shard, found, strict=True):
+            # the words of a passage are in its automaton: every window matches, in order
+            out[i][k : k + len(states)] = [first[state] for state in states]
     return out
 
 
-_NAMES = "name long, bucket long, low long, high long"
-_PASSAGES = "name long, bucket long, key long, check long, passage binary, low long, high long"
-_FIRSTS = "name long, key long, check long, firsts binary, buckets array<long>"
+_NAMES = "name long, place long"
+_PASSAGES = "name long, bucket long, passage binary, low long, high long"
+_FIRSTS = "name long, key binary, firsts binary, buckets array<long>"
 
 
 def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, keep_text: bool = True) -> DataFrame:
@@ -272,7 +268,8 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
         starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
         low, high = (np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)) if len(starts) else (doc, doc)
         release()
-        return pa.table([pa.array(names[starts].view(np.int64)), pa.array(np.full(len(starts), keys[0].as_py())), pa.array(low), pa.array(high)], names=["name", "bucket", "low", "high"])
+        # the bucket, and in the last bit whether several of its documents hold the name
+        return pa.table([pa.array(names[starts].view(np.int64)), pa.array(2 * keys[0].as_py() + (low != high).astype(np.int64))], names=["name", "place"])
 
     def bucket_passages(keys: tuple[pa.Scalar, ...], table: pa.Table, reply: pa.Table) -> pa.Table:
         bucket, number = _Bucket(table), keys[0].as_py()
@@ -284,36 +281,46 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
                 found[passage] = [names[i], ids[i], ids[i]]
             else:
                 entry[1], entry[2] = min(entry[1], ids[i]), max(entry[2], ids[i])
-        both = [_key(p) for p in found]
-        columns = [[e[0] for e in found.values()], [number] * len(found), [k for k, _ in both], [c for _, c in both], list(found), [e[1] for e in found.values()], [e[2] for e in found.values()]]
-        kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 2
+        columns = [[e[0] for e in found.values()], [number] * len(found), list(found), [e[1] for e in found.values()], [e[2] for e in found.values()]]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+        out = pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["name", "bucket", "passage", "low", "high"])
+        del found, columns, bucket
         release()
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["name", "bucket", "key", "check", "passage", "low", "high"])
+        return out
 
     def shard_firsts(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by("name")
-        words = [p.split(b" ") for p in table.column("passage").to_pylist()]
+        texts = table.column("passage").to_pylist()
+        words = [p.split(b" ") for p in texts]
         low, high = table.column("low").to_pylist(), table.column("high").to_pylist()
         firsts = first_documents(words, table.column("name").to_pylist(), low, shard_words)
         # a passage that one document holds alone, and all of whose windows start there, has nothing to lose
         told = [i for i, f in enumerate(firsts) if low[i] != high[i] or min(f) < low[i]]
         rows = pa.array(told, pa.int64())
+        # one number where all windows start in one document
+        told_firsts = pa.array([np.array(f if min(f) != max(f) else f[:1], np.int64).tobytes() for f in map(firsts.__getitem__, told)], pa.binary())
+        told_keys = pa.array([xxhash.xxh3_128_digest(texts[i]) for i in told], pa.binary())
+        out = pa.table([table.column("name").take(rows), told_keys, told_firsts, table.column("buckets").take(rows).cast(pa.list_(pa.int64()))], names=["name", "key", "firsts", "buckets"])
+        del texts, words, firsts
         release()
-        told_firsts = pa.array([np.array(firsts[i], np.int64).tobytes() for i in told], pa.binary())
-        return pa.table([*(table.column(c).take(rows) for c in ("name", "key", "check")), told_firsts, table.column("buckets").take(rows).cast(pa.list_(pa.int64()))], names=["name", "key", "check", "firsts", "buckets"])
+        return out
 
     def removed(keys: tuple[pa.Scalar, ...], table: pa.Table, reply: pa.Table) -> pa.Table:
         bucket = _Bucket(table)
         gone: dict[int, list[np.ndarray]] = {}
+        owner, windows, at, first, ids = (x.tolist() for x in (bucket.owner, bucket.windows, bucket.at, bucket.first, bucket.ids))
         if reply.num_rows:
-            answers = dict(zip(zip(reply.column("key").to_pylist(), reply.column("check").to_pylist(), strict=True), reply.column("firsts").to_pylist(), strict=True))
+            answers = dict(zip(reply.column("key").to_pylist(), reply.column("firsts").to_pylist(), strict=True))
             for i, passage in bucket.passages(np.sort(np.unique(reply.column("name").to_numpy()).view(U64))):
-                answer = answers.get(_key(passage))
+                answer = answers.get(xxhash.xxh3_128_digest(passage))
                 if answer is not None:
-                    d = int(bucket.owner[i])
-                    hit = np.flatnonzero(np.frombuffer(answer, np.int64) < bucket.ids[d])
+                    d = owner[i]
+                    if len(answer) == 8:
+                        hit = np.arange(windows[i]) if int.from_bytes(answer, "little", signed=True) < ids[d] else ()
+                    else:
+                        hit = np.flatnonzero(np.frombuffer(answer, np.int64) < ids[d])
                     if len(hit):
-                        gone.setdefault(d, []).append(hit + (bucket.at[i] - bucket.first[d] + SPAN - 1))
+                        gone.setdefault(d, []).append(hit + (at[i] - first[d] + SPAN - 1))
         n_removed, digests, texts_kept = [], [], []
         for d in range(table.num_rows):
             words = bucket.data[bucket.offsets[d] : bucket.offsets[d + 1]].tobytes().split()
@@ -331,13 +338,14 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     by_name = Window.partitionBy("name")
     names = held.applyInArrow(bucket_names, _NAMES)
-    shared = names.withColumns({"_low": F.min("low").over(by_name), "_high": F.max("high").over(by_name)}).where("_low < _high").select("bucket", "name")
+    repeated = (F.count(F.lit(1)).over(by_name) > 1) | (F.col("place") % 2 == 1)
+    shared = names.withColumn("_many", repeated).where("_many").select((F.shiftright("place", 1)).alias("bucket"), "name")
     passages = held.cogroup(shared.groupBy("bucket")).applyInArrow(bucket_passages, _PASSAGES)
     # a name is a hash already: its shard needs no other
     dealt = passages.withColumn("shard", F.pmod("name", F.lit(buckets))).repartition("shard")
-    distinct = dealt.groupBy("shard", "name", "key", "check", "passage").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("bucket").alias("buckets"))
+    distinct = dealt.groupBy("shard", "name", "passage").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("bucket").alias("buckets"))
     firsts = distinct.groupBy("shard").applyInArrow(shard_firsts, _FIRSTS)
-    replies = firsts.select("name", "key", "check", "firsts", F.explode("buckets").alias("bucket"))
+    replies = firsts.select("name", "key", "firsts", F.explode("buckets").alias("bucket"))
     done = held.cogroup(replies.groupBy("bucket")).applyInArrow(removed, out)
     nothing = [F.col("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("").alias("kept_text")]
     return done.unionByName(picked.where(blank).select(*nothing[: len(out.names)]))
