@@ -46,14 +46,18 @@ def occurrences(text: Column, term: Column) -> Column:
 
 def substring_score(content: Column, metadata: Column, query: Column, terms: Column) -> Column:
     """40 for the whole query in the content, 20 in the metadata; each term adds 10 + min(tf, 5) and 5 + min(tf, 3)."""
-    c, m, q = F.lower(content), F.lower(metadata), F.lower(F.trim(query))
+    return lower_score(F.lower(content), F.lower(metadata), F.lower(F.trim(query)), terms)
+
+
+def lower_score(c: Column, m: Column, q: Column, terms: Column) -> Column:
+    """The substring score of texts in lower case. Where many terms meet one text, fold its case in a step before: a lambda would do it for each term."""
     whole = F.when((q != "") & F.contains(c, q), 40).otherwise(0) + F.when((q != "") & F.contains(m, q), 20).otherwise(0)
 
     def term_score(acc: Column, t: Column) -> Column:
-        n, k = occurrences(c, t), occurrences(m, t)
-        return acc + F.when(n > 0, 10 + F.least(n, F.lit(5))).otherwise(0) + F.when(k > 0, 5 + F.least(k, F.lit(3))).otherwise(0)
+        in_content = F.when(F.contains(c, t), 10 + F.least(occurrences(c, t), F.lit(5))).otherwise(0)
+        return acc + in_content + F.when(F.contains(m, t), 5 + F.least(occurrences(m, t), F.lit(3))).otherwise(0)
 
-    return whole + F.aggregate(terms, F.lit(0), term_score)
+    return whole + F.aggregate(F.filter(terms, lambda t: t != ""), F.lit(0), term_score)
 
 
 # Terms of a profile that a question for a person asks for.
@@ -62,11 +66,15 @@ PROFILE_TERMS = ("负责人", "研究员", "博士", "工作经历", "教育背
 
 def chunk_relevance(content: Column, metadata: Column, path: Column, query: Column, terms: Column) -> Column:
     """The substring score; 1 more for a node, 4 for each profile term where the question asks who, .5 less for more than 3000 characters."""
+    return substring_score(content, metadata, query, terms) + relevance_extra(content, path, query)
+
+
+def relevance_extra(content: Column, path: Column, query: Column) -> Column:
     profile = F.lit(0)
     for term in PROFILE_TERMS:
         profile = profile + F.when(F.contains(content, F.lit(term)), 4).otherwise(0)
     extra = F.when(path.startswith("node:"), 1.0).otherwise(0.0) + F.when(F.contains(query, F.lit("谁")), profile).otherwise(0)
-    return substring_score(content, metadata, query, terms) + extra - F.when(F.length(content) > 3000, 0.5).otherwise(0.0)
+    return extra - F.when(F.length(content) > 3000, 0.5).otherwise(0.0)
 
 
 def coverage_relevance(text: Column, query: Column) -> Column:

@@ -84,13 +84,13 @@ s AS (
 
 
 def _scan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    q = table(spark, sf_dir, "benchmark").where("item_id % 100 = 0").select("item_id", F.col("text").alias("query"), F.array_distinct(tx.words(F.col("text"))).alias("terms"))
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "source"), q
+    q = table(spark, sf_dir, "benchmark").where("item_id % 100 = 0").select("item_id", F.col("text").alias("query"), F.lower(F.trim("text")).alias("q"), F.array_distinct(tx.words(F.col("text"))).alias("terms"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", F.lower("text").alias("c"), F.lower("source").alias("m")), q
 
 
 @query("substring_score_top10", _SCAN + "SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 10")
 def substring_score_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = tx.substring_score(F.col("text"), F.col("source"), F.col("query"), F.col("terms")).cast("long")
+    score = tx.lower_score(F.col("c"), F.col("m"), F.col("q"), F.col("terms")).cast("long")
     return search.scan_top_k(*_scan(spark, sf_dir), "item_id", "doc_id", score, 10)
 
 
@@ -100,7 +100,7 @@ SELECT item_id, doc_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY
 def chunk_relevance_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with an even id stand as nodes."""
     path = F.concat(F.when(F.col("doc_id") % 2 == 0, "node:").otherwise("page:"), "doc_id")
-    score = tx.chunk_relevance(F.col("text"), F.col("source"), path, F.col("query"), F.col("terms"))
+    score = tx.lower_score(F.col("c"), F.col("m"), F.col("q"), F.col("terms")) + tx.relevance_extra(F.col("text"), path, F.col("query"))
     return search.scan_top_k(*_scan(spark, sf_dir), "item_id", "doc_id", score, 10)
 
 
