@@ -7,18 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattice.session import cut
-
 
 def postings(docs: DataFrame, doc_id: str, terms: Column, wanted: DataFrame) -> DataFrame:
     """(doc_id, term, tf, len) for the terms of ``wanted``, kept before the aggregation; every document is tokenised once.
 
     ``wanted`` is as large as the queries, not the corpus; Spark broadcasts it where it is small and shuffles where not.
-    The result is written: all scores are read from it.
+    The scores of one query read it from one shuffle, which Spark reuses.
     """
     tokens = docs.select(doc_id, terms.alias("_terms")).select(doc_id, F.size("_terms").alias("len"), F.explode("_terms").alias("term"))
     kept = tokens.join(wanted.select("term").distinct(), "term", "left_semi")
-    return cut(kept.groupBy(doc_id, "term", "len").agg(F.count(F.lit(1)).alias("tf")))
+    return kept.groupBy(doc_id, "term", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def totals(docs: DataFrame, length: Column) -> tuple[int, float]:
