@@ -10,47 +10,29 @@ from lattice.operators import vectors as vo
 from lattice.plans.registry import query
 
 _KNN = """
-WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id IN (0, 100, 200, 300, 400)),
+WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 6) AS score FROM embeddings, q WHERE {where})
 SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10"""
-_QUERIES = (0, 100, 200, 300, 400)
 
 
 def _queries(vectors: DataFrame) -> DataFrame:
-    return vectors.where(F.col("vec_id").isin(*_QUERIES)).select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query("knn_top10_cosine", _KNN.format(where="true"))
+@query("knn_top10_every_100th", _KNN.format(where="true"))
 def knn_top10_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     return vo.nearest(v, _queries(v), 10)
 
 
 @query("filtered_knn", _KNN.format(where="label IN (1, 3, 5)"))
+@query("filtered_knn_every_100th", _KNN.format(where="label IN (1, 3, 5)"))
 def filtered_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     return vo.nearest(v.where(F.col("label").isin(1, 3, 5)), _queries(v), 10)
 
 
-_KNN_ALL = _KNN.replace("vec_id IN (0, 100, 200, 300, 400)", "vec_id % 100 = 0")
-
-
-def _every_100th(vectors: DataFrame) -> DataFrame:
-    return vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
-
-
-@query("knn_top10_every_100th", _KNN_ALL.format(where="true"))
-def knn_top10_every_100th(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings")
-    return vo.nearest(v, _every_100th(v), 10)
-
-
-@query("filtered_knn_every_100th", _KNN_ALL.format(where="label IN (1, 3, 5)"))
-def filtered_knn_every_100th(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings")
-    return vo.nearest(v.where(F.col("label").isin(1, 3, 5)), _every_100th(v), 10)
-
-
 _UNIT = """
 WITH n AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS l FROM embeddings),
 u AS (SELECT vec_id, label, unnest(list_transform(embedding::DOUBLE[], lambda x: x / l)) AS x, generate_subscripts(embedding, 1) AS pos FROM n),
