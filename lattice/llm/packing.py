@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +25,7 @@ GRAIN = 32
 #: Windows with at most this much slack are left as they are.
 TOLERANCE = 16
 #: Bytes (strings, tokens and what Python adds to them) of the chunks whose tokens a worker remembers.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 64 << 20
 _ENTRY_BYTES = 190
 
 # --- tokens ----------------------------------------------------------------------------------
@@ -56,52 +57,52 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
+class _Chunks(dict[str, bytes]):
+    """Tokens of chunks, asked of ``learn`` when first wanted; starts afresh beyond CACHE_BYTES."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        super().__init__()
+        self.learn, self.held = learn, 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.learn(chunk)
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.held = 0
+        self[chunk] = found
+        self.held += len(chunk) + len(found) + _ENTRY_BYTES
+        return found
+
+
 class Tokens:
     """Token ids of texts as little-endian unsigned 32-bit bytes; chunks that recur are encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # Spark's tasks have the cores already: threads of each task's own would only wait for each other
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.letters = _byte_letters()
-        self.cache: dict[str, bytes] = {}
-        self.held = 0
+        self.chunks = _Chunks(self._learn)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks; one run of letters is one word to the model, without the steps before it."""
-        model, letters = self.tokenizer.model, self.letters
-        others = []
-        for c in chunks:
-            if _LETTERS.fullmatch(c):
-                tokens = model.tokenize(c.encode().decode("latin-1").translate(letters))
-                self._keep(c, b"".join([t.id.to_bytes(4, "little") for t in tokens]))
-            else:
-                others.append(c)
-        for at in range(0, len(others), 4096):
-            part = others[at : at + 4096]
-            for c, found in zip(part, self._encode(part), strict=True):
-                self._keep(c, found)
-
-    def _keep(self, chunk: str, found: bytes) -> None:
-        self.cache[chunk] = found
-        self.held += len(chunk) + len(found) + _ENTRY_BYTES
+    def _learn(self, chunk: str) -> bytes:
+        """Encode a chunk; one run of letters is one word to the model, without the steps before it."""
+        if not _LETTERS.fullmatch(chunk):
+            return self._encode([chunk])[0]
+        tokens = self.tokenizer.model.tokenize(chunk.encode().decode("latin-1").translate(self.letters))
+        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [_CHUNK.findall(t) if _plain(t) else None for t in texts]
-        cache = self.cache
-        unknown = list({c for some in chunks if some for c in some if c not in cache})
-        if self.held > CACHE_BYTES:
-            cache.clear()
-            self.held = 0
-            unknown = list({c for some in chunks if some for c in some})
-        self._learn(unknown)
-        whole = iter(self._encode([t for t, some in zip(texts, chunks, strict=True) if some is None]))
-        return [next(whole) if some is None else b"".join(map(cache.__getitem__, some)) for some in chunks]
+        known = self.chunks.__getitem__
+        out = [b"".join(map(known, _CHUNK.findall(t))) if _plain(t) else None for t in texts]
+        whole = iter(self._encode([t for t, found in zip(texts, out, strict=True) if found is None]))
+        return [next(whole) if found is None else found for found in out]
 
 
 @lru_cache(maxsize=2)
