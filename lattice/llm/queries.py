@@ -1,4 +1,4 @@
-"""The ten registered queries of the subpackage and the SQL of those that SQL can express."""
+"""The registered queries of the subpackage and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.catalog import table
-from lattice.llm import langid, media, mixing, neardup, packing, preference, quality, secrets, substring, url_filter
+from lattice.llm import langid, media, mixing, neardup, packing, preference, quality, runs, secrets, substring, url_filter
 
 #: Target weights: four curated sources count double, the hot one is held at a tenth, all others share the rest.
 MIX_WEIGHTS = {"src0": 0.10, "src1": 0.10, "src2": 0.10, "src3": 0.10, "src4": 0.10, mixing.OTHER: 0.50}
@@ -69,6 +69,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), tails=True, keep_text=False)
+
+
 def _mix_sql() -> str:
     named = ", ".join(f"'{s}'" for s in MIX_WEIGHTS if s != mixing.OTHER)
     weights = ", ".join(f"('{s}', {w}::DOUBLE)" for s, w in MIX_WEIGHTS.items())
@@ -142,7 +146,7 @@ SELECT page_id, host, path, {rule} AS rule, {verdict} WHEN {listed} THEN 'block'
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {fn.__name__: fn for fn in (op1_mix_sources, op2_secret_scan, op3_language_id, op4_pack_sequences, op5_quality_rules, op6_media_webp, op7_substring_dedup, op8_near_duplicates, op9_preference_format, op10_url_filter)}
+    return {fn.__name__: fn for fn in (op1_mix_sources, op2_secret_scan, op3_language_id, op4_pack_sequences, op5_quality_rules, op6_media_webp, op7_substring_dedup, op8_near_duplicates, op9_preference_format, op10_url_filter, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
