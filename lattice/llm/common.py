@@ -137,9 +137,9 @@ def pieces(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         start = end
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word (maximal runs of bytes other than 0x20 and 0x09 to 0x0D), and the first word of each document."""
-    inside = _WORD[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word (maximal runs of bytes that ``word`` has, or other than 0x20 and 0x09 to 0x0D), and the first word of each document."""
+    inside = word[data]
     first, last = inside.copy(), inside.copy()
     if len(data):
         first[1:] &= ~inside[:-1]
@@ -151,6 +151,11 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A to Z in lower case."""
+    return _LOWER[data]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes of each word; hashes of two seeds are independent, each read from the bytes.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.catalog import table
-from lattice.llm import langid, media, mixing, neardup, packing, preference, quality, runs, secrets, substring, url_filter
+from lattice.llm import langid, media, mixing, neardup, packing, phrases, preference, quality, runs, secrets, substring, url_filter
 
 #: Target weights: four curated sources count double, the hot one is held at a tenth, all others share the rest.
 MIX_WEIGHTS = {"src0": 0.10, "src1": 0.10, "src2": 0.10, "src3": 0.10, "src4": 0.10, mixing.OTHER: 0.50}
@@ -69,6 +69,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(table(spark, sf_dir, "documents"), tails=True, keep_text=False)
 
@@ -145,9 +149,36 @@ SELECT page_id, host, path, {rule} AS rule, {verdict} WHEN {listed} THEN 'block'
 """
 
 
+def _phrase_sql() -> str:
+    return f"""
+WITH d AS (
+  SELECT coalesce(lang, '{phrases.UNDETERMINED}') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS parts
+  FROM documents),
+p AS (SELECT lang, regexp_extract_all(part, '[^ \\t]+') AS ws FROM (SELECT lang, unnest(parts) AS part FROM d)),
+s AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p),
+g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM s, (VALUES (1), (2), (3), ({phrases.LONGEST})) AS v(k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= {phrases.LEAST}),
+u AS (SELECT lang, phrase, a, w, unnest(range(1, len(w))) AS cut FROM c),
+x AS (
+  SELECT u.lang, u.phrase, u.a, u.cut, h.f AS l, t.f AS r, ((2000000::HUGEINT * u.a) // (h.f::HUGEINT + t.f))::BIGINT AS score
+  FROM u JOIN g h ON h.lang = u.lang AND h.phrase = array_to_string(w[1:cut], ' ')
+         JOIN g t ON t.lang = u.lang AND t.phrase = array_to_string(w[cut + 1:], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+m AS (SELECT lang, a, w, unnest(range(2, len(w))) AS k FROM c),
+i AS (SELECT lang, a, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM m),
+o AS (SELECT lang, array_to_string(w[j:j + k - 1], ' ') AS phrase, max(a) AS cover FROM i GROUP BY ALL),
+y AS (SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.cover IS NULL OR 100::HUGEINT * o.cover < 80::HUGEINT * b.a),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM y)
+SELECT z.lang, rank, phrase, a, l, r, n.n, score FROM z JOIN n ON n.lang = z.lang WHERE rank <= {phrases.TOP}
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {fn.__name__: fn for fn in (op1_mix_sources, op2_secret_scan, op3_language_id, op4_pack_sequences, op5_quality_rules, op6_media_webp, op7_substring_dedup, op8_near_duplicates, op9_preference_format, op10_url_filter, op13_periodic_runs)}
+    return {fn.__name__: fn for fn in (op1_mix_sources, op2_secret_scan, op3_language_id, op4_pack_sequences, op5_quality_rules, op6_media_webp, op7_substring_dedup, op8_near_duplicates, op9_preference_format, op10_url_filter, op12_phrase_mining, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _mix_sql(), "op9_preference_format": _preference_sql(), "op10_url_filter": _url_sql()}
+    return {"op1_mix_sources": _mix_sql(), "op9_preference_format": _preference_sql(), "op10_url_filter": _url_sql(), "op12_phrase_mining": _phrase_sql()}
