@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.catalog import table
-from lattice.llm import langid, media, mixing, neardup, packing, phrases, preference, quality, runs, secrets, substring, url_filter
+from lattice.llm import langid, media, mixing, neardup, packing, phrases, ppm, preference, quality, runs, secrets, substring, url_filter
 
 #: Target weights: four curated sources count double, the hot one is held at a tenth, all others share the rest.
 MIX_WEIGHTS = {"src0": 0.10, "src1": 0.10, "src2": 0.10, "src3": 0.10, "src4": 0.10, mixing.OTHER: 0.50}
@@ -69,6 +69,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.held_out(folds=5)
+    trained = ppm.train(docs.where(~held_out))
+    return ppm.score_documents(docs, trained, keep=(held_out.alias("held_out"),))
+
+
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(table(spark, sf_dir, "documents"))
 
@@ -177,7 +184,7 @@ SELECT z.lang, rank, phrase, a, l, r, n.n, score FROM z JOIN n ON n.lang = z.lan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {fn.__name__: fn for fn in (op1_mix_sources, op2_secret_scan, op3_language_id, op4_pack_sequences, op5_quality_rules, op6_media_webp, op7_substring_dedup, op8_near_duplicates, op9_preference_format, op10_url_filter, op12_phrase_mining, op13_periodic_runs)}
+    return {fn.__name__: fn for fn in (op1_mix_sources, op2_secret_scan, op3_language_id, op4_pack_sequences, op5_quality_rules, op6_media_webp, op7_substring_dedup, op8_near_duplicates, op9_preference_format, op10_url_filter, op11_ppm_score, op12_phrase_mining, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
