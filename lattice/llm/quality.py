@@ -17,8 +17,8 @@ from lattice.llm.common import U64, flat, gram_hashes, map_arrow, mix, pieces, w
 WINDOW = 8
 #: Share of a group's rows that the covariance is estimated on.
 SUPPORT = 0.75
-#: Concentration steps end when no group's subset changes; a group that takes more than this is an error.
-MOST_STEPS = 100
+#: A start is settled when a concentration step lowers the log of its determinant by no more than this.
+SETTLED = 1e-9
 #: Groups with fewer rows use their language's estimate, and languages with fewer the estimate over all.
 LEAST_ROWS = 60
 #: Squared distance beyond which a document is rejected: the 0.999 quantile of the chi-square distribution with four degrees of freedom.
@@ -32,6 +32,7 @@ FLOORS = (0.05, 0.10, 0.12, 0.12)
 DIMS = len(FLOORS)
 #: Median of the chi-square distribution with four degrees of freedom.
 _MEDIAN_CHI2 = 3.35669
+_ESTIMATE = ("mu", "cov", "inverse", "log_det")
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 _SYMBOL = np.zeros(256, np.int64)
@@ -139,8 +140,8 @@ def _distance() -> Column:
 
 
 def _inverses(moments: DataFrame, keys: list[str]) -> DataFrame:
-    """mu, the inverse of the covariance with the floors on its diagonal, and the log of its determinant, for each group."""
-    schema = T.StructType([*(moments.schema[k] for k in keys), moments.schema["mu"], T.StructField("inverse", T.ArrayType(T.DoubleType())), T.StructField("log_det", T.DoubleType())])
+    """mu, cov, the inverse of the covariance with the floors on its diagonal, and the log of its determinant, for each group."""
+    schema = T.StructType([*(moments.schema[k] for k in keys), moments.schema["mu"], moments.schema["cov"], T.StructField("inverse", T.ArrayType(T.DoubleType())), T.StructField("log_det", T.DoubleType())])
 
     def invert(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -149,19 +150,18 @@ def _inverses(moments: DataFrame, keys: list[str]) -> DataFrame:
                 matrix = np.asarray(cov, float).reshape(DIMS, DIMS) * scale + np.diag(np.square(FLOORS))
                 inverse.append(np.linalg.inv(matrix).ravel().tolist())
                 log_det.append(float(np.linalg.slogdet(matrix)[1]))
-            yield f[[*keys, "mu"]].assign(inverse=inverse, log_det=log_det)
+            yield f[[*keys, "mu", "cov"]].assign(inverse=inverse, log_det=log_det)
 
     return moments.mapInPandas(invert, schema)
 
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """mu and cov of each group, and in ``chosen`` an exact sum that names its rows in any order."""
+    """mu and cov of each group."""
     aggregates = [F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(DIMS)]
     aggregates += [F.covar_pop(F.col("x")[i], F.col("x")[j]).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)]
-    chosen = F.sum(F.pmod(F.xxhash64("x"), F.lit(1 << 31))).alias("chosen")
-    sums = rows.groupBy(keys).agg(*aggregates, chosen)
+    sums = rows.groupBy(keys).agg(*aggregates)
     cov = [F.col(f"c{max(i, j)}{min(i, j)}") for i in range(DIMS) for j in range(DIMS)]
-    return sums.select(*keys, F.array(*(f"m{i}" for i in range(DIMS))).alias("mu"), F.array(*cov).alias("cov"), "chosen")
+    return sums.select(*keys, F.array(*(f"m{i}" for i in range(DIMS))).alias("mu"), F.array(*cov).alias("cov"))
 
 
 def grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
@@ -192,6 +192,19 @@ def _small(groups: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(groups) if few else groups
 
 
+def _key(column: str) -> Column:
+    """The value behind a sign; null has a sign of its own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit("!"))
+
+
+def _step(rows: DataFrame, estimate: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """One concentration step of each (group, start) of the estimate."""
+    near = rows.join(_small(estimate, few), keys[:2]).select(*keys, "x", _distance().alias("d"))
+    limits = written(near.groupBy(keys).agg(F.percentile("d", F.lit(SUPPORT)).alias("limit")), "limits")
+    chosen = near.join(_small(limits, few), keys).where("d <= limit")
+    return written(_inverses(_moments(chosen, keys).withColumn("scale", F.lit(1.0)), keys), "moments")
+
+
 def fit(statistics: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Estimates for every (lang_k, source_k): mu and inverse. ``statistics`` has the two columns and ``_stats``.
 
@@ -199,11 +212,11 @@ def fit(statistics: DataFrame, lang_col: str = "lang", source_col: str = "source
     of the rows that lie nearest to the medians. From each, concentration steps: the SUPPORT share of rows nearest
     to the centre gives the next mean and covariance. All groups and starts advance together and every step is a sum over all
     rows with partial aggregation, so a group that holds a third of the rows is no more work for any task than others.
-    A group's start ends when its subset is that of the step before; then the start with the least determinant counts (the first on ties).
+    A start whose determinant no longer falls keeps the estimate before that step and leaves: floors, ties and the grid of
+    distances let subsets turn in a circle, determinants can only fall so far. Then the start with the least determinant counts
+    (the first on ties).
     """
-    usable = statistics.where(~base_failed()).select(
-        F.coalesce(lang_col, F.lit("")).alias("lang_k"), F.coalesce(source_col, F.lit("")).alias("source_k"), F.array(*transformed()).alias("x")
-    )
+    usable = statistics.where(~base_failed()).select(_key(lang_col).alias("lang_k"), _key(source_col).alias("source_k"), F.array(*transformed()).alias("x"))
     used, rows, few = grouped(usable)
     group, keys = ["lang_g", "source_g"], ["lang_g", "source_g", "start"]
     rows = written(rows, "points")
@@ -220,30 +233,26 @@ def fit(statistics: DataFrame, lang_col: str = "lang", source_col: str = "source
     half = near.join(_small(written(near.groupBy(group).agg(F.percentile("d", F.lit(0.5)).alias("limit")), "halves"), few), group).where("d <= limit")
     third = _inverses(_moments(half, group).select(*group, F.lit(STARTS[2]).alias("start"), "mu", "cov").withColumn("scale", one), keys)
     estimate = written(started.unionByName(third), "start")
-    before = None
-    for step in range(MOST_STEPS):
-        near = rows.join(_small(estimate, few), group).select(*keys, "x", _distance().alias("d"))
-        limits = written(near.groupBy(keys).agg(F.percentile("d", F.lit(SUPPORT)).alias("limit")), "limits")
-        moments = written(_moments(near.join(_small(limits, few), keys).where("d <= limit"), keys), f"step{step}")
-        now = moments.agg(F.sum(F.xxhash64(*keys, "chosen").cast("decimal(20,0)")).cast("string")).first()[0]
-        estimate = written(_inverses(moments.withColumn("scale", one), keys), "estimate")
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"subsets did not settle in {MOST_STEPS} concentration steps")
+    # the starts are no subsets of SUPPORT rows: the first step counts in any case
+    estimate = written(_step(rows, estimate, keys, few).withColumn("moving", F.lit(True)), "step")
+    while estimate.where("moving").limit(1).count():
+        after = _step(rows, estimate.where("moving").drop("moving"), keys, few)
+        new = after.select(*keys, *(F.col(c).alias(f"new_{c}") for c in _ESTIMATE))
+        fell = F.coalesce(F.col("new_log_det") < F.col("log_det") - SETTLED, F.lit(False))
+        joined = estimate.join(new, keys, "left").withColumn("fell", fell)
+        estimate = written(joined.select(*keys, *(F.when(F.col("fell"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in _ESTIMATE), F.col("fell").alias("moving")), "step")
     order = F.struct(F.round("log_det", 9), F.array_position(F.array(*map(F.lit, STARTS)), F.col("start")))
     best = written(estimate.groupBy(group).agg(F.min_by("start", order).alias("start")), "best")
     # consistency: the median distance of the group's rows becomes that of the chi-square distribution
     plain = written(estimate.join(best, keys), "plain")
     medians = rows.join(_small(plain, few), group).select(*group, _distance().alias("d")).groupBy(group).agg(F.percentile("d", F.lit(0.5)).alias("d"))
-    scaled = moments.join(best, keys).join(medians, group).withColumn("scale", F.greatest(one, F.expm1("d") / _MEDIAN_CHI2))
+    scaled = plain.select(*group, "mu", "cov").join(medians, group).withColumn("scale", F.greatest(one, F.expm1("d") / _MEDIAN_CHI2))
     return written(used.join(_inverses(scaled.select(*group, "mu", "cov", "scale"), group), group).select("lang_k", "source_k", "mu", "inverse"), "estimates")
 
 
 def judged(statistics: DataFrame, estimates: DataFrame, lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
     """Add base_failed, distance (squared; null without an estimate) and kept."""
-    rows = statistics.withColumns({"lang_k": F.coalesce(lang_col, F.lit("")), "source_k": F.coalesce(source_col, F.lit("")), "x": F.array(*transformed())})
+    rows = statistics.withColumns({"lang_k": _key(lang_col), "source_k": _key(source_col), "x": F.array(*transformed())})
     few = estimates.count() <= MAX_BROADCAST_GROUPS
     out = rows.join(_small(estimates, few), ["lang_k", "source_k"], "left").withColumns({"base_failed": base_failed(), "distance": F.expm1(_distance())})
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
