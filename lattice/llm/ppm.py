@@ -28,9 +28,9 @@ PART_GRAMS = 4_000_000
 #: Words with at least 1 / FREQUENT of all tokens are sent to all tasks; there are no more than FREQUENT of them.
 FREQUENT = 1 << 20
 #: Bytes of text that one task holds at a time when word counts are looked up; a longer document is a bucket of its own size.
-BUCKET_BYTES = 16 << 20
-#: Bytes of text that are turned into contexts together, and counts that a task holds before it sends them on.
-SLICE_BYTES, HELD = 4 << 20, 1_000_000
+BUCKET_BYTES = 8 << 20
+#: Bytes of text that are counted together, and counts that a task holds before it sends them on.
+SLICE_BYTES, HELD = 2 << 20, 1_000_000
 _WORD, _GRAM = 0, 1
 #: The token that ends a text: the hash of a byte that no word has.
 END = int(signed(word_hashes(np.full(1, EDGE, np.uint8), np.zeros(1, np.int64), np.ones(1, np.int64)))[0])
@@ -299,9 +299,9 @@ def train(docs: DataFrame, text_col: str = "text", part_grams: int | None = None
 
 
 def _units(texts: pa.ChunkedArray | pa.Array, trie: Trie) -> np.ndarray:
-    """Units of each text, a few MB at a time."""
+    """Units of each text, a MB at a time: every byte has some arrays of eight bytes."""
     bounds = flat(texts)[1]
-    return np.concatenate([np.zeros(0, np.int64), *(trie.code_lengths(texts.slice(a, b - a)) for a, b in pieces(bounds, SLICE_BYTES))])
+    return np.concatenate([np.zeros(0, np.int64), *(trie.code_lengths(texts.slice(a, b - a)) for a, b in pieces(bounds))])
 
 
 def _hashed(texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
