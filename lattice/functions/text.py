@@ -60,7 +60,8 @@ def lower_score(c: Column, m: Column, q: Column, terms: Column) -> Column:
     return whole + F.aggregate(F.filter(terms, lambda t: t != ""), F.lit(0), term_score)
 
 
-# Terms of a profile that a question for a person asks for.
+# The word of a question for a person, and the terms of a profile that answers it.
+WHO = "谁"
 PROFILE_TERMS = ("负责人", "研究员", "博士", "工作经历", "教育背景", "研究方向", "任职")
 
 
@@ -70,11 +71,20 @@ def chunk_relevance(content: Column, metadata: Column, path: Column, query: Colu
 
 
 def relevance_extra(content: Column, path: Column, query: Column) -> Column:
-    profile = F.lit(0)
+    return relevance_bonus(content, path) + F.when(F.contains(query, F.lit(WHO)), profile_bonus(content)).otherwise(0)
+
+
+def relevance_bonus(content: Column, path: Column) -> Column:
+    """What a chunk's own place and length add, whatever the question."""
+    return F.when(path.startswith("node:"), 1.0).otherwise(0.0) - F.when(F.length(content) > 3000, 0.5).otherwise(0.0)
+
+
+def profile_bonus(content: Column) -> Column:
+    """What the profile terms of a chunk add where the question asks who."""
+    out = F.lit(0)
     for term in PROFILE_TERMS:
-        profile = profile + F.when(F.contains(content, F.lit(term)), 4).otherwise(0)
-    extra = F.when(path.startswith("node:"), 1.0).otherwise(0.0) + F.when(F.contains(query, F.lit("谁")), profile).otherwise(0)
-    return extra - F.when(F.length(content) > 3000, 0.5).otherwise(0.0)
+        out = out + F.when(F.contains(content, F.lit(term)), 4).otherwise(0)
+    return out
 
 
 def coverage_relevance(text: Column, query: Column) -> Column:

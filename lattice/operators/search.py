@@ -1,4 +1,4 @@
-"""Keyword search: inverted index, BM25 forms, rank fusion, prefilters and top-k with coverage."""
+"""Result lists: rank fusion, prefilters and top-k with coverage (``pruned`` and ``patterns`` make the lists)."""
 
 from __future__ import annotations
 
@@ -8,58 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def postings(docs: DataFrame, doc_id: str, terms: Column, wanted: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, len) for the terms of ``wanted``, kept before the aggregation; every document is tokenised once.
-
-    ``wanted`` is as large as the queries, not the corpus; Spark broadcasts it where it is small and shuffles where not.
-    The scores of one query read it from one shuffle, which Spark reuses.
-    """
-    tokens = docs.select(doc_id, terms.alias("_terms")).select(doc_id, F.size("_terms").alias("len"), F.explode("_terms").alias("term"))
-    kept = tokens.join(wanted.select("term").distinct(), "term", "left_semi")
-    return kept.groupBy(doc_id, "term", "len").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def totals(docs: DataFrame, length: Column) -> tuple[int, float]:
-    """Number of documents and their mean length in terms."""
-    row = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("avg")).first()
-    return int(row["n"] or 0), float(row["avg"] or 1.0) or 1.0
-
-
-def _weighted(index: DataFrame, queries: DataFrame, n: int, query_id: str) -> DataFrame:
-    """The postings of each query with the idf of their term. The weighted query terms, not the postings, are the side that moves."""
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    return index.join(queries.select(query_id, "term").join(weights, "term"), "term")
-
-
-def unit_recall(index: DataFrame, queries: DataFrame, n: int, avg: float, doc_id: str, query_id: str) -> DataFrame:
-    """(query, doc, score): idf over a damped length for each query term that the document holds; term frequency doesn't count.
-
-    idf = ln(1 + (N - df + .5) / (df + .5)); length norm = max(.2, .25 + .75 * length / mean length).
-    """
-    hits = _weighted(index, queries, n, query_id)
-    norm = F.greatest(F.lit(0.2), 0.25 + 0.75 * F.first("len") / avg)
-    return hits.groupBy(query_id, doc_id).agg(F.round(F.sum("idf") / norm, 6).alias("score"))
-
-
-def okapi(index: DataFrame, queries: DataFrame, n: int, avg: float, doc_id: str, query_id: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query, doc, score) by Okapi BM25."""
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg))
-    return _weighted(index, queries, n, query_id).groupBy(query_id, doc_id).agg(F.round(F.sum(part), 6).alias("score"))
-
-
-def term_hits(index: DataFrame, queries: DataFrame, doc_id: str, query_id: str) -> DataFrame:
-    """(query, doc, score): 10 + min(tf, 5) for each query term in the document."""
-    hits = index.join(queries.select(query_id, "term"), "term")
-    return hits.groupBy(query_id, doc_id).agg(F.sum(10 + F.least("tf", F.lit(5))).cast("long").alias("score"))
-
-
-def scan_top_k(docs: DataFrame, queries: DataFrame, query_id: str, doc_id: str, score: Column, k: int) -> DataFrame:
-    """The k best documents of each query by a score of both texts, above 0: a stated, small query set (broadcast) against all documents, each partition cut to k before the shuffle."""
-    pairs = docs.join(F.broadcast(queries), how="cross").select(query_id, doc_id, score.alias("score")).where("score > 0")
-    return top_k(pairs, [query_id], [F.desc("score"), F.asc(doc_id)], k)
-
-
 def top_k(scored: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group with their rank; Spark cuts every partition to k before it shuffles."""
     w = Window.partitionBy(*group).orderBy(*order)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.catalog import table
 from lattice.functions import text as tx
-from lattice.operators import search
+from lattice.operators import patterns, pruned, search
 from lattice.plans.registry import query
 
 _INDEX = """
@@ -24,17 +24,10 @@ th AS (SELECT item_id, doc_id, sum(10 + least(tf, 5))::BIGINT AS score FROM ix J
 """
 
 
-def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    queries = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(tx.words(F.col("text")))).alias("term"))
-    return search.postings(table(spark, sf_dir, "documents"), "doc_id", tx.words(F.col("text")), queries), queries
-
-
-def _totals(spark: SparkSession, sf_dir: str) -> tuple[int, float]:
-    return search.totals(table(spark, sf_dir, "documents"), F.size(tx.words(F.col("text"))))
-
-
-def _ranked(scored: DataFrame, k: int) -> DataFrame:
-    return search.top_k(scored, ["item_id"], [F.desc("score"), F.asc("doc_id")], k)
+def _searched(spark: SparkSession, sf_dir: str, *schemes: tuple[pruned.Scheme, int]) -> DataFrame:
+    """The best documents of every passage; A-Z, digits and underscores make words."""
+    words = tx.words(F.col("text"))
+    return pruned.top_k(table(spark, sf_dir, "documents"), "doc_id", words, table(spark, sf_dir, "benchmark"), "item_id", words, schemes)
 
 
 @query("hybrid_search_top5", _INDEX + """
@@ -44,17 +37,15 @@ f AS (SELECT item_id, doc_id, round(sum(1 / (60 + rank)), 9) AS fused, min(CASE
       FROM (SELECT item_id, doc_id, rank, 1 AS l FROM a UNION ALL SELECT item_id, doc_id, rank, 2 FROM b) GROUP BY 1, 2)
 SELECT item_id, doc_id, fused, rank_1, rank_2, row_number() OVER (PARTITION BY item_id ORDER BY fused DESC, doc_id) AS rank FROM f QUALIFY rank <= 5""")
 def hybrid_search_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, queries = _inputs(spark, sf_dir)
-    sparse = _ranked(search.unit_recall(index, queries, *_totals(spark, sf_dir), "doc_id", "item_id"), 50)
-    phrase = _ranked(search.term_hits(index, queries, "doc_id", "item_id"), 50)
+    found = _searched(spark, sf_dir, (pruned.UNIT_RECALL, 50), (pruned.TERM_HITS, 50))
+    sparse, phrase = (found.where(F.col("scheme") == s.name) for s in (pruned.UNIT_RECALL, pruned.TERM_HITS))
     fused = search.fuse([sparse, phrase], ["item_id", "doc_id"])
     return search.top_k(fused, ["item_id"], [F.desc("fused"), F.asc("doc_id")], 5)
 
 
 @query("unit_recall_top10", _INDEX + "SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ur QUALIFY rank <= 10")
 def unit_recall_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, queries = _inputs(spark, sf_dir)
-    return _ranked(search.unit_recall(index, queries, *_totals(spark, sf_dir), "doc_id", "item_id"), 10).select("item_id", "doc_id", "score", "rank")
+    return _searched(spark, sf_dir, (pruned.UNIT_RECALL, 10)).select("item_id", "doc_id", "score", "rank")
 
 
 @query("bm25_top10", _INDEX + """
@@ -62,19 +53,17 @@ def unit_recall_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
    FROM ix JOIN qt USING (term) JOIN df USING (term) JOIN ln USING (doc_id), st GROUP BY 1, 2)
 SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ok QUALIFY rank <= 10""")
 def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, queries = _inputs(spark, sf_dir)
-    return _ranked(search.okapi(index, queries, *_totals(spark, sf_dir), "doc_id", "item_id"), 10).select("item_id", "doc_id", "score", "rank")
+    return _searched(spark, sf_dir, (pruned.OKAPI, 10)).select("item_id", "doc_id", "score", "rank")
 
 
 @query("term_hits_top10", _INDEX + "SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM th QUALIFY rank <= 10")
 def term_hits_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, queries = _inputs(spark, sf_dir)
-    return _ranked(search.term_hits(index, queries, "doc_id", "item_id"), 10).select("item_id", "doc_id", "score", "rank")
+    return _searched(spark, sf_dir, (pruned.TERM_HITS, 10)).select("item_id", "doc_id", F.col("score").cast("long").alias("score"), "rank")
 
 
-#: Every passage whose id is divisible by 100 against all documents; sources are the metadata.
+#: Every tenth passage against all documents; sources are the metadata.
 _SCAN = """
-WITH q AS (SELECT item_id, lower(trim(text)) AS q, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS terms FROM benchmark WHERE item_id % 100 = 0),
+WITH q AS (SELECT item_id, lower(trim(text)) AS q, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS terms FROM benchmark WHERE item_id % 10 = 0),
 d AS (SELECT doc_id, text, lower(text) AS c, lower(source) AS m FROM documents),
 s AS (
   SELECT item_id, doc_id, text, (CASE WHEN q <> '' AND contains(c, q) THEN 40 ELSE 0 END + CASE WHEN q <> '' AND contains(m, q) THEN 20 ELSE 0 END
@@ -83,15 +72,14 @@ s AS (
 """
 
 
-def _scan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    q = table(spark, sf_dir, "benchmark").where("item_id % 100 = 0").select("item_id", F.col("text").alias("query"), F.lower(F.trim("text")).alias("q"), F.array_distinct(tx.words(F.col("text"))).alias("terms"))
-    return table(spark, sf_dir, "documents").select("doc_id", "text", F.lower("text").alias("c"), F.lower("source").alias("m")), q
+def _scan(spark: SparkSession, sf_dir: str, **more: Column) -> DataFrame:
+    passages = table(spark, sf_dir, "benchmark").where("item_id % 10 = 0")
+    return patterns.substring_top_k(table(spark, sf_dir, "documents"), "doc_id", F.lower("text"), F.lower("source"), passages, "item_id", F.lower(F.trim("text")), tx.words(F.col("text")), 10, **more)
 
 
 @query("substring_score_top10", _SCAN + "SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 10")
 def substring_score_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = tx.lower_score(F.col("c"), F.col("m"), F.col("q"), F.col("terms")).cast("long")
-    return search.scan_top_k(*_scan(spark, sf_dir), "item_id", "doc_id", score, 10)
+    return _scan(spark, sf_dir).withColumn("score", F.col("score").cast("long"))
 
 
 @query("chunk_relevance_top10", _SCAN + """
@@ -100,8 +88,7 @@ SELECT item_id, doc_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY
 def chunk_relevance_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with an even id stand as nodes."""
     path = F.concat(F.when(F.col("doc_id") % 2 == 0, "node:").otherwise("page:"), "doc_id")
-    score = tx.lower_score(F.col("c"), F.col("m"), F.col("q"), F.col("terms")) + tx.relevance_extra(F.col("text"), path, F.col("query"))
-    return search.scan_top_k(*_scan(spark, sf_dir), "item_id", "doc_id", score, 10)
+    return _scan(spark, sf_dir, bonus=tx.relevance_bonus(F.col("text"), path), flag=F.contains(F.col("text"), F.lit(tx.WHO)), flag_bonus=tx.profile_bonus(F.col("text")))
 
 
 @query("rrf_two_lists", """
