@@ -4,31 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattice.functions import vector as vx
-from lattice.session import cut
 
 #: Rows of one block of a group whose pairs are all compared.
 PAIR_BLOCK = 512
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", query_id: str = "query_id", embedding: str = "embedding") -> DataFrame:
-    """(query, vec, score, rank): exact top k by cosine for each query, however many there are.
-
-    Nothing is collected: a small query set is broadcast by the planner, a large one meets the vectors partition by
-    partition. Every task cuts to k per query before the shuffle.
-    """
-    wanted = queries.select(F.col(query_id).cast("long").alias(query_id), F.col(embedding).alias("_q"))
-    pairs = vectors.select(vec_id, embedding).crossJoin(wanted)
-    scored = pairs.select(query_id, vec_id, F.round(vx.cosine(F.col(embedding), F.col("_q")), 6).alias("score"))
-    w = Window.partitionBy(query_id).orderBy(F.desc("score"), vec_id)
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-
-
 def pair_cosines(rows: DataFrame, key: str, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(key, a, b, cosine) of every ordered pair of different ids of one key; a large group is compared block against block by many tasks."""
     blocks = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("_n"))
@@ -75,46 +59,3 @@ def diversity(rows: DataFrame, keys: Sequence[str], embedding: str) -> DataFrame
 
 def softmax_weight(score: Column, best: Column) -> Column:
     return F.exp(score - best)
-
-
-def char_svd(texts: DataFrame, id_col: str, text_col: str, dims: int = 256, max_features: int = 20_000) -> DataFrame:
-    """(id, embedding): TF-IDF of the 2- to 4-grams of characters, reduced by a singular value decomposition, of length one.
-
-    Term frequency enters as 1 + ln tf, idf as ln((1 + n) / (1 + df)) + 1; the ``max_features`` commonest grams count. Rows are
-    distributed; the driver holds ``dims`` vectors of at most ``max_features``. Signs of the axes are free, as in any such decomposition.
-    """
-    from pyspark.ml.feature import CountVectorizer
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    def grams(n: int) -> Column:
-        return F.when(F.length(text_col) >= n, F.transform(F.sequence(F.lit(1), F.length(text_col) - (n - 1)), lambda i: F.substring(F.col(text_col), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    rows = texts.select(F.col(id_col).alias("_id"), F.concat(*map(grams, (2, 3, 4))).alias("grams"))
-    model = CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=max_features).fit(rows)
-    counted = cut(model.transform(rows).select("_id", "counts"))
-    nonzero = counted.select("_id", F.posexplode(vector_to_array("counts")).alias("at", "tf")).where("tf > 0")
-    n = counted.count()
-    df = nonzero.groupBy("at").agg(F.count(F.lit(1)).alias("df"))
-    weighted = nonzero.join(df, "at").select("_id", "at", ((1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("_id")))
-    cells = weighted.withColumn("w", F.col("w") / norm).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("cells"))
-    size = len(model.vocabulary)
-    cells = cut(cells)
-    matrix = RowMatrix(cells.rdd.map(lambda r: Vectors.sparse(size, [c.at for c in r.cells], [c.w for c in r.cells])), numCols=size)
-    right = matrix.computeSVD(max(1, min(dims, n - 1, size - 1))).V
-    axes = cells.sparkSession.sparkContext.broadcast(right.toArray())
-
-    def project(frames):
-        for f in frames:
-            out = []
-            for row in f["cells"]:
-                v = np.zeros(axes.value.shape[1])
-                for c in row:
-                    v += c["w"] * axes.value[c["at"]]
-                length = np.linalg.norm(v)
-                out.append((v / length if length else v).astype(np.float32))
-            yield pd.DataFrame({id_col: f["_id"], "embedding": out})
-
-    return cells.mapInPandas(project, f"{id_col} {texts.schema[id_col].dataType.simpleString()}, embedding array<float>")

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from lattice.catalog import table
 from lattice.functions import shaping
 from lattice.functions import text as tx
-from lattice.operators import folds, rules, service
+from lattice.operators import folds, reduction, rules, service
 from lattice.plans.registry import query
 
 
@@ -188,6 +188,4 @@ def answers_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("dense_passages")
 def dense_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages as vectors of at most 16 axes."""
-    from lattice.operators.vectors import char_svd
-
-    return char_svd(table(spark, sf_dir, "benchmark"), "item_id", "text", 16, 5000)
+    return reduction.char_svd(table(spark, sf_dir, "benchmark"), "item_id", "text", 16, 5000)

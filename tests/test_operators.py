@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lattice.functions import text as tx
-from lattice.operators import folds, intervals, trees
+from lattice.operators import folds, intervals, nearest, trees
 from lattice.sources import documents as docs
 
 
@@ -86,7 +86,7 @@ def test_nearest_takes_any_number_of_queries(spark):
     from lattice.operators import vectors as vo
 
     v = spark.range(2100).select(F.col("id").alias("vec_id"), F.array(F.cos("id"), F.sin("id")).alias("embedding"))
-    rows = vo.nearest(v, v.select(F.col("vec_id").alias("query_id"), "embedding"), 1)
+    rows = nearest.exact(v, v.select(F.col("vec_id").alias("query_id"), "embedding"), 1)
     assert rows.count() == 2100 and rows.where("score < 1").count() == 0
 
 

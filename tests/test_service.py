@@ -3,12 +3,14 @@
 import io
 import random
 import zipfile
-from collections import deque
+from collections import Counter, deque
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lattice.operators import folds, rules, service, trees, vectors
+from lattice.operators import folds, pruned, reduction, rules, service, trees
+from lattice.plans import registry
 from lattice.sources import documents as docs
 from lattice.sources import office
 
@@ -78,7 +80,7 @@ def test_rejected_rows_stay_beside_the_table(spark, tmp_path):
 
 def test_char_svd_against_numpy(spark):
     texts = ["the cat sat", "the cat sits", "a dog barked", "dogs bark at cats", "zz"]
-    rows = vectors.char_svd(spark.createDataFrame(list(enumerate(texts)), "i long, t string"), "i", "t", 3, 1000).collect()
+    rows = reduction.char_svd(spark.createDataFrame(list(enumerate(texts)), "i long, t string"), "i", "t", 3, 1000).collect()
     found = np.array([r.embedding for r in sorted(rows)])
     grams = [[t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)] for t in texts]
     vocabulary = sorted({g for x in grams for g in x})
@@ -89,6 +91,32 @@ def test_char_svd_against_numpy(spark):
     plain = m @ right
     plain /= np.linalg.norm(plain, axis=1, keepdims=True)
     assert np.allclose(found @ found.T, plain @ plain.T, atol=1e-5)
+    assert np.allclose(np.abs((found * plain).sum(0)), (plain * plain).sum(0), atol=1e-5)  # the same axes up to sign
+
+
+def test_axes_of_passages_against_numpy(spark, sf_dir):
+    """The registered query's table: singular values and leading axes up to sign, and rows of length one."""
+    docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    texts = {r.item_id: r.text for r in docs.collect()}
+    counts = {i: Counter(t[k : k + n] for n in (2, 3, 4) for k in range(len(t) - n + 1)) for i, t in texts.items()}
+    total = sum(counts.values(), Counter())
+    vocabulary = [g for g, _ in sorted(total.items(), key=lambda x: (-x[1], x[0].encode()))[:5000]]
+    m = np.array([[1 + np.log(c[g]) if g in c else 0.0 for g in vocabulary] for c in counts.values()])
+    m *= np.log((1 + len(texts)) / (1 + (m > 0).sum(0))) + 1
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    values, right = np.linalg.svd(m, full_matrices=False)[1:]
+    index = pruned.build(docs, "item_id", reduction.character_grams(F.col("text")), pa.array(vocabulary))
+    axes, found = reduction.right_vectors(index, np.log((1 + index.n) / (1 + index.frequency)) + 1, 16, rounds=12)
+    assert np.allclose(found[:8], values[:8], rtol=1e-3)
+    assert all(abs(axes[:, k] @ right[k]) > 0.999 for k in range(3))
+    rows = registry.queries()["dense_passages"](spark, sf_dir).collect()
+    assert sorted(r.item_id for r in rows) == sorted(texts) and all(len(r.embedding) == 16 and abs(np.linalg.norm(r.embedding) - 1) < 1e-5 for r in rows)
+
+
+def test_char_svd_of_nothing(spark):
+    nothing = spark.createDataFrame([(1, None), (2, ""), (3, "a")], "i long, t string")
+    assert [list(r.embedding) for r in reduction.char_svd(nothing, "i", "t", 3).collect()] == [[0.0]] * 3
+    assert reduction.char_svd(nothing.limit(0), "i", "t", 3).count() == 0
 
 
 def test_deep_chains_and_cycles(spark):
