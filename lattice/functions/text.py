@@ -23,8 +23,12 @@ def _grams_of(run: Column, sizes: tuple[int, ...]) -> Column:
     return F.concat(*map(grams, sizes))
 
 
-def query_terms(text: Column, stop: tuple[str, ...] = ()) -> Column:
-    """Sorted distinct terms of a query: words, Chinese runs of at most 8 characters whole, and their 2- to 4-grams."""
+# Words that ask and don't name anything.
+STOP_WORDS = ("是谁", "什么", "怎么", "如何", "以及", "一个", "这个", "那个", "请问")
+
+
+def query_terms(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    """Sorted distinct terms of a query without stop words: words, Chinese runs of at most 8 characters whole, and their 2- to 4-grams."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(f"[{_CJK}]+"), F.lit(0))
     short = F.filter(runs, lambda r: F.length(r) <= 8)
     grams = F.flatten(F.transform(runs, lambda r: _grams_of(r, (2, 3, 4))))

@@ -76,6 +76,8 @@ TOC = (
     "(?i)^\\s*(目录|contents)\\s*$", "(?:[.…·•。．\\s]{3,}|\\t+)\\s*\\d{1,4}\\s*$", "\\.{2,}\\s*\\d{1,4}$",
     f"(?i)^\\s*(chapter\\s*\\d+|第[{_NUMERALS}0-9]+[章节篇]|[（(]?[{_NUMERALS}0-9]+[)）]|\\d+[、.．]).{{0,64}}\\d{{1,4}}$",
 )
+# Fixed pattern: two blanks or dots before the page number, in lines of so many characters at most.
+SHORT_TOC = ("[·•\\s]{2,}\\d{1,4}$", 80)
 FIGURE = "(?i)^\\s*((图表|图|表)\\s*\\d|(figure|fig\\.?|table)\\s*\\d+)"
 
 
@@ -94,9 +96,10 @@ def weak_heading_level(line: Column) -> Column:
 
 
 def toc_entry(line: Column) -> Column:
-    out = F.lit(False)
+    t = F.trim(line)
+    out = (F.length(t) <= SHORT_TOC[1]) & t.rlike(SHORT_TOC[0])
     for p in TOC:
-        out = out | F.trim(line).rlike(p)
+        out = out | t.rlike(p)
     return out
 
 

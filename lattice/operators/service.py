@@ -19,7 +19,7 @@ def request_error(mode: Column, top_k: Column, n_ids: Column, tokens: Column, ma
         F.when(mode == "keyword", error(501, "MODE_NOT_IMPLEMENTED"))
         .when(top_k > max_top_k, error(422, "INVALID_TOP_K"))
         .when(n_ids > max_ids, error(422, "TOO_MANY_DOCUMENT_IDS"))
-        .when(~wanted.between(least, most), error(422, "INVALID_TOKEN_BUDGET"))
+        .when(~wanted.between(least, most), error(422, "INVALID_RETURN_TOKEN_BUDGET"))
     )
 
 

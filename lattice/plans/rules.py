@@ -65,14 +65,30 @@ def weak_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count("level").alias("headings"), F.count_if("toc").alias("toc_lines"), F.count_if("figure").alias("figures"), F.count(F.lit(1)).alias("lines"))
 
 
+@query("contents_lines", """
+WITH l AS (SELECT doc_id, source || CASE doc_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN ' ' WHEN 2 THEN ' ... ' WHEN 3 THEN '·•' ELSE repeat(' chapter', 10) || '  ' END || (doc_id % 1000)::VARCHAR AS line FROM documents)
+SELECT doc_id, line, (length(line) <= 80 AND regexp_matches(line, '[·•\\s]{2,}\\d{1,4}$')) OR regexp_matches(line, '[.…·•。．\\s]{3,}\\s*\\d{1,4}$') AS entry FROM l""")
+def contents_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources and numbers as lines of a table of contents: two blanks, one, dots, middle dots, and two blanks in a long line."""
+    kind = F.col("doc_id") % 5
+    gap = F.when(kind == 0, "  ").when(kind == 1, " ").when(kind == 2, " ... ").when(kind == 3, "·•").otherwise(" chapter" * 10 + "  ")
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", gap, (F.col("doc_id") % 1000).cast("string")).alias("line"))
+    return lines.select("doc_id", "line", rules.toc_entry(F.col("line")).alias("entry"))
+
+
 @query("heading_levels", """
-WITH r AS (SELECT user_id, event_id, ts, length(event_type) AS l FROM events), d AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY l) AS k FROM r),
-t AS (SELECT user_id, list(k ORDER BY ts, event_id) AS ks FROM d GROUP BY 1)
-SELECT user_id, array_to_string(list_transform(ks, lambda k: k), ',') AS packed, len(ks) AS n FROM t""")
+WITH RECURSIVE r AS (SELECT user_id, event_id * 7 % 9 + 1 AS l, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+d AS (SELECT user_id, i, dense_rank() OVER (PARTITION BY user_id ORDER BY l) AS k FROM r),
+w AS (
+  SELECT user_id, i, least(k, 2, 6) AS level FROM d WHERE i = 1
+  UNION ALL SELECT d.user_id, d.i, least(d.k, w.level + 1, 6) FROM w JOIN d ON d.user_id = w.user_id AND d.i = w.i + 1)
+SELECT user_id, string_agg(level::VARCHAR, ',' ORDER BY i) AS packed, count(*) AS n FROM w GROUP BY 1""")
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.length("event_type").alias("l")))), lambda s: s["l"]).alias("ls"))
-    ranks = F.array_sort(F.array_distinct("ls"))
-    return rows.select("user_id", F.array_join(F.transform("ls", lambda v: F.array_position(ranks, v).cast("string")), ",").alias("packed"), F.size("ls").cast("long").alias("n"))
+    """Numbers from 1 to 9 as raw levels: some are packed, jumps are cut, six is the deepest."""
+    item = F.struct("ts", "event_id", (F.col("event_id") * 7 % 9 + 1).cast("int").alias("l"))
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
+    packed = rows.select("user_id", rules.normal_levels(F.col("s.l")).alias("levels"))
+    return packed.select("user_id", F.array_join(F.transform("levels", lambda v: v.cast("string")), ",").alias("packed"), F.size("levels").cast("long").alias("n"))
 
 
 @query("document_routing")

@@ -16,7 +16,7 @@ from lattice.plans.registry import query
 @query("request_validation", """
 WITH r AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'keyword' ELSE 'hybrid' END AS mode, o_custkey % 60 AS top_k, o_orderkey % 600 AS n, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice::BIGINT // 8 END AS tokens FROM orders)
 SELECT o_orderkey, CASE WHEN mode = 'keyword' THEN 501 WHEN top_k > 50 OR n > 500 OR coalesce(nullif(tokens, 0), 8000) NOT BETWEEN 500 AND 32000 THEN 422 END AS status,
-  CASE WHEN mode = 'keyword' THEN 'MODE_NOT_IMPLEMENTED' WHEN top_k > 50 THEN 'INVALID_TOP_K' WHEN n > 500 THEN 'TOO_MANY_DOCUMENT_IDS' WHEN coalesce(nullif(tokens, 0), 8000) NOT BETWEEN 500 AND 32000 THEN 'INVALID_TOKEN_BUDGET' END AS code FROM r""")
+  CASE WHEN mode = 'keyword' THEN 'MODE_NOT_IMPLEMENTED' WHEN top_k > 50 THEN 'INVALID_TOP_K' WHEN n > 500 THEN 'TOO_MANY_DOCUMENT_IDS' WHEN coalesce(nullif(tokens, 0), 8000) NOT BETWEEN 500 AND 32000 THEN 'INVALID_RETURN_TOKEN_BUDGET' END AS code FROM r""")
 def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     mode = F.when(F.col("o_orderstatus") == "P", "keyword").otherwise("hybrid")
@@ -138,8 +138,8 @@ def paced_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH t AS (SELECT doc_id, list_distinct(list_concat(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: x <> ''), ['检索系统', '检索', '索系', '系统', '检索系', '索系统'])) AS t FROM documents)
 SELECT doc_id, len(t) AS n_terms, list_min(t) AS first_term, len(list_filter(t, lambda x: length(x) = 2)) AS n_pairs FROM t""")
 def query_term_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query terms of every document with a run of ideographs behind it."""
-    t = table(spark, sf_dir, "documents").select("doc_id", tx.query_terms(F.concat("text", F.lit(" 检索系统"))).alias("t"))
+    """Query terms of every document with runs of ideographs behind it, stop words among them."""
+    t = table(spark, sf_dir, "documents").select("doc_id", tx.query_terms(F.concat("text", F.lit(" 请问 检索系统 什么"))).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.element_at("t", 1).alias("first_term"), F.size(F.filter("t", lambda x: F.length(x) == 2)).cast("long").alias("n_pairs"))
 
 

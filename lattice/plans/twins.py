@@ -194,7 +194,7 @@ h AS (
       OR regexp_matches(t, '^[一二三四五六七八九十百千万零〇两]+[、.．]\\s*\\S.{0,59}$') OR regexp_matches(t, '^[（(]\\s*[一二三四五六七八九十百千万零〇两]+\\s*[）)]\\s*\\S.{0,59}$')
       OR regexp_matches(t, '^\\d{1,2}\\.\\d{1,2}(\\.\\d{1,2})?\\s+\\S.{0,59}$') OR regexp_matches(t, '^\\d{1,2}[、．]\\s*\\S.{0,59}$') OR regexp_matches(t, '^\\d{1,2}\\.(\\s+\\S|[^\\s%\\d]).{0,59}$')) AS heading,
     regexp_matches(t, '(?i)^\\s*(目录|contents)\\s*$') OR regexp_matches(t, '(?:[.…·•。．\\s]{3,}|\\t+)\\s*\\d{1,4}\\s*$') OR regexp_matches(t, '\\.{2,}\\s*\\d{1,4}$')
-      OR regexp_matches(t, '(?i)^\\s*(chapter\\s*\\d+|第[一二三四五六七八九十百千万零〇两0-9]+[章节篇]|[（(]?[一二三四五六七八九十百千万零〇两0-9]+[)）]|\\d+[、.．]).{0,64}\\d{1,4}$') AS toc,
+      OR regexp_matches(t, '(?i)^\\s*(chapter\\s*\\d+|第[一二三四五六七八九十百千万零〇两0-9]+[章节篇]|[（(]?[一二三四五六七八九十百千万零〇两0-9]+[)）]|\\d+[、.．]).{0,64}\\d{1,4}$') OR (length(t) <= 80 AND regexp_matches(t, '[·•\\s]{2,}\\d{1,4}$')) AS toc,
     regexp_matches(line, '(?i)^\\s*((图表|图|表)\\s*\\d|(figure|fig\\.?|table)\\s*\\d+)') AS figure
   FROM t)
 SELECT doc_id, count(*) FILTER (WHERE heading) AS headings, count(*) FILTER (WHERE toc) AS toc_lines, count(*) FILTER (WHERE figure) AS figures, count(*) AS lines FROM h GROUP BY 1""",
