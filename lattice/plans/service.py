@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from lattice.catalog import table
 from lattice.functions import shaping
 from lattice.functions import text as tx
-from lattice.operators import folds, reduction, rules, service
+from lattice.operators import folds, reduction, rules, service, tables
 from lattice.plans.registry import query
 
 
@@ -95,6 +95,21 @@ def continued_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service.continued_tables(tables).withColumn("chain", F.col("chain").cast("long"))
 
 
+@query("joined_tables", """
+WITH t AS (SELECT l_orderkey, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem)
+SELECT l_orderkey AS doc_id, 1::BIGINT AS position, max(n) AS last_position, count(*) + 1 AS n_rows,
+  '<table><tr><th>Line</th><th>Flag</th></tr>' || string_agg('<tr>' || CASE WHEN n % 2 = 1 THEN '<td rowspan="2">' || n || '</td>' ELSE '' END || '<td>' || f || '</td></tr>', '' ORDER BY n) || '</table>' AS html
+FROM t GROUP BY 1""")
+def joined_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line of an order as a table on a page of its own under a repeated header; the cell of every odd line spans the page break."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(w).cast("long").alias("position"), "l_returnflag")
+    first = F.when(F.col("position") % 2 == 1, F.concat(F.lit('<td rowspan="2">'), F.col("position").cast("string"), F.lit("</td>"))).otherwise("")
+    html = F.concat(F.lit("<table><tr><th>Line</th><th>Flag</th></tr><tr>"), first, F.lit("<td>"), "l_returnflag", F.lit("</td></tr></table>"))
+    pages = lines.select("doc_id", "position", F.col("position").alias("page"), F.lit(0.0).alias("x0"), F.lit(100.0).alias("x1"), html.alias("html"), F.lit(None).cast("string").alias("caption"), F.lit(0).alias("footnotes"))
+    return tables.joined_tables(pages)
+
+
 @query("reading_order")
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of a page in the order of recursive cuts."""
