@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Container, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -75,25 +75,34 @@ def _starts(batch: pa.RecordBatch, keys: Sequence[str]) -> tuple[list[int], tupl
     return [i for i, k in enumerate(columns) if i == 0 or k != columns[i - 1]], columns[-1]
 
 
+def bucket_step(state: tuple | None, t: float, per_minute: float, burst: float) -> tuple[tuple, bool]:
+    """(tokens, time) after a request, and whether it passes."""
+    tokens, last = state or (burst, t)
+    tokens = min(burst, tokens + (t - last) * per_minute / 60)
+    return (tokens - (tokens >= 1), t), tokens >= 1
+
+
 def token_bucket(times: Sequence[float], per_minute: float, burst: float) -> list[bool]:
     """Which requests pass: the bucket refills per_minute / 60 a second up to ``burst``, a pass takes one."""
-    tokens, last, out = burst, None, []
+    state, out = None, []
     for t in times:
-        if last is not None:
-            tokens = min(burst, tokens + (t - last) * per_minute / 60)
-        last = t
-        out.append(tokens >= 1)
-        tokens -= out[-1]
+        state, allowed = bucket_step(state, t, per_minute, burst)
+        out.append(allowed)
     return out
 
 
+def throttle_step(last: tuple | None, t: float, status: str, progress: float, end: Container[str], step: float, interval: float) -> tuple[tuple, bool]:
+    """The last written update after this one, and whether this one is written."""
+    write = last is None or status in end or status != last[1] or abs(progress - last[2]) >= step or t - last[0] >= interval
+    return ((t, status, progress) if write else last), write
+
+
 def throttle(times: Sequence[float], status: Sequence[str], progress: Sequence[float], terminal: Iterable[str], step: float = 5, interval: float = 2) -> list[bool]:
     """Which updates are written: the first, terminal ones, changes of status, progress steps, or after the interval."""
     end, out, last = set(terminal), [], None
     for t, s, p in zip(times, status, progress, strict=True):
-        write = last is None or s in end or s != last[1] or abs(p - last[2]) >= step or t - last[0] >= interval
+        last, write = throttle_step(last, t, s, p, end, step, interval)
         out.append(write)
-        last = (t, s, p) if write else last
     return out
 
 
@@ -106,23 +115,27 @@ def legal(before: str | None, after: str) -> bool:
     return after == "queued" if before is None else after in TRANSITIONS.get(before, set()) or (after == "failed" and before not in FINAL)
 
 
+def circuit_step(state: tuple | None, t: float, good: bool, counted: bool, threshold: int, recovery: float) -> tuple[tuple, str]:
+    """(failures, time of opening or -1) after a call, and the state in which it is answered."""
+    failures, opened = state or (0, -1.0)
+    if opened >= 0 and t - opened < recovery:
+        return (failures, opened), "open"
+    answer = "closed" if opened < 0 else "half_open"
+    if good:
+        return (0, -1.0), answer
+    failures += counted
+    return (failures, float(t) if opened >= 0 or failures >= threshold else -1.0), answer
+
+
 def circuit(times: Sequence[float], ok: Sequence[bool], threshold: int = 3, recovery: float = 30.0, counted: Sequence[bool] | None = None) -> list[str]:
     """State in which each call is answered: closed, open (refused) or half_open (the probe). A failed probe opens again.
 
     A failure that is not ``counted`` leaves the count as it is (as a probe it still opens again).
     """
-    out, failures, opened = [], 0, None
+    out, state = [], None
     for i, (t, good) in enumerate(zip(times, ok, strict=True)):
-        if opened is not None and t - opened < recovery:
-            out.append("open")
-            continue
-        out.append("closed" if opened is None else "half_open")
-        if good:
-            failures, opened = 0, None
-        else:
-            failures += counted is None or counted[i]
-            if opened is not None or failures >= threshold:
-                opened = t
+        state, answer = circuit_step(state, t, good, counted is None or bool(counted[i]), threshold, recovery)
+        out.append(answer)
     return out
 
 

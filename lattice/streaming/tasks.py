@@ -98,14 +98,11 @@ def rate_limited(events: DataFrame, per_minute: float, burst: float, key: str =
 
     def advance(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = _sorted(frames)
-        tokens, last = state.get if state.exists else (burst, None)
-        allowed = []
+        held, allowed = state.get if state.exists else None, []
         for t in rows.t:
-            tokens = burst if last is None else min(burst, tokens + (t - last) * per_minute / 60)
-            last = float(t)
-            allowed.append(bool(tokens >= 1))
-            tokens -= allowed[-1]
-        state.update((float(tokens), last))
+            held, passes = folds.bucket_step(held, float(t), per_minute, burst)
+            allowed.append(bool(passes))
+        state.update((float(held[0]), held[1]))
         yield pd.DataFrame({key: k[0], "event_id": rows.event_id, "allowed": allowed})
 
     kind = events.schema[key].dataType.simpleString()
@@ -113,24 +110,16 @@ def rate_limited(events: DataFrame, per_minute: float, burst: float, key: str =
 
 
 def breaker(events: DataFrame, threshold: int = 3, recovery: float = 30.0, key: str = "user_id") -> DataFrame:
-    """(key, event_id, state) of a circuit breaker for each key. Input: key, event_id, t (seconds), ok."""
+    """(key, event_id, state) of a circuit breaker for each key. Input: key, event_id, t (seconds), ok and, if failures may not count, counted."""
 
     def advance(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = _sorted(frames)
-        failures, opened = state.get if state.exists else (0, -1.0)
-        opened = None if opened < 0 else opened
-        out = []
-        for t, good in zip(rows.t, rows.ok, strict=True):
-            if opened is not None and t - opened < recovery:
-                out.append("open")
-                continue
-            out.append("closed" if opened is None else "half_open")
-            if good:
-                failures, opened = 0, None
-            else:
-                failures += 1
-                opened = float(t) if opened is not None or failures >= threshold else None
-        state.update((failures, -1.0 if opened is None else opened))
+        held, out = state.get if state.exists else None, []
+        counted = rows.counted if "counted" in rows else [True] * len(rows)
+        for t, good, counts in zip(rows.t, rows.ok, counted, strict=True):
+            held, answer = folds.circuit_step(held, float(t), bool(good), bool(counts), threshold, recovery)
+            out.append(answer)
+        state.update((int(held[0]), float(held[1])))
         yield pd.DataFrame({key: k[0], "event_id": rows.event_id, "state": out})
 
     kind = events.schema[key].dataType.simpleString()
