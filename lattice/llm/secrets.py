@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +19,8 @@ from lattice.llm.common import map_arrow, slices
 KINDS = ("assign", "access", "hex", "random")
 #: Strings of each alphabet that are generated as labelled random samples, beside those that the corpus labels.
 GENERATED = 2000
+#: Mean log-likelihood ratio a character, in nats, from which on a string counts as random.
+THRESHOLD = 0.7
 
 
 def _either_case(word: str) -> str:
@@ -61,25 +63,25 @@ def pair_counts(strings: list[str]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LikelihoodRatio:
-    """log P(next | previous) under random strings less that under ordinary identifiers."""
+    """log P(next | previous) under random strings less that under each kind of ordinary identifiers."""
 
     weights: np.ndarray
     threshold: float
 
     @classmethod
-    def fit(cls, random_counts: np.ndarray, ordinary_counts: np.ndarray, threshold: float) -> LikelihoodRatio:
+    def fit(cls, random_counts: np.ndarray, *ordinary_counts: np.ndarray, threshold: float) -> LikelihoodRatio:
         def log_probability(counts: np.ndarray) -> np.ndarray:
             square = counts.reshape(_SIZE, _SIZE).astype(float)
             unigram = (square.sum(0) + 1.0) / (square.sum() + _SIZE)
             # a row backs off to the unigram by ten virtual counts
             return np.log((square + 10.0 * unigram) / (square.sum(1, keepdims=True) + 10.0))
 
-        return cls(log_probability(random_counts) - log_probability(ordinary_counts), threshold)
+        return cls(np.stack([log_probability(random_counts) - log_probability(c) for c in ordinary_counts]), threshold)
 
     def score(self, value: str) -> float:
-        """Mean log-likelihood ratio a character of a string over the alphabet."""
+        """Mean log-likelihood ratio a character of a string over the alphabet, against the kind that explains it best."""
         classes = _CLASS[np.frombuffer(("\n" + value + "\n").encode("ascii"), np.uint8)]
-        return float(self.weights[classes[:-1], classes[1:]].sum() / len(value))
+        return float(self.weights[:, classes[:-1], classes[1:]].sum(1).min() / len(value))
 
 
 def generated_samples(n: int = GENERATED, seed: int = 5) -> list[str]:
@@ -89,9 +91,41 @@ def generated_samples(n: int = GENERATED, seed: int = 5) -> list[str]:
     return ["".join(rng.choices(a, k=rng.randint(16, 48))) for a in alphabets for _ in range(n)]
 
 
-def train(docs: DataFrame, threshold: float = 1.0, text_col: str = "text") -> LikelihoodRatio:
+#: Words that names in programs, paths and addresses are put together from.
+NAME_WORDS = (
+    "account action active add address admin agent alert all api app apply array asset async auth author auto back base batch bean block body book boot border bottom box branch brand build bundle button by cache call case "
+    "category cell change channel check child city class clean clear click client clone close cloud cluster code color column comment common complete component config connect content context control cookie copy core count "
+    "country create current customer daily data date day debug default delete demo detail device dir disk display doc document down draft driver edit element email empty enable end engine entity entry error event export "
+    "factory file filter find first font footer form format from front full function get global graph grid group handle hash header help history home host hour html icon id image import index info init input insert install "
+    "instance internal is item java job join key label lang last layout left level lib library line link linux list load local log login main make manager map master max media menu message method min mobile mode model month "
+    "name native net new next node note number object on open option order output owner package page panel parent parse part path payment people phone photo plan player policy pool position post price print private process "
+    "product profile project proxy public query queue read record ref region register release remote remove render report request reset resource response result return right role root route rule run sample save schema screen "
+    "script search section select send server service session set share shop show simple single site size sort source spec stack start state static status step stop storage store stream string style submit success system tab "
+    "table tag target task team temp template test text theme thread time title to tool top total track tree type update upload url user util valid value var vector version video view visible web widget window work worker wrapper write year zone"
+).split()
+
+
+def ordinary_samples(n: int = 4 * GENERATED, seed: int = 6, words: Sequence[str] = NAME_WORDS) -> list[str]:
+    """Labelled ordinary identifiers: camel, snake and kebab case, constants, paths, addresses, assignments, names with numbers, dates and versions."""
+    rng = random.Random(seed)
+
+    def pick(most: int) -> list[str]:
+        return [rng.choice(words) for _ in range(rng.randint(2, most))]
+
+    number = lambda: str(rng.randrange(10 ** rng.randint(1, 4)))
+    forms = (
+        lambda: "".join(w if i == 0 else w.capitalize() for i, w in enumerate(pick(6))), lambda: "".join(w.capitalize() for w in pick(6)), lambda: "_".join(pick(6)), lambda: "_".join(pick(6)).upper(),
+        lambda: "-".join(pick(6)), lambda: "/" + "/".join(pick(7)), lambda: "/".join(pick(7)), lambda: "/".join([*pick(5), number()]), lambda: "/".join([*pick(4), f"{rng.randint(1990, 2030)}", f"{rng.randint(1, 12):02}"]),
+        lambda: "/".join("-".join(pick(3)) for _ in range(rng.randint(2, 4))), lambda: "/".join("_".join(pick(3)) for _ in range(rng.randint(2, 4))), lambda: "/".join([*pick(4), "".join(w.capitalize() for w in pick(4))]),
+        lambda: "_".join([*pick(5), number()]), lambda: f"{'-'.join(pick(4))}-{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", lambda: f"{rng.choice(words)}={'_'.join(pick(4))}",
+        lambda: "".join(w if i == 0 else w.capitalize() for i, w in enumerate(pick(4))) + number(), lambda: "".join(pick(5)),
+    )
+    return [rng.choice(forms)() for _ in range(n)]
+
+
+def train(docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> LikelihoodRatio:
     """Count character pairs of the whole corpus: the secrets of the fixed patterns and generated strings are the
-    random samples, all other identifiers the ordinary ones. Every task returns the cells it has seen; the sums are
+    random samples, all other identifiers are one kind of ordinary ones, put-together names the other. Every task returns the cells it has seen; the sums are
     two matrices of a fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +155,7 @@ def train(docs: DataFrame, threshold: float = 1.0, text_col: str = "text") -> Li
     for row in counts.collect():  # at most two matrices of _SIZE x _SIZE cells
         both[row.label, row.cell] = row.n
     both[0] += pair_counts(generated_samples())
-    return LikelihoodRatio.fit(both[0], both[1], threshold)
+    return LikelihoodRatio.fit(both[0], both[1], pair_counts(ordinary_samples()), threshold=threshold)
 
 
 def model_spans(text: str, base: list[tuple[int, int, int, str]], model: LikelihoodRatio) -> list[tuple[int, int, int, str]]:
