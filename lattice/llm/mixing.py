@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lattice.llm.common import bound_batches
 
 #: Sources that are not named share one weight under this name.
+#: Copies of a document that one array numbers.
+COPY_BLOCK = 1_000_000
 OTHER = "*"
 #: The largest number of sources that may be named: it bounds the rate table.
 MAX_NAMED = 10_000
@@ -133,7 +135,10 @@ def mix_sources(
             yield pd.Series(out)
 
     rows = rows.withColumn("copies", counted("rate", uniform(seed, "count", F.col("ident")))).where("copies > 0")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    # blocks first: one array of all copies of a document would have no bound
+    block = F.lit(COPY_BLOCK).cast("long")
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / block))))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("block") * block + 1, F.least(F.col("copies"), (F.col("block") + 1) * block))))
     rows = rows.withColumn("key", uniform(seed, "place", F.col("ident"), F.col("copy").cast("string")))
     out = rows.repartition(F.col("key")).sortWithinPartitions("key")
     return out.select(*(F.col(name[c]).alias(c) for c in own), *(F.col(x).alias(f"{prefix}{x}") for x in ("bucket", "rate", "copies", "copy", "key")))

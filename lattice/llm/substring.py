@@ -255,7 +255,6 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
     out = T.StructType([picked.schema["doc_id"], *(T.StructField(n, k) for n, k in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())))])
     out = out if keep_text else T.StructType(out.fields[:-1])
-    id_type = pa.int64() if picked.schema["doc_id"].dataType == T.LongType() else pa.int32()
     blank = F.coalesce(F.col("text"), F.lit("")) == ""
     texts = picked.where(~blank).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("long"))
     held = texts.groupBy("bucket")
@@ -332,7 +331,7 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
             digests.append(hashlib.sha256(kept).hexdigest())
             if keep_text:
                 texts_kept.append(kept.decode())
-        columns = [table.column("doc_id").cast(id_type), pa.array(np.diff(bucket.first), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts_kept, pa.string())]
+        columns = [table.column("doc_id"), pa.array(np.diff(bucket.first), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts_kept, pa.string())]
         release()
         return pa.table(columns[: len(out.names)], names=out.names)
 

@@ -214,3 +214,15 @@ def test_pieces_of_one_document_spread(spark):
     docs = spark.createDataFrame([(1, text)] * 3, "doc_id long, text string")
     rows = packing.pack_documents(docs).collect()
     assert sum(r.length for r in rows) == 3 * rows[0].doc_tokens
+
+
+def test_short_ids_and_many_copies(spark, monkeypatch):
+    """Ids of any integer type; copies are numbered whatever the size of the blocks they are made in."""
+    rows = [(i, "x " * 5 + "one two three four five six seven eight nine ten eleven twelve thirteen") for i in range(3)]
+    for kind in ("byte", "short", "int", "long"):
+        got = substring.deduplicate_substrings(spark.createDataFrame(rows, f"doc_id {kind}, text string"))
+        assert sorted((r.doc_id, r.n_removed) for r in got.collect()) == [(0, 0), (1, 18), (2, 18)]
+    docs = spark.createDataFrame([(i, "a", "word " * 20) for i in range(6)], "doc_id long, source string, text string")
+    whole = sorted((r.doc_id, r.mix_copy) for r in mixing.mix_sources(docs, {"a": 1.0}, total_factor=9.0).collect())
+    monkeypatch.setattr(mixing, "COPY_BLOCK", 4)
+    assert sorted((r.doc_id, r.mix_copy) for r in mixing.mix_sources(docs, {"a": 1.0}, total_factor=9.0).collect()) == whole and max(c for _, c in whole) > 8
