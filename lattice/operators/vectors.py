@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattice.functions import vector as vx
+from lattice.session import cut
 
 #: Rows of one block of a group whose pairs are all compared.
 PAIR_BLOCK = 512
@@ -59,3 +60,31 @@ def diversity(rows: DataFrame, keys: Sequence[str], embedding: str) -> DataFrame
 
 def softmax_weight(score: Column, best: Column) -> Column:
     return F.exp(score - best)
+
+
+def representatives(rows: DataFrame, key: str, row_id: str, embedding: str, k: int, importance: Column | None = None, w_generic: float = 0.3, w_similar: float = 0.5) -> DataFrame:
+    """(key, row_id, position): k rows of each key, chosen one after the other by importance less genericness less the largest similarity to those chosen.
+
+    Genericness is the mean similarity to the others of the key, in closed form; each round compares every row with the vectors
+    chosen so far and takes one maximum a key, so no task holds a key. Ties go to the least id; ids are numbers without
+    repeats in a key.
+    """
+    unit = rows.select(key, row_id, vx.normalised(F.col(embedding)).alias("_u"), (F.lit(1.0) if importance is None else importance).alias("_i"))
+    sums = unit.select(key, F.posexplode("_u").alias("_pos", "_x")).groupBy(key, "_pos").agg(F.sum("_x").alias("_s"))
+    total = sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_s"))), lambda s: s["_s"]).alias("_t"))
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    base = cut(unit.join(total.join(n, key), key).select(key, row_id, "_u", (F.col("_i") - w_generic * (vx.dot(F.col("_u"), F.col("_t")) - 1) / F.col("_n")).alias("_base")))
+    none = F.array().cast(f"array<{rows.schema[row_id].dataType.simpleString()}>")
+    chosen = n.select(key, none.alias("_ids"), F.array().cast("array<array<double>>").alias("_us"))
+    for _ in range(k):
+        open_ = base.join(chosen, key).where(~F.array_contains("_ids", F.col(row_id)))
+        nearest = F.aggregate("_us", F.lit(0.0), lambda best, v: F.greatest(best, vx.dot(F.col("_u"), v)))
+        score = F.round(F.col("_base") - w_similar * nearest, 9)
+        best = open_.groupBy(key).agg(F.max_by(F.struct(F.col(row_id).alias("_id"), "_u"), F.struct(score.alias("s"), (-F.col(row_id)).alias("o"))).alias("_best"))
+        grown = chosen.join(best, key, "left").select(
+            key,
+            F.when(F.col("_best").isNull(), F.col("_ids")).otherwise(F.concat("_ids", F.array("_best._id"))).alias("_ids"),
+            F.when(F.col("_best").isNull(), F.col("_us")).otherwise(F.concat("_us", F.array("_best._u"))).alias("_us"),
+        )
+        chosen = cut(grown)
+    return chosen.select(key, F.posexplode("_ids").alias("_at", row_id)).select(key, row_id, (F.col("_at") + 1).cast("long").alias("position"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lattice.catalog import table
-from lattice.operators import folds
+from lattice.operators import folds, vectors
 from lattice.plans.registry import query
 
 
@@ -89,11 +88,7 @@ def budget_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mmr_representatives")
 def mmr_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def step(p: pd.DataFrame) -> pd.DataFrame:
-        chosen = folds.mmr(np.array(p.embedding.tolist(), float), np.ones(len(p)), 5)
-        return p.loc[chosen, ["label", "vec_id"]].assign(position=range(1, len(chosen) + 1))
-
-    return folds.fold(table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), ["label"], ["vec_id"], step, "label int, vec_id long, position long")
+    return vectors.representatives(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 5)
 
 
 @query("utterance_units")

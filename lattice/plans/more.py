@@ -121,6 +121,25 @@ def tree_rebuild_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("r_regionkey", F.posexplode("nodes").alias("sibling_order", "node")).select("r_regionkey", "node.n_nationkey", F.col("sibling_order").cast("long").alias("sibling_order"), F.col("node.n_name").alias("title"))
 
 
+@query("nested_trees", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+k AS (SELECT * FROM e WHERE event_type <> 'error'),
+r AS (
+  SELECT user_id, i, event_type, 1 AS level FROM k WHERE i <= 2
+  UNION ALL SELECT k.user_id, k.i, k.event_type, r.level + 1 FROM r JOIN k ON k.user_id = r.user_id AND k.i // 3 = r.i AND k.i > 2),
+c AS (SELECT user_id, i // 3 AS p, count(*) AS n FROM r WHERE i > 2 GROUP BY 1, 2)
+SELECT r.user_id, r.i::VARCHAR AS node_id, CASE WHEN r.i > 2 THEN (r.i // 3)::VARCHAR END AS parent_node_id, row_number() OVER (PARTITION BY r.user_id, CASE WHEN r.i > 2 THEN r.i // 3 END ORDER BY r.i) - 1 AS sibling_order,
+  r.level, coalesce(c.n, 0) AS child_count, r.event_type AS title
+FROM r LEFT JOIN c ON c.user_id = r.user_id AND c.p = r.i""")
+def nested_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as a tree of three children a node, without those of one type (what hangs below them vanishes), nested and flattened again."""
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = table(spark, sf_dir, "events").select("user_id", i.alias("i"), "event_type").where("event_type != 'error'")
+    nodes = rows.select("user_id", F.col("i").cast("string").alias("node_id"), F.when(F.col("i") > 2, F.floor(F.col("i") / 3).cast("string")).alias("parent_node_id"), F.col("i").alias("sibling_order"), F.col("event_type").alias("title"))
+    back = trees.flattened(trees.nested(nodes, "user_id", ["title"]), "user_id", "structure", "title string")
+    return back.select("user_id", "node_id", "parent_node_id", F.col("sibling_order").cast("long").alias("sibling_order"), F.col("level").cast("long").alias("level"), F.col("child_count").cast("long").alias("child_count"), "title")
+
+
 @query("dag_levels", """
 WITH RECURSIVE e AS (SELECT n_nationkey AS node, n_nationkey // 2 AS needs FROM nation WHERE n_nationkey > 0 UNION SELECT n_nationkey, n_nationkey // 3 FROM nation WHERE n_nationkey > 2),
 w AS (SELECT n_nationkey AS node, 0 AS depth FROM nation WHERE n_nationkey NOT IN (SELECT node FROM e) UNION SELECT e.node, depth + 1 FROM w JOIN e ON e.needs = w.node)
