@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattice.catalog import table
 from lattice.functions import text as tx
+from lattice.functions import tokens
 from lattice.plans.registry import query
 
 
@@ -118,6 +119,23 @@ def token_count_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.token_estimate(F.col("text")).cast("long").alias("n_tokens"))
 
 
+def _ranks() -> dict[bytes, int]:
+    import public_tokenizers
+
+    return tokens.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", _ranks())
+
+
+@query("token_windows")
+def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of at most 512 tokens, a tenth of each repeated in the next."""
+    return tokens.token_windows(table(spark, sf_dir, "documents"), "doc_id", "text", _ranks(), 512)
+
+
 @query("char_windows_overlap", """
 WITH w AS (SELECT doc_id, text, unnest(generate_series(1, greatest(length(text) - 200, 1), 1800)) AS s FROM documents)
 SELECT doc_id, s AS start, length(substr(text, s, 2000)) AS n, md5(substr(text, s, 2000)) AS digest FROM w""")
