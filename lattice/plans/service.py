@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from lattice.catalog import table
 from lattice.functions import shaping
 from lattice.functions import text as tx
-from lattice.operators import folds, reduction, rules, service, tables
+from lattice.operators import direct, folds, reduction, rules, service, tables
 from lattice.plans.registry import query
 
 
@@ -204,3 +204,42 @@ def answers_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dense_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages as vectors of at most 16 axes."""
     return reduction.char_svd(table(spark, sf_dir, "benchmark"), "item_id", "text", 16, 5000)
+
+
+@query("direct_pages", """
+WITH q AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 10 = 0),
+w AS (SELECT DISTINCT conv_id AS doc_id, page FROM (SELECT conv_id, unnest([2, 0, -1, 2, 99, conv_id % 5 + 1]) AS page FROM q) WHERE page > 0)
+SELECT w.doc_id, w.page, c.text AS content, c.conv_id IS NOT NULL AS found FROM w LEFT JOIN conversations c ON c.conv_id = w.doc_id AND c.turn + 1 = w.page""")
+def direct_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as pages; some numbers are no pages, repeated or not there."""
+    c = table(spark, sf_dir, "conversations")
+    stored = c.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("long").alias("page"), F.col("text").alias("content"))
+    asked = c.where("conv_id % 10 = 0").select(F.col("conv_id").alias("doc_id")).distinct().withColumn("pages", F.array(*(F.lit(n).cast("long") for n in (2, 0, -1, 2, 99)), F.col("doc_id") % 5 + 1))
+    return direct.pages(asked, stored)
+
+
+@query("direct_metadata", """
+WITH q AS (SELECT c_custkey AS group_ref, unnest([c_custkey, c_custkey + 1, c_custkey * 7]) AS doc_id FROM customer WHERE c_custkey % 3 = 0),
+j AS (SELECT group_ref, q.doc_id, o_orderkey, o_orderstatus FROM (SELECT DISTINCT * FROM q) q LEFT JOIN orders ON o_orderkey = q.doc_id)
+SELECT group_ref, '[' || coalesce(string_agg('{"doc_name":"order ' || o_orderkey || '","status":"' || o_orderstatus || '"}', ',' ORDER BY doc_id) FILTER (WHERE o_orderkey IS NOT NULL), '') || ']' AS entries,
+  coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (WHERE o_orderkey IS NULL), '') AS missing FROM j GROUP BY 1""")
+def direct_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    asked = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(k.alias("group_ref"), F.array(k, k + 1, k * 7).alias("doc_ids"))
+    profiles = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("doc_name"), F.col("o_orderstatus").alias("status"))
+    found = direct.metadata(asked, profiles, ["doc_name", "status"])
+    return found.select("group_ref", "entries", F.array_join(F.transform("missing", lambda i: i.cast("string")), ",").alias("missing"))
+
+
+@query("insertion_plan", """
+WITH RECURSIVE p AS (SELECT user_id, event_id, event_id % 9 AS image_id, event_type AS section, value > 20 AS topic, event_id % 9 < 7 AS known, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (
+  SELECT user_id, i, event_id, image_id, section, topic AND known AS accepted, CASE WHEN topic AND known THEN [image_id] ELSE [] END AS ui, CASE WHEN topic AND known THEN [section] ELSE [] END AS us FROM p WHERE i = 1
+  UNION ALL
+  SELECT user_id, i, event_id, image_id, section, ok, CASE WHEN ok THEN list_append(ui, image_id) ELSE ui END, CASE WHEN ok THEN list_append(us, section) ELSE us END
+  FROM (SELECT p.*, r.ui, r.us, p.topic AND p.known AND NOT list_contains(r.ui, p.image_id) AND NOT list_contains(r.us, p.section) AS ok FROM r JOIN p ON p.user_id = r.user_id AND p.i = r.i + 1))
+SELECT user_id, event_id, image_id, section, accepted FROM r""")
+def insertion_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as proposals: an image for each type of event, where the value gives a topic and the image is known."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 9).alias("image_id"), F.col("event_type").alias("section"), F.when(F.col("value") > 20, "topic").alias("topic"))
+    return direct.insertion_plan(e, e.where("image_id < 7"), "user_id", "event_id")

@@ -9,6 +9,7 @@ from lattice.catalog import table
 from lattice.functions import text as tx
 from lattice.functions import tokens
 from lattice.plans.registry import query
+from lattice.sources import pdf
 
 
 @query("exact_dedup_sha256", "SELECT min(doc_id) AS doc_id, sha256(text) AS digest, count(*) AS n FROM documents GROUP BY digest")
@@ -201,3 +202,20 @@ def eval_recall_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     hit, said, true = F.count_if((F.col("guess") == 1) & (F.col("quality") == 1)), F.count_if(F.col("guess") == 1), F.count_if(F.col("quality") == 1)
     return j.agg(F.count(F.lit(1)).alias("n"), F.round(hit / said, 6).alias("precision_1"), F.round(hit / true, 6).alias("recall_1"), F.round(F.avg((F.col("guess") == F.col("quality")).cast("int")), 6).alias("accuracy"))
+
+
+@query("pdf_pages", """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+SELECT doc_id::VARCHAR AS path, ((n - 1) // 40 + 1)::INTEGER AS page, string_agg(rtrim(line, ' ' || chr(9)), chr(10) ORDER BY n) AS text FROM l GROUP BY 1, 2""")
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a PDF of 40 lines a page, and its pages read back."""
+    return pdf.pdf_pages(pdf.as_pdf(table(spark, sf_dir, "documents"), "doc_id", "text")).where("error is null").select("path", "page", "text")
+
+
+@query("pdf_sections", """
+WITH l AS (SELECT doc_id::VARCHAR AS path, len(string_split(text, chr(10))) AS n FROM documents), p AS (SELECT path, (n - 1) // 40 + 1 AS last, unnest(range(1, (n - 1) // 40 + 2)) AS page FROM l)
+SELECT path, (page - 1)::INTEGER AS node, CASE WHEN page > 1 THEN 0 END::INTEGER AS parent, CASE WHEN page > 1 THEN 2 ELSE 1 END::INTEGER AS level, 'Part ' || page AS title, page::INTEGER AS page, CASE WHEN page = 1 THEN last ELSE page END::INTEGER AS end_page FROM p""")
+def pdf_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outline of these files as sections: the first page is the head of all others."""
+    files = pdf.as_pdf(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return pdf.pdf_sections(pdf.pdf_pages(files), pdf.pdf_outline(files)).drop("text")
