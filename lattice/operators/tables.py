@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattice.operators import service
+from lattice.session import cut
 
 #: Rows at the head of a table that may repeat on the next page.
 HEADER_ROWS = 5
-_CELL = "struct<tag string, text string, cols int, rows int>"
+_ARROW = {"integer": pa.int32(), "long": pa.int64(), "string": pa.string()}
 
 
 def html_rows(html: Column) -> Column:
@@ -151,19 +153,25 @@ def joined_tables(tables: DataFrame) -> DataFrame:
     ``tables``: doc_id, position, page, x0, x1, html, caption, footnotes (see ``service.continued_tables`` for what goes on). One
     table with its continuations is joined in one task; null and broken HTML has no rows. Null positions are not allowed.
     """
-    parsed = with_columns(tables)
+    # parsed once: the plans below would each parse anew
+    parsed = cut(with_columns(tables))
     texts = F.transform("cells", lambda r: F.transform(r, lambda c: c["text"]))
     chains = service.continued_tables(parsed.withColumn("rows", texts)).select("doc_id", "position", "chain")
     kept = parsed.select("doc_id", "position", "cells").join(chains, ["doc_id", "position"])
 
-    def join(table: pa.Table) -> pa.Table:
-        table = table.sort_by("position")
-        first, *others = table.column("cells").to_pylist()
-        whole: list[Row] = first
-        for rows in others:
-            whole = joined(whole, rows)
-        ends = table.column("position")
-        return pa.table([table.column("doc_id")[:1], ends[:1], ends[-1:], pa.array([len(whole)]), pa.array([as_html(whole)])], names=["doc_id", "position", "last_position", "n_rows", "html"])
-
-    id_type, position = (tables.schema[c].dataType.simpleString() for c in ("doc_id", "position"))
-    return kept.groupBy("doc_id", "chain").applyInArrow(join, f"doc_id {id_type}, position {position}, last_position {position}, n_rows long, html string")
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for chain in batch.column(1).to_pylist():
+                whole: list[Row] = chain[0]["cells"]
+                for part in chain[1:]:
+                    whole = joined(whole, part["cells"])
+                out.append((chain[0]["position"], chain[-1]["position"], len(whole), as_html(whole)))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            kinds = [position.typeName(), position.typeName(), "long", "string"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, _ARROW[k]) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "position", "last_position", "n_rows", "html"])
+
+    position = tables.schema["position"].dataType
+    schema = T.StructType([tables.schema["doc_id"], T.StructField("position", position), T.StructField("last_position", position), T.StructField("n_rows", T.LongType()), T.StructField("html", T.StringType())])
+    chains = kept.groupBy("doc_id", "chain").agg(F.array_sort(F.collect_list(F.struct("position", "cells"))).alias("parts"))
+    return chains.select("doc_id", "parts").mapInArrow(join, schema)

@@ -200,7 +200,7 @@ class File:
     """The objects of one file by number, found through its cross-reference tables and streams, or by looking for them where these are damaged."""
 
     def __init__(self, data: bytes):
-        self.data, self.places, self.trailer, self.read = data, {}, {}, {}
+        self.data, self.places, self.trailer, self.read, self.fonts = data, {}, {}, {}, {}
         if b"%PDF-" not in data[:1024]:
             raise Broken("no PDF header")
         try:
@@ -467,7 +467,7 @@ class _Page:
     """The text of one page in the order its operators show it: a new line where the baseline moves, a blank where a gap is wide."""
 
     def __init__(self, file: File):
-        self.file, self.out, self.fonts, self.moved = file, [], {}, False
+        self.file, self.out, self.fonts, self.moved = file, [], file.fonts, False
         self.decode: Callable[[bytes], str] = lambda raw: raw.decode("cp1252", "replace")
 
     def line(self) -> None:
@@ -508,8 +508,9 @@ class _Page:
             font = self.file.get(fonts.get(held[-2]))
             key = id(font)
             if isinstance(font, dict):
-                self.decode = self.fonts.setdefault(key, None) or _decoder(self.file, font)
-                self.fonts[key] = self.decode
+                if key not in self.fonts:
+                    self.fonts[key] = _decoder(self.file, font)
+                self.decode = self.fonts[key]
         elif op in (b"Td", b"TD") and len(held) > 1:
             if held[-1]:
                 self.moved = True
@@ -694,7 +695,12 @@ def pdf_bytes(pages: list[list[str]], outline: list[tuple[int, str, int]] = (),
         data, names = encoded(data)
         return b"<< %s /Filter %s /Length %d >>\nstream\n%s\nendstream" % (more, names, len(data), data)
 
-    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange\n" + b"".join(b"1 beginbfrange <%02X00> <%02XFF> <%02X00> endbfrange\n" % (h, h, h) for h in range(256))
+    raw = "".join(line for lines in pages for line in lines).encode("utf-16-be", "surrogatepass")
+    units = sorted({raw[i : i + 2].hex().encode() for i in range(0, len(raw), 2)})
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange\n"
+    for i in range(0, len(units), 100):
+        part = units[i : i + 100]
+        cmap += b"%d beginbfchar\n%s\nendbfchar\n" % (len(part), b"\n".join(b"<%s> <%s>" % (u, u) for u in part))
     bodies[1] = b"<< /Type /Catalog /Pages 2 0 R %s >>" % (b"/Outlines %d 0 R" % first_entry if outline else b"")
     bodies[2] = b"<< /Type /Pages /Kids [%s] /Count %d /Resources << /Font << /F1 3 0 R >> >> /MediaBox [0 0 595 842] >>" % (b" ".join(b"%d 0 R" % (first_page + 2 * i) for i in range(n_pages)), n_pages)
     bodies[3] = b"<< /Type /Font /Subtype /Type0 /BaseFont /Plain /Encoding /Identity-H /ToUnicode 4 0 R >>"
