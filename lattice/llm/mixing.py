@@ -7,6 +7,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,7 +124,9 @@ def mix_sources(
     bound_batches(spark)
     name = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.toDF(*name.values()).select(*name.values(), _bucket(weights, name[source_col]).alias("bucket"), _identity(name[id_col], name[text_col]).alias("ident"))
-    rows = rows.join(F.broadcast(spark.createDataFrame([(b, float(r)) for b, r in rates.items()], "bucket string, rate double")), "bucket", "left")
+    # from Arrow, the table is a local one; from a list it is a Python RDD, and every executor starts a second daemon and its workers to read it
+    table = spark.createDataFrame(pa.table([pa.array(rates.keys(), pa.string()), pa.array(rates.values(), pa.float64())], ["bucket", "rate"]))
+    rows = rows.join(F.broadcast(table), "bucket", "left")
 
     @F.pandas_udf("long")
     def counted(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -134,6 +137,8 @@ def mix_sources(
                 out[mine] = poisson_quantiles(float(r), u[mine].to_numpy())
             yield pd.Series(out)
 
+    # else the filter is pushed below and counts a second time, by another worker of the same task
+    counted = counted.asNondeterministic()
     rows = rows.withColumn("copies", counted("rate", uniform(seed, "count", F.col("ident")))).where("copies > 0")
     # blocks first: one array of all copies of a document would have no bound
     block = F.lit(COPY_BLOCK).cast("long")

@@ -58,3 +58,10 @@ def test_bands_follow_the_threshold():
     for threshold in (0.05, 0.3, 0.5, 0.7, 0.8, 0.85, 0.9, 0.99, 1.0):
         bands, rows = neardup.banding(threshold)
         assert (1 - threshold**rows) ** bands <= 1.0001e-6
+
+
+def test_a_task_of_source_mixing_has_one_worker(spark, sf_dir):
+    """Each further Python step of a task is a worker of its own, which stays with the executor; a Python RDD is a daemon with workers more."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = corpus_pipeline.source_mixing(spark, docs, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1 and "ExistingRDD" not in plan
