@@ -14,6 +14,13 @@ def top_k(scored: DataFrame, group: Sequence[str], order: Sequence[Column], k: i
     return scored.withColumn(rank, F.row_number().over(w).cast("long")).where(F.col(rank) <= k)
 
 
+def ordered_sums(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """The sum of each key, added up row by row in order: a sum of doubles, and a rank by it, is the same however the rows are split."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    running = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.select(*keys, running.alias(name), F.lead(F.lit(True)).over(w).isNull().alias("_last")).where("_last").drop("_last")
+
+
 def fuse(lists: Sequence[DataFrame], keys: Sequence[str], k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of lists with a column rank: the sum of 1 / (k + rank); the rank of each list stays, null where absent."""
     tagged = [df.select(*keys, F.lit(i).alias("_list"), "rank") for i, df in enumerate(lists)]

@@ -108,7 +108,8 @@ WITH r AS (SELECT user_id, event_type, sum(value) AS v, row_number() OVER (PARTI
 SELECT user_id, round(sum(1 / (60 + rank)), 9) AS fused, min(rank) AS best_rank, round(max(v), 2) AS best_value, string_agg(event_type, ',' ORDER BY event_type) AS profiles
 FROM r GROUP BY user_id""")
 def cross_source_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.sum("value").alias("v"))
+    """Sums go in the order of events: users of equal events tie exactly, and the least id comes first."""
+    g = search.ordered_sums(table(spark, sf_dir, "events"), ["event_type", "user_id"], ["event_id", "value"], "value", "v")
     ranked = search.top_k(g, ["event_type"], [F.desc("v"), F.asc("user_id")], 2**31 - 1)
     return ranked.groupBy("user_id").agg(
         F.round(F.sum(1 / (60 + F.col("rank"))), 9).alias("fused"), F.min("rank").alias("best_rank"), F.round(F.max("v"), 2).alias("best_value"),
