@@ -217,5 +217,4 @@ WITH l AS (SELECT doc_id::VARCHAR AS path, len(string_split(text, chr(10))) AS n
 SELECT path, (page - 1)::INTEGER AS node, CASE WHEN page > 1 THEN 0 END::INTEGER AS parent, CASE WHEN page > 1 THEN 2 ELSE 1 END::INTEGER AS level, 'Part ' || page AS title, page::INTEGER AS page, CASE WHEN page = 1 THEN last ELSE page END::INTEGER AS end_page FROM p""")
 def pdf_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outline of these files as sections: the first page is the head of all others."""
-    files = pdf.as_pdf(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return pdf.pdf_sections(pdf.pdf_pages(files), pdf.pdf_outline(files)).drop("text")
+    return pdf.file_sections(pdf.as_pdf(table(spark, sf_dir, "documents"), "doc_id", "text"))
