@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lattice.functions import vector as vx
 from lattice.session import cut
@@ -15,12 +20,68 @@ PAIR_BLOCK = 512
 
 
 def pair_cosines(rows: DataFrame, key: str, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(key, a, b, cosine) of every ordered pair of different ids of one key; a large group is compared block against block by many tasks."""
-    blocks = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("_n"))
-    dealt = rows.select(key, vec_id, embedding).join(blocks, key).withColumn("_own", F.pmod(F.xxhash64(vec_id), F.col("_n")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    a = dealt.select(key, F.col("_own").alias("_i"), F.col("_other").alias("_j"), F.col(vec_id).alias("a"), F.col(embedding).alias("_u"))
-    b = dealt.select(key, F.col("_other").alias("_i"), F.col("_own").alias("_j"), F.col(vec_id).alias("b"), F.col(embedding).alias("_v"))
-    return a.join(b, [key, "_i", "_j"]).where("a != b").select(key, "a", "b", F.round(vx.cosine(F.col("_u"), F.col("_v")), 6).alias("cosine"))
+    """(key, a, b, cosine) of every ordered pair of different ids of one key.
+
+    A key is dealt to blocks by hash; two blocks are one row, which a task multiplies and hands on at once, so it holds no more than
+    their pairs, however large the key. The result grows with the square of a key. Vectors of unequal length, null
+    ones and those with nulls have a null cosine; the cosine of one without direction is 0.
+    """
+    known = rows.select(key, vec_id, embedding).where(F.col(key).isNotNull() & F.col(vec_id).isNotNull())
+    sizes = known.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("_n"))
+    dealt = known.join(sizes, key).withColumn("_own", F.pmod(F.xxhash64(vec_id), F.col("_n")).cast("int"))
+    blocks = dealt.groupBy(key, "_own").agg(F.collect_list(F.struct(F.col(vec_id).alias("i"), F.col(embedding).alias("v"))).alias("_rows"), F.first("_n").alias("_n"))
+    left = blocks.select(key, F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_n") - 1)).alias("_j"), F.col("_rows").alias("_a"))
+    right = blocks.select(key, F.explode(F.sequence(F.lit(0), "_own")).alias("_i"), F.col("_own").alias("_j"), F.col("_rows").alias("_b"))
+    pairs = left.join(right, [key, "_i", "_j"]).select(key, (F.col("_i") == F.col("_j")).alias("_same"), "_a", "_b")
+    kinds = [rows.schema[key].dataType, rows.schema[vec_id].dataType, rows.schema[vec_id].dataType, T.DoubleType()]
+    schema = T.StructType([T.StructField(n, k) for n, k in zip((key, "a", "b", "cosine"), kinds, strict=True)])
+    arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                name, same = batch.column(0).slice(r, 1), batch.column(1)[r].as_py()
+                a, b = batch.column(2)[r].values, batch.column(3)[r].values
+                cosines, known = _cosines(_by_length(a.field(1)), _by_length(b.field(1)), len(a), len(b))
+                sides = [(a.field(0), b.field(0), cosines, known)] + ([] if same else [(b.field(0), a.field(0), cosines.T, known.T)])
+                for ids, others, values, there in sides:
+                    first, second = np.repeat(np.arange(len(ids)), len(others)), np.tile(np.arange(len(others)), len(ids))
+                    values, there = values.ravel(), there.ravel()
+                    if same:
+                        # equal ids are in one block
+                        codes = pc.dictionary_encode(ids).indices.to_numpy()
+                        apart = codes[first] != codes[second]
+                        first, second, values, there = first[apart], second[apart], values[apart], there[apart]
+                    columns = [name.take(pa.array(np.zeros(len(first), np.int64))), ids.take(pa.array(first)), others.take(pa.array(second)), pa.array(values, mask=None if there.all() else ~there)]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return pairs.mapInArrow(multiply, schema)
+
+
+def _by_length(vectors: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, vectors, norms) of the vectors of each length; null ones and those with nulls are left out."""
+    lengths = pc.list_value_length(vectors).fill_null(-1).to_numpy(zero_copy_only=False).copy()
+    if vectors.flatten().null_count:
+        lengths[[v is not None and None in v for v in vectors.to_pylist()]] = -1
+    out = {}
+    for n in np.unique(lengths[lengths >= 0]).tolist():
+        own = lengths == n
+        values = vectors.filter(pa.array(own)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(own.sum(), n)
+        out[n] = np.flatnonzero(own), values, np.sqrt(np.einsum("ij,ij->i", values, values))
+    return out
+
+
+def _cosines(a: dict, b: dict, rows: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cosines to six digits, halves away from zero, and where there are any."""
+    out, known = np.zeros((rows, columns)), np.zeros((rows, columns), bool)
+    for n in a.keys() & b.keys():
+        (at, u, p), (to, v, q) = a[n], b[n]
+        size = np.outer(p, q)
+        cosines = np.divide(u @ v.T, size, out=np.zeros_like(size), where=~(size <= 1e-24)) * 1e6
+        cosines += np.copysign(0.5, cosines)
+        place = np.ix_(at, to)
+        out[place], known[place] = np.trunc(cosines) / 1e6, True
+    return out, known
 
 
 def mean_pool(rows: DataFrame, keys: Sequence[str], embedding: str, weight: Column | None = None) -> DataFrame:
