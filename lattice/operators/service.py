@@ -114,6 +114,19 @@ def page_plan(pages: DataFrame, sections: DataFrame, scores: Column, cost: Colum
     return numbered.select("doc_id", "page", F.row_number().over(doc.orderBy(*order)).cast("long").alias("rank"))
 
 
+def fits_before() -> Column:
+    """If a table may go on from the one before of its document, by page, caption, footnotes and width."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("doc_id").orderBy("position")
+    before = lambda c: F.lag(c).over(w)
+    width, wide = F.col("x1") - F.col("x0"), F.lag(F.col("x1") - F.col("x0")).over(w)
+    caption = F.coalesce(F.trim("caption"), F.lit(""))
+    says = caption.rlike("(?i)(续表|续上表|\\(续\\)|（续）|continued|cont\\.)")
+    allowed = F.when(caption != "", says & (before("footnotes") <= 1)).otherwise(before("footnotes") == 0)
+    return F.coalesce((before("page") == F.col("page") - 1) & allowed & (F.abs(width - wide) < 0.1 * F.least(width, wide)), F.lit(False))
+
+
 def continued_tables(tables: DataFrame, headers: int = 5) -> DataFrame:
     """(doc_id, position, chain, skip): tables that go on from the page before share a chain; ``skip`` header rows repeat.
 
@@ -126,12 +139,8 @@ def continued_tables(tables: DataFrame, headers: int = 5) -> DataFrame:
 
     w = Window.partitionBy("doc_id").orderBy("position")
     before = lambda c: F.lag(c).over(w)
-    width, wide = F.col("x1") - F.col("x0"), F.lag(F.col("x1") - F.col("x0")).over(w)
-    caption = F.coalesce(F.trim("caption"), F.lit(""))
-    says = caption.rlike("(?i)(续表|续上表|\\(续\\)|（续）|continued|cont\\.)")
-    allowed = F.when(caption != "", says & (before("footnotes") <= 1)).otherwise(before("footnotes") == 0)
     same = (before("columns") == F.col("columns")) | (F.size(F.element_at(before("rows"), -1)) == F.size(F.element_at("rows", 1)))
-    goes_on = F.coalesce((before("page") == F.col("page") - 1) & allowed & (F.abs(width - wide) < 0.1 * F.least(width, wide)) & same, F.lit(False))
+    goes_on = fits_before() & F.coalesce(same, F.lit(False))
     clean = lambda row: F.transform(row, lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "\\s+", ""))
     pairs = F.arrays_zip(F.slice("rows", 1, headers).alias("a"), F.slice(before("rows"), 1, headers).alias("b"))
     alike = F.transform(pairs, lambda p: F.coalesce(clean(p["a"]) == clean(p["b"]), F.lit(False)))
