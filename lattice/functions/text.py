@@ -208,14 +208,15 @@ def stop_word_language(text: Column) -> Column:
         "es": ("el", "los", "que", "en", "del", "las", "por", "con", "una", "se"),
         "fr": ("le", "les", "et", "des", "est", "la", "une", "dans", "pour", "du"),
     }
-    tokens = F.split(F.lower(text), "[^a-zà-öø-ÿ]+")
-
-    def count(common: tuple[str, ...]) -> Column:
-        return F.size(F.filter(tokens, lambda t: t.isin(list(common))))
-
-    counts = {lang: count(ws) for lang, ws in lists.items()}
-    best = F.greatest(*counts.values())
-    out = F.when(best == 0, F.lit("und"))
-    for lang, n in counts.items():
-        out = out.when(n == best, lang)
-    return out
+    # one search finds the words of all lists; lambdas over arrays of one hold what is found and its counts, so nothing is done again for each use
+    letter = "[a-zà-öø-ÿ]"
+    found = F.regexp_extract_all(F.lower(text), F.lit(f"(?<!{letter})(?:{'|'.join(w for ws in lists.values() for w in ws)})(?!{letter})"), F.lit(0))
+    counts = F.transform(F.array(found), lambda f: F.array(*(F.size(F.filter(f, lambda t: t.isin(list(ws)))) for ws in lists.values())))
+
+    def guess(n: Column) -> Column:
+        out = F.when(F.array_max(n) == 0, F.lit("und"))
+        for i, lang in enumerate(lists):
+            out = out.when(n[i] == F.array_max(n), lang)
+        return out
+
+    return F.transform(counts, guess)[0]
